@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .mixing import mix_sources
 from .quality import quality_bands
+from .sharding import shard_documents
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_position").orderBy("first_position", "doc_id")
 
 
 def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +26,40 @@ def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
+    "op8_mixing": op8_mixing,
     "op10_quality_bands": op10_quality_bands,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS order_key
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM s),
+w AS (SELECT *, ([5, 2, 1])[(rank % 3 + 1)::INT]::BIGINT AS weight, ([0.5, 0.0, -0.5])[(rank % 3 + 1)::INT]::DOUBLE AS tilt FROM r),
+f AS (SELECT *, source_size / weight AS fill FROM w),
+l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER b, 0))::BIGINT AS rest_size,
+         (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::BIGINT AS open_weight
+  FROM f WINDOW b AS (ORDER BY fill, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, row_number() OVER (ORDER BY fill, rank) AS place, source_size * 3 * open_weight >= rest_size * weight AS is_open FROM l),
+v AS (SELECT place AS level_place, rest_size AS level_size, open_weight AS level_weight FROM o WHERE is_open ORDER BY place LIMIT 1),
+t AS (
+  SELECT source, source_size, tilt,
+         CASE WHEN place >= level_place THEN (level_size * weight)::DOUBLE / level_weight ELSE (source_size * 3)::DOUBLE END AS target
+  FROM o LEFT JOIN v ON true),
+p AS (
+  SELECT doc_id, size, source_size, target, tilt, floor(target)::BIGINT AS whole,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY order_key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prefix
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS passes FROM p),
+z AS (SELECT *, passes * size + least(size, greatest(0, whole - passes * source_size - prefix)) AS taken FROM q)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
+       CASE WHEN taken > 0 THEN round(CASE WHEN tilt = 0 THEN prefix / target
+            ELSE ((1.0 + tilt) - sqrt((1.0 + tilt) * (1.0 + tilt) - 4.0 * tilt * (prefix / target))) / (2.0 * tilt) END, 9) END AS first_position
+FROM z
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
