@@ -4,18 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .common import documents
 from .mixing import mix_sources
 from .quality import quality_bands
 from .sharding import shard_documents
+from .token_files import token_file_index
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_index(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return decode(coded, path).select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_position").orderBy("first_position", "doc_id")
@@ -26,7 +45,9 @@ def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
     "op10_quality_bands": op10_quality_bands,
 }
