@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-WEIGHTS, TILTS, MOST, CELL_ROWS = (5, 2, 1), (0.5, 0.0, -0.5), 3, 20_000
+WEIGHTS, TILTS, MOST, CELL_ROWS = (5, 2, 1), (0.5, 0.0, -0.5), 3, 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .common import documents
+from .fingerprints import compare_with_edits
 from .mixing import mix_sources
 from .quality import quality_bands
 from .sharding import shard_documents
@@ -24,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
@@ -47,6 +52,7 @@ def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
+    "op5_fingerprints": op5_fingerprints,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
     "op10_quality_bands": op10_quality_bands,
