@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .common import documents
 from .fingerprints import compare_with_edits
+from .jaccard import shingle_components
 from .mixing import mix_sources
 from .quality import quality_bands
 from .sharding import shard_documents
@@ -29,6 +30,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(documents(spark, sf_dir), n=4, num=85, den=100)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
     "op5_fingerprints": op5_fingerprints,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
     "op10_quality_bands": op10_quality_bands,
