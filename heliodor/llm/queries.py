@@ -15,6 +15,7 @@ from .jaccard import shingle_components
 from .mixing import mix_sources
 from .quality import quality_bands
 from .sharding import shard_documents
+from .substrings import remove_repeats
 from .token_files import token_file_index
 
 
@@ -50,6 +51,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_position").orderBy("first_position", "doc_id")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands(documents(spark, sf_dir))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
+    "op9_substrings": op9_substrings,
     "op10_quality_bands": op10_quality_bands,
 }
 
