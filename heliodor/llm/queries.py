@@ -14,6 +14,7 @@ from .fingerprints import compare_with_edits
 from .jaccard import shingle_components
 from .mixing import mix_sources
 from .quality import quality_bands
+from .secrets import scan_secrets
 from .sharding import shard_documents
 from .substrings import remove_repeats
 from .token_files import token_file_index
@@ -27,6 +28,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(documents(spark, sf_dir))
 
@@ -62,6 +67,7 @@ def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
+    "op3_secrets": op3_secrets,
     "op5_fingerprints": op5_fingerprints,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
