@@ -195,3 +195,18 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         out = out.withColumn("label", F.lit(None).cast("bigint"))
     # rows of one doc_id with different texts are one document: their points are linked through it
     return out.select("doc_id", "n_shingles", F.coalesce("label", "id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of the smallest doc_id of every component, one for each doc_id; rows without a doc_id stay. All columns stay."""
+    found = written(shingle_components(docs, n, num, den, id_col, text_col).select("doc_id", "component_id"), "components")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    twice = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_gone"))
+    light = lambda t: F.broadcast(t) if t.count() <= BROADCAST_IDS else t
+    key = F.col(f"`{id_col}`").cast("bigint")
+    left = docs.join(light(gone), key == F.col("_gone"), "left_anti")
+    once = light(twice)
+    single = left.join(once, key == F.col("_gone"), "left_anti")
+    repeated = left.join(once, key == F.col("_gone"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return single.unionByName(repeated.withColumn("_nth", nth).filter("_nth = 1").drop("_nth"))

@@ -12,6 +12,7 @@ from .bpe import decode, encode
 from .common import documents
 from .fingerprints import compare_with_edits
 from .jaccard import shingle_components
+from .licenses import scan_licenses
 from .mixing import mix_sources
 from .quality import quality_bands
 from .secrets import scan_secrets
@@ -32,6 +33,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(documents(spark, sf_dir))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
     "op3_secrets": op3_secrets,
+    "op4_licenses": op4_licenses,
     "op5_fingerprints": op5_fingerprints,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
