@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A Python worker holds about one Arrow batch; rows are cut by bytes, since texts differ in length by orders.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +52,19 @@ class Cached(dict):
         return out
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """make(), once for each process: Python workers keep it from task to task."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
 def word_hashes() -> Cached:
     """64-bit hashes of words, equal in every process."""
-    return Cached(lambda w: xxhash.xxh3_64_intdigest(w))
+    return held("word hashes", lambda: Cached(lambda w: xxhash.xxh3_64_intdigest(w), 200_000))
 
 
 def hash_array(words: list[bytes], cache: Cached) -> np.ndarray:

@@ -5,8 +5,9 @@
 2. Suffixes that cannot repeat are left out before any is moved. Each window has an anchor, the GRAM-word prefix of one
    of its suffixes with the least hash (the leftmost of equals), so equal windows have equal anchors at equal places.
    Neighbouring windows share anchors, about one for 14 words; runs of windows whose anchor occurs once are dropped.
-3. The remaining suffixes are dealt out by a prefix of variable length: by their anchor's GRAM words, and where an
-   anchor has more than HOT runs, by all `window` words, counted before they are shuffled.
+3. The remaining suffixes are dealt out by a prefix of variable length: by their anchor's GRAM words. Where an anchor
+   has more than HOT runs, equal runs are first counted and only one of each goes on; where still more than
+   HOT_DISTINCT differ, suffixes are dealt out by all `window` words, again counted before they are shuffled.
 4. In a task, runs of whole anchors are gathered up to GROUP_WORDS words and their suffix tree is built down to depth
    `window`: suffixes get ranks by 3, 9, 27 and `window` words, each from the ranks before. A node at that depth with two
    leaves or more is a repeat; neighbouring ones join to the maximal repeats. (A prefix extended to all `window` words
@@ -15,7 +16,7 @@
 
 Anchors and classes are chosen by hashes of 64 and 128 bits; in trees, words are compared as they are.
 
-Memory: a task holds the runs of an anchor (HOT of them at most) or GROUP_WORDS words. Texts move only for documents
+Memory: a task holds the runs of an anchor (HOT or HOT_DISTINCT of them at most) or GROUP_WORDS words. Texts move only for documents
 with a repeated anchor. Broadcast: ids of such documents, up to BROADCAST_IDS.
 
 Defined results: a null text has no words; texts of under `window` words stay whole; repeated rows, also of one doc_id,
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, gram_hashes, hash_array, map_arrow, parts_for, split_words, text_bytes, word_hashes, written
 
-WINDOW, GRAM, HOT, GROUP_WORDS, BROADCAST_IDS = 35, 8, 2_000, 1_000_000, 1_000_000
+WINDOW, GRAM, HOT, HOT_DISTINCT, GROUP_WORDS, BROADCAST_IDS = 35, 8, 1_000, 10_000, 300_000, 1_000_000
 SIGNED = "doc_id bigint, n_words bigint, seq_hash binary, whole_sha binary, grams array<bigint>, starts array<int>, ends array<int>"
 RUN = "array<struct<gram:bigint,start:int,end:int,hot:boolean>>"
 _NO_ID = -(1 << 63)
@@ -102,32 +103,37 @@ def _right_text(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield batch.filter(pa.array(good))
 
 
-def _cut_cold(window: int):
+def _cut(window: int, hot: bool):
+    """The runs of texts as rows, with their words; hot runs also with a hash of their words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, nth, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 words = split_words(text)
-                out += [(r["gram"], key, nth, r["start"], b" ".join(words[r["start"] : r["end"] + window])) for r in runs if not r["hot"]]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["gram", "doc_key", "ord", "start", "words"])
+                for r in runs:
+                    if r["hot"] == hot:
+                        piece = b" ".join(words[r["start"] : r["end"] + window])
+                        out.append((r["gram"], key, nth, r["start"], piece, xxhash.xxh3_128_digest(piece)) if hot else (r["gram"], key, nth, r["start"], piece))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())[: 5 + hot]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["gram", "doc_key", "ord", "start", "words", "run"][: 5 + hot])
 
     return run
 
 
-def _cut_hot(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+def _cut_windows(window: int):
+    """Rows (run, words, n) as a row for each window, dealt by a hash of all its words."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, nth, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                words = split_words(text)
-                for r in runs:
-                    if r["hot"]:
-                        out += [(xxhash.xxh3_128_digest(b" ".join(words[s : s + window])), key, nth, s) for s in range(r["start"], r["end"] + 1)]
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["prefix", "doc_key", "ord", "start"])
+            for run, piece, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = piece.split(b" ")
+                out += [(xxhash.xxh3_128_digest(b" ".join(words[s : s + window])), run, s, n) for s in range(len(words) - window + 1)]
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["prefix", "run", "a", "n"])
 
-    return run
+    return go
 
 
 def _ranks(*columns: np.ndarray) -> np.ndarray:
@@ -172,25 +178,27 @@ def covered(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + window).tolist(), strict=True))
 
 
-def _grow_trees(window: int):
+def _grow_trees(window: int, names: list[str], kinds: tuple):
+    """Rows (gram, words, n, keys ...), whole anchors together, to the intervals that repeat: (keys ..., a, b). A run that stands for n > 1 repeats throughout."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         rows: list[tuple] = []
         size, last = 0, None
 
         def flush():
             out = []
-            for (key, nth, start, _), hits in zip(rows, repeated_starts([r[3] for r in rows], window), strict=True):
-                out += [(key, nth, start + a, start + b) for a, b in covered(hits, window)]
+            for (words, n, *keys), hits in zip(rows, repeated_starts([r[0] for r in rows], window), strict=True):
+                out += [(*keys, a, b) for a, b in ([(0, len(words))] if n > 1 else covered(hits, window))]
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_key", "ord", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((*kinds, pa.int32(), pa.int32()))], names=[*names, "a", "b"])
 
         for batch in batches:
-            for gram, key, nth, start, words in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for gram, words, n, *keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if gram != last and size >= GROUP_WORDS:
                     yield flush()
                     size = 0
                 last, found = gram, words.split(b" ")
-                rows.append((key, nth, start, found))
+                rows.append((found, n, *keys))
                 size += len(found)
         if rows:
             yield flush()
@@ -234,14 +242,25 @@ def _parts(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[Da
     texts = texts.join(wanted, "doc_key").select("doc_key", "ord", "seq_hash", "text", "runs")
     texts = written(map_arrow(texts, _right_text, f"doc_key bigint, ord int, seq_hash binary, text string, runs {RUN}"), "repeated-texts")
     discard(wanted)
-    source = texts.select("doc_key", "ord", "text", "runs")
-    cold = map_arrow(source, _cut_cold(window), "gram bigint, doc_key bigint, ord int, start int, words binary")
-    cold = cold.repartition(parts_for(docs), "gram").sortWithinPartitions("gram")
-    spans = map_arrow(cold, _grow_trees(window), "doc_key bigint, ord int, a int, b int")
-    hot = map_arrow(source.filter(F.exists("runs", lambda r: r.hot)), _cut_hot(window), "prefix binary, doc_key bigint, ord int, start int")
-    nodes = hot.groupBy("prefix").agg(F.count("*").alias("leaves")).filter("leaves > 1").select("prefix")
-    spans = spans.unionByName(hot.join(nodes, "prefix").select("doc_key", "ord", F.col("start").alias("a"), (F.col("start") + window).alias("b")))
-    spans = spans.groupBy("doc_key", "ord").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    source, parts = texts.select("doc_key", "ord", "text", "runs"), parts_for(docs)
+    span = F.struct("a", "b")
+    trees = lambda t, names, kinds, schema: map_arrow(t.repartition(parts, "gram").sortWithinPartitions("gram"), _grow_trees(window, names, kinds), f"{schema}, a int, b int")
+    cold = map_arrow(source, _cut(window, False), "gram bigint, doc_key bigint, ord int, start int, words binary")
+    spans = trees(cold.select("gram", "words", F.lit(1).alias("n"), "doc_key", "ord", "start"), ["doc_key", "ord", "start"], (pa.int64(), pa.int32(), pa.int32()), "doc_key bigint, ord int, start int")
+    spans = spans.select("doc_key", "ord", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span"))
+    has_hot = source.filter(F.exists("runs", lambda r: r.hot))
+    hot = written(map_arrow(has_hot, _cut(window, True), "gram bigint, doc_key bigint, ord int, start int, words binary, run binary"), "hot-runs")
+    once = hot.groupBy("gram", "run").agg(F.count("*").alias("n"), F.first("words").alias("words"))
+    once = written(once.withColumn("distinct", F.count("*").over(Window.partitionBy("gram"))), "distinct-runs")
+    found = trees(once.filter(F.col("distinct") <= HOT_DISTINCT).select("gram", "words", "n", "run"), ["run"], (pa.binary(),), "run binary")
+    wide = map_arrow(once.filter(F.col("distinct") > HOT_DISTINCT).select("run", "words", "n"), _cut_windows(window), "prefix binary, run binary, a int, n bigint")
+    nodes = wide.groupBy("prefix").agg(F.sum("n").alias("leaves")).filter("leaves > 1").select("prefix")
+    found = found.unionByName(wide.join(nodes, "prefix").select("run", "a", (F.col("a") + window).alias("b")))
+    found = found.groupBy("run").agg(F.collect_list(span).alias("inside"))
+    hot = hot.select("run", "doc_key", "ord", "start").join(found, "run")
+    hot = hot.select("doc_key", "ord", F.explode(F.transform("inside", lambda x: F.struct((x.a + F.col("start")).alias("a"), (x.b + F.col("start")).alias("b")))).alias("span"))
+    spans = spans.unionByName(hot)
+    spans = spans.groupBy("doc_key", "ord").agg(F.collect_list("span").alias("spans"))
     kept = map_arrow(texts.select("doc_key", "ord", "seq_hash", "text").join(spans, ["doc_key", "ord"]).select("seq_hash", "text", "spans"), _keep, "seq_hash binary, n_removed bigint, kept binary")
     return slim, classes, kept
 
