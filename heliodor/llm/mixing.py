@@ -106,14 +106,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     t = docs.withColumns({"_hash": F.xxhash64(F.col(f"`{text_col}`")), "_source": F.col(f"`{source_col}`")})
     mixed = mix_sources(t, id_col=id_col, text_col=text_col, source_col=source_col, keep=("_hash", "_source"), **options)
     mixed = mixed.withColumnsRenamed({"kept__hash": "_hash", "kept__source": "_source"}).withColumn("_nth", F.row_number().over(order("doc_id")))
-    mixed = mixed.select(F.col("doc_id").alias("_id"), "_nth", "size", "passes", "rest", "source_size", "target", "tilt", "prefix").filter("passes > 0 or rest > 0")
-    t = t.withColumn("_nth", F.row_number().over(order(f"`{id_col}`"))).join(mixed.withColumnRenamed("_nth", "_of"), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_of")))
-    t = t.withColumn("_reading", F.explode(F.expr("sequence(0, cast(passes as int) - if(rest > 0, 0, 1))")))
-    share = F.least(F.lit(1.0), (F.col("_reading") * F.col("source_size") + F.col("prefix")) / F.col("target"))
-    t = t.withColumn("_position", demand_time(share, F.col("tilt")))
+    names = ("size", "passes", "rest", "source_size", "target", "tilt", "prefix")
+    mixed = mixed.filter("passes > 0 or rest > 0").select(F.col("doc_id").alias("_id"), F.col("_nth").alias("_of"), *[F.col(c).alias(f"_{c}") for c in names])
+    t = t.withColumn("_nth", F.row_number().over(order(f"`{id_col}`"))).join(mixed, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_of")))
+    t = t.withColumn("_reading", F.explode(F.expr("sequence(0, cast(_passes as int) - if(_rest > 0, 0, 1))")))
+    share = F.least(F.lit(1.0), (F.col("_reading") * F.col("_source_size") + F.col("_prefix")) / F.col("_target"))
+    t = t.withColumn("_position", demand_time(share, F.col("_tilt")))
     words = F.filter(F.split(F.col(f"`{text_col}`"), r"[ \x09-\x0D]+"), lambda w: w != "")
-    cut = (F.col("_reading") == F.col("passes")) & (F.col("rest") < F.col("size"))
-    t = t.withColumn("_text", F.when(cut, F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("rest").cast("int"))), " ")).otherwise(F.col(f"`{text_col}`")))
+    cut = (F.col("_reading") == F.col("_passes")) & (F.col("_rest") < F.col("_size"))
+    t = t.withColumn("_text", F.when(cut, F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("_rest").cast("int"))), " ")).otherwise(F.col(f"`{text_col}`")))
     t = t.orderBy("_position", "_id", "_reading")
     new = {text_col: F.col("_text"), "n_chars": F.char_length("_text").cast("bigint")}
     return t.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
