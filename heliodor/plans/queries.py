@@ -468,7 +468,7 @@ def object_method_pivot(s, d):
 @query
 def metrics_table(s, d):
     t = results.object_method_pivot(tables.results(s, d), METHODS)
-    return t.select("object_name", *[F.coalesce(F.format_string("%.3f", F.round(m, 3)), F.lit("-")).alias(m) for m in METHODS])
+    return t.select("object_name", *[F.when(F.col(m).isNull(), "-").otherwise(F.format_string("%.3f", F.round(m, 3))).alias(m) for m in METHODS])
 
 
 def two_runs(s, d):

@@ -26,9 +26,9 @@ def test_components_match_a_flood_fill():
 
 
 def test_close_dilates_first_and_ignores_the_outside():
-    m = np.zeros((5, 7), int)
-    m[2, 1] = m[2, 5] = 1
-    assert K.close(m, 3, 2)[2].tolist() == [0, 1, 1, 1, 1, 1, 0]
+    m = np.zeros((9, 13), int)
+    m[4, 4] = m[4, 8] = 1
+    assert K.close(m, 3, 2)[4].tolist() == [0] * 4 + [1] * 5 + [0] * 4
     assert K.close(np.ones((3, 3), int)).all()
     assert K.opened(m).sum() == 0
 
