@@ -10,20 +10,22 @@ Texts of one shingle set are one point. Points are joined in regions:
    tokens of each, in any common order, have one in common; fuller buckets come first, as they are rarer. The number of
    buckets depends on a size class; a set gives tokens for its own class and for that of its largest possible partner.
    (Small sets use single hashes as tokens, which is the plain prefix filter. In larger classes a set has more than tau
-   filled buckets except with a chance below 1e-12 for evenly spread hashes; if it has not, all of them are used.)
-2. Pivots. In each region the smallest point is the pivot, and all other points of the region measure their distance to
-   it: a point within eps lies in the pivot's cell and joins its component. Then the pivot has met all its region and
-   leaves it; a region whose points are all in one component is done. The others recur with the next pivot.
-3. Windows. Distances to the last pivot bound those between points: only pairs whose distances to it differ by at most
-   eps are compared. Sizes bound them too. So a point at the boundary of a cell is compared with the pivots on both
-   sides, and one deep in a cell with none outside.
-4. When the regions left are so small that all their pairs are few, these are compared at once.
+   filled buckets except with a chance below 1e-7 for evenly spread hashes; if it has not, all of them are used.)
+2. Pivots. The smallest point with a token is the pivot of all points with that token; all points around a pivot are its
+   region, and measure their distance to it: a point within eps lies in the pivot's cell and joins its component. Then
+   the pivot has met all its region and leaves it; a region whose points are all in one component is done.
+3. Windows. The others join recursively: the points of a region are cut into slices, those of its commonest component
+   apart, and each pair of slices is a smaller region (no pair within that component is needed). Of points in different
+   components, those are compared whose distances to the pivot differ by at most eps (the triangle inequality) and
+   whose sketches, bits for 2,048 ranges of hashes, do not prove them too different: a set's hashes that the other lacks
+   change at most one bit each. So a point at the boundary of a cell is met on both sides, a deep one only inside.
 
 Every pair of linked points shares a region and is either compared, or in one component already when the comparison is
 left out; so the components are exact. Distances are computed from whole texts as sets of 64-bit shingle hashes.
 
-Skew: copies are one point; a region of many near copies is measured against one pivot at a time, in slices of SLICE
-points. Rounds are written to the shared folder. Broadcast: ids of candidate documents only, up to BROADCAST_IDS.
+Skew: copies are one point; a large region is measured against its pivot, and then joined, in slices of SLICE points.
+Steps are written to the shared folder. Broadcast: up to BROADCAST_IDS ids of copies or of candidate documents, beyond
+which the same joins shuffle.
 
 Defined results: null, empty and wordless texts have no shingles, link with nothing and are their own component; rows of
 one doc_id are one document when linking; a null doc_id links with nothing and has a null component; no rows in, no
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import discard, gram_hashes, hash_array, map_arrow, mix, split_words, text_bytes, word_hashes, written
 from .components import components
 
-LEAST_CLASS, SLICE, BROADCAST_IDS = 64, 2_000, 1_000_000
+LEAST_CLASS, SLICE, BROADCAST_IDS, SKETCH = 16, 2_000, 1_000_000, 2048
 SIGNED = "doc_id bigint, n_shingles bigint, set_hash binary, keys array<bigint>"
 MEASURED = "pivot bigint, id bigint, common bigint, size bigint, pivot_size bigint"
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -75,7 +77,8 @@ def signature_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         if c < 0:
             tokens, order = mix(s ^ np.uint64(0x5EED)), None
         else:
-            m = most_different(LEAST_CLASS << (c + 1), num, den) * 5 // 4 + 4
+            most = most_different(LEAST_CLASS << (c + 1), num, den)
+            m = most * 5 // 4 + min(most, 16) + 4
             bucket = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
             fill = np.diff(np.append(starts, n))
@@ -138,61 +141,126 @@ def measured(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return map_arrow(t, _measure(n), MEASURED)
 
 
+def _sketch(n: int):
+    """(id, sketch, size) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        cache = word_hashes()
+        for batch in batches:
+            bits, sizes = [], []
+            for text in text_bytes(batch.column(1)):
+                s = shingle_set(text, n, cache)
+                row = np.zeros(SKETCH, np.uint8)
+                row[(s % np.uint64(SKETCH)).astype(np.int64)] = 1
+                bits.append(np.packbits(row).tobytes())
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), pa.array(sizes, pa.int64())], names=["id", "sketch", "size"])
+
+    return run
+
+
+def close_pairs(a: tuple, b: tuple, num: int, den: int) -> list[tuple[int, int]]:
+    """Places (in a, in b) of points that may link. Each side: labels, windows (NaN: none), sizes, sketches as 0/1 rows."""
+    (la, wa, na, sa), (lb, wb, nb, sb) = a, b
+    out = []
+    useful = np.flatnonzero(~((lb.min() == lb.max()) & (la == lb[0])))  # rows of a with a partner of another label
+    for k in range(0, len(useful), 512):
+        rows = useful[k : k + 512]
+        common = sa[rows] @ sb.T
+        unlike = sa[rows].sum(axis=1)[:, None] + sb.sum(axis=1) - 2 * common
+        sizes = na[rows][:, None] + nb
+        good = (la[rows][:, None] != lb) & (unlike * (den + num) <= sizes * (den - num) + 0.5)
+        good &= den * np.minimum(na[rows][:, None], nb) >= num * np.maximum(na[rows][:, None], nb)
+        apart = np.abs(wa[rows][:, None] - wb)
+        good &= np.isnan(apart) | (apart <= (den - num) / den + 1e-9)
+        x, y = np.nonzero(good)
+        out += zip(rows[x].tolist(), y.tolist(), strict=True)
+    return out
+
+
+def _meet(num: int, den: int):
+    """Rows (region, sa, sb, slice, id, label, window, size, sketch) with each pair of slices together, to pairs (pivot, id) that may link."""
+
+    def of(group: list[tuple]) -> tuple:
+        sketches = np.unpackbits(np.frombuffer(b"".join(r[5] for r in group), np.uint8).reshape(len(group), -1), axis=1).astype(np.float32)
+        return (np.array([r[2] for r in group], np.int64), np.array([np.nan if r[3] is None else r[3] for r in group]), np.array([r[4] for r in group], np.int64), sketches)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        key, rows = None, []
+
+        def flush():
+            left, right = [r for r in rows if r[0] == key[1]], [r for r in rows if r[0] == key[2]]
+            if not left or not right:
+                return []
+            return [(max(left[x][1], right[y][1]), min(left[x][1], right[y][1])) for x, y in close_pairs(of(left), of(right), num, den)]
+
+        for batch in batches:
+            out = []
+            for region, a, b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (region, a, b) != key:
+                    if key is not None:
+                        out += flush()
+                    key, rows = (region, a, b), []
+                rows.append(tuple(row))
+            yield pa.RecordBatch.from_arrays([pa.array([p for _, p in out], pa.int64()), pa.array([i for i, _ in out], pa.int64())], names=["pivot", "id"])
+        out = flush() if key is not None else []
+        yield pa.RecordBatch.from_arrays([pa.array([p for _, p in out], pa.int64()), pa.array([i for i, _ in out], pa.int64())], names=["pivot", "id"])
+
+    return run
+
+
+def _slice_pairs(rows: DataFrame) -> DataFrame:
+    """Rows (region, id, label, window, size, sketch) repeated for each pair of slices (sa <= sb) that must meet; slices of a region's commonest label, negative, do not meet each other."""
+    counts = rows.groupBy("region", "label").agg(F.count("*").alias("n"))
+    major = counts.groupBy("region").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    slices = lambda n: F.ceil(n / SLICE).cast("int")
+    major = major.select("region", F.col("top.label").alias("top"), F.when(F.col("top.n") > 1, slices(F.col("top.n"))).otherwise(0).alias("n_top"), slices(F.col("all") - F.when(F.col("top.n") > 1, F.col("top.n")).otherwise(0)).alias("n_rest"))
+    t = rows.join(major, "region").withColumn("is_top", (F.col("label") == F.col("top")) & (F.col("n_top") > 0))
+    t = t.withColumn("slice", F.when(F.col("is_top"), -1 - F.pmod(F.xxhash64("id"), F.col("n_top"))).otherwise(F.pmod(F.xxhash64("id"), F.col("n_rest"))).cast("int"))
+    rest, top = F.expr("sequence(0, n_rest - 1)"), F.expr("transform(sequence(0, n_top - 1), k -> -1 - k)")
+    others = F.when(F.col("is_top"), rest).otherwise(F.when(F.col("n_top") > 0, F.concat(rest, top)).otherwise(rest))
+    t = t.filter("n_rest > 0").withColumn("other", F.explode(others))
+    return t.select("region", F.least("slice", "other").alias("sa"), F.greatest("slice", "other").alias("sb"), "slice", "id", "label", "window", "size", "sketch")
+
+
 def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; documents link when den * common >= num * union."""
     spark = docs.sparkSession
     t = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    light = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     signed = written(map_arrow(t, _sign(n, num, den), SIGNED), "signatures")
     slim = written(signed.drop("keys"), "set-hashes")
     known = "doc_id is not null and n_shingles > 0"
     points = written(slim.filter(known).groupBy("set_hash").agg(F.min("doc_id").alias("id")), "points")
-    tokens = signed.filter(known).join(points, "set_hash").filter("doc_id = id").select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
-    region = Window.partitionBy("key")
-    first = F.min(F.struct("id", "size")).over(region)
-    rows = tokens.withColumn("rows", F.count("*").over(region)).withColumn("head", first).filter("rows > 1")
-    rows = rows.select("key", "id", "size", F.col("head.id").alias("pivot"), F.col("head.size").alias("pivot_size"))
-    rows = rows.withColumns({"label": F.col("id"), "pivot_label": F.col("pivot"), "window": F.lit(None).cast("double"), "pivot_window": F.lit(None).cast("double")})
-    rows = written(rows, "regions")
+    copies = written(slim.filter(known).join(points, "set_hash").filter("doc_id <> id").select("doc_id", "set_hash").distinct(), "copies")
+    tokens = signed.filter(known).join(light(copies), ["doc_id", "set_hash"], "left_anti").select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    sharing = Window.partitionBy("key")
+    rows = tokens.withColumns({"rows": F.count("*").over(sharing), "region": F.min("id").over(sharing)}).filter("rows > 1")
+    rows = written(rows.select("region", "id").distinct(), "regions")
     discard(signed)
-    wanted = rows.select("id").distinct()
-    wanted = written(wanted, "candidates")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = written(t.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id")).select("id", "text"), "candidate-texts")
-
-    eps = (den - num) / den
-    may_link = F.expr(f"label <> pivot_label and {den} * least(size, pivot_size) >= {num} * greatest(size, pivot_size)") & (F.col("window").isNull() | F.col("pivot_window").isNull() | (F.abs(F.col("window") - F.col("pivot_window")) <= eps + 1e-9))
-    links = met = None
-    while True:
-        n_rows, n_pairs = rows.groupBy("key").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0))).head()
-        if not n_rows:
-            break
-        last = met is not None and n_pairs <= 4 * n_rows
-        if last:
-            heads = rows.select("key", F.col("id").alias("pivot"), F.col("size").alias("pivot_size"), F.col("label").alias("pivot_label"), F.col("window").alias("pivot_window"))
-            tries = rows.drop("pivot", "pivot_size", "pivot_label", "pivot_window").join(heads, "key").filter("pivot < id")
-        else:
-            tries = rows.filter("id <> pivot")
-        pairs = tries.filter(may_link).select("pivot", "id").distinct()
-        if met is not None:
-            pairs = pairs.join(met, ["pivot", "id"], "left_anti")
-        found = written(measured(written(pairs, "pairs"), texts, n).withColumn("distance", F.expr("1 - common / (size + pivot_size - common)")), "distances")
-        new = found.filter(f"{den} * common >= {num} * (size + pivot_size - common)").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-        if last:
-            break
-        seen = found.groupBy("pivot", "id").agg(F.min("distance").alias("distance"))
-        met = seen.drop("distance") if met is None else met.unionByName(seen.drop("distance"))
-        rows = rows.filter("id <> pivot").select("key", "id", "size", "pivot").join(seen, ["pivot", "id"], "left").join(labels, "id", "left")
-        rows = rows.select("key", "id", "size", F.coalesce("label", "id").alias("label"), F.col("distance").alias("window"))
-        rows = rows.withColumns({"least": F.min("label").over(region), "most": F.max("label").over(region), "head": F.min(F.struct("id", "size", "label", "window")).over(region)}).filter("least <> most")
-        rows = written(rows.select("key", "id", "size", F.col("head.id").alias("pivot"), F.col("head.size").alias("pivot_size"), "label", F.col("head.label").alias("pivot_label"), "window", F.col("head.window").alias("pivot_window")), "regions")
-    out = slim.join(points, "set_hash", "left")
-    out = out.withColumn("id", F.when(F.expr(known), F.col("id")))
-    if links is not None:
-        out = out.join(labels, "id", "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("bigint"))
+    wanted = written(rows.select("id").distinct(), "candidates")
+    texts = written(t.join(light(wanted), F.col("doc_id") == F.col("id")).select("id", "text"), "candidate-texts")
+
+    link = f"{den} * common >= {num} * (size + pivot_size - common)"
+    tries = rows.filter("id <> region").select(F.col("region").alias("pivot"), "id")
+    found = written(measured(tries, texts, n).withColumn("distance", F.expr("1 - common / (size + pivot_size - common)")), "distances")
+    links = found.filter(link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    labels = components(links)
+    seen = found.groupBy(F.col("pivot").alias("region"), "id").agg(F.min("distance").alias("window"))
+    open_rows = rows.filter("id <> region").join(seen, ["region", "id"], "left").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    region = Window.partitionBy("region")
+    open_rows = open_rows.withColumns({"least": F.min("label").over(region), "most": F.max("label").over(region)}).filter("least <> most")
+    open_rows = written(open_rows.select("region", "id", "label", "window"), "open-regions")
+    some = open_rows.select("id").distinct()
+    sketches = map_arrow(texts.join(some, "id").select("id", "text"), _sketch(n), "id bigint, sketch binary, size bigint")
+    # a doc_id with several texts has a row for each of them
+    meeting = _slice_pairs(open_rows.join(sketches, "id"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    meeting = meeting.repartition(parts, "region", "sa", "sb").sortWithinPartitions("region", "sa", "sb")
+    tries = map_arrow(meeting, _meet(num, den), "pivot bigint, id bigint").distinct().join(found.select("pivot", "id").distinct(), ["pivot", "id"], "left_anti")
+    more = measured(written(tries, "pairs"), texts, n).filter(link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    labels = components(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).unionByName(written(more, "links")))
+    out = slim.join(points, "set_hash", "left").withColumn("id", F.when(F.expr(known), F.col("id"))).join(labels, "id", "left")
     # rows of one doc_id with different texts are one document: their points are linked through it
     return out.select("doc_id", "n_shingles", F.coalesce("label", "id", "doc_id").alias("component_id"))
 

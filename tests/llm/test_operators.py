@@ -274,12 +274,12 @@ def test_jaccard_chains_of_near_copies(spark):
             base[r.randrange(90)] = f"v{r.random()}"
         out.append((k, " ".join(base), *[None] * 8))
     t = spark.createDataFrame(out, SCHEMA)
-    few = jaccard.FEW
+    size = jaccard.SLICE
     try:
-        for jaccard.FEW in (0.1, few):  # by pivots as long as can be, and at once
+        for jaccard.SLICE in (7, size):
             check(map(tuple, jaccard.shingle_components(t, 4, 85, 100).collect()), plain_components(out, 4, 85, 100))
     finally:
-        jaccard.FEW = few
+        jaccard.SLICE = size
 
 
 def test_jaccard_of_nothing(empty):
@@ -305,6 +305,8 @@ def test_bpe(docs, rows, empty):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     got = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
     check([(r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got], [(r[0], np.array(own.encode_ordinary(r[1] or ""), "<u4").tobytes(), (r[1] or "").encode()) for r in rows])
+    both = bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN).collect()
+    check([(r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in both], [(r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got])
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
     table = bpe.token_table(RANKS)
     text = "naïve 漢字 🙂 end"
