@@ -175,3 +175,11 @@ SQL["experiment_metrics"] = regions(
     f" SELECT (SELECT round({_PAIRS_AUROC}, 6) FROM img a, img b WHERE a.label = 1 AND b.label = 0) AS auroc, (" + SQL["pixel_auroc"] + ") AS pixel_auroc, (" + SQL["iou_pooled"] + ") AS iou, g.*, round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM g",
     _HIT,
 )
+
+_TOY = "WITH t AS (SELECT i // 100 AS image_id, (i % 100 // 10)::INT AS y, (i % 10)::INT AS x, ('0x' || left(md5('1338/' || i), 8))::BIGINT / 4294967296.0::DOUBLE AS score FROM range(0, 2000) r(i)), toy AS (SELECT *, (y < 3 AND x < 3)::INT AS gt_mask FROM t)"
+SQL["toy_dataset"] = _TOY + " SELECT image_id, y, x, round(score, 6) AS score, gt_mask FROM toy"
+SQL["toy_curve_areas"] = (
+    _TOY + ", s AS (SELECT score, sum(1 - gt_mask) AS ok, sum(gt_mask / 9.0::DOUBLE) AS hit FROM toy GROUP BY score)"
+    ", c0 AS (SELECT score AS threshold, (sum(ok) OVER w / (SELECT sum(ok) FROM s))::DOUBLE AS fpr, (sum(hit) OVER w / 20)::DOUBLE AS pro FROM s WINDOW w AS (ORDER BY score DESC) UNION ALL SELECT 'infinity'::DOUBLE, 0, 0)"
+    f" SELECT round(area / 0.3, 6) AS au_pro, (SELECT round({_PAIRS_AUROC}, 6) FROM toy a, toy b WHERE a.gt_mask = 1 AND b.gt_mask = 0) AS auroc FROM " + _AREA.format(x="fpr", y="pro", c="c0")
+)

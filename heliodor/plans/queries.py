@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import vectors as V
 from ..operators import curves, grid, knn, results, segment
-from ..sources import catalog, tables
+from ..sources import catalog, tables, toy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 METHODS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -600,3 +600,16 @@ def config_lookup(s, d):
     config = s.createDataFrame([(f"src{k}", k % 2 == 0) for k in range(10)], "category string, rotate boolean")
     t = tables.catalog(s, d).groupBy("category").agg(F.count("*").alias("n_files"))
     return t.join(F.broadcast(config), "category", "left").withColumn("rotate", F.coalesce("rotate", F.lit(False)))
+
+
+@query
+def toy_dataset(s, d):
+    return r6(toy.toy_cells(s), "score")
+
+
+@query
+def toy_curve_areas(s, d):
+    """Exact overlap area and cell AUROC of the made-up set, whose scores do not know its defects."""
+    t = toy.toy_cells(s)
+    area = curves.trapezoid(curves.pro_curve(t, segment.components(t)), "fpr", "pro", F.desc("threshold"), 0.3)
+    return r6(area.withColumnRenamed("area", "au_pro").join(F.broadcast(curves.auroc(t, "gt_mask"))), "au_pro", "auroc")
