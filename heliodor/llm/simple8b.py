@@ -23,21 +23,34 @@ _HEAD = struct.Struct("<4sIIQIIII")
 _PAD = 64
 
 
+_LENGTH = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
+
+
+def _lengths(ids: np.ndarray) -> np.ndarray:
+    """Bit lengths of unsigned 64-bit ids."""
+    if int(ids.max()) < 1 << 16:
+        return _LENGTH[ids]
+    high, low = (ids >> np.uint64(32)).astype(np.float64), (ids & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
+
+
 def _choose(bits: np.ndarray) -> np.ndarray:
     """For a (blocks, BLOCK + padding) array of bit lengths, the selector that packs most ids from each position."""
     width = bits.shape[1] - _PAD
-    powers = {1: bits}
-    for p in (2, 4, 8, 16, 32):
-        half, out = powers[p // 2], np.zeros_like(bits)
-        out[:, : -p // 2] = np.maximum(half[:, : -p // 2], half[:, p // 2 :])
-        powers[p] = out
-    best = np.zeros((bits.shape[0], width), np.uint8)
-    for s in range(14, 0, -1):  # from few ids in a word to many
+    powers, best = {1: bits}, np.zeros((bits.shape[0], width), np.uint8)
+    for s in range(14, 0, -1):  # from few ids in a word to many; where few do not fit, more do not
         c = int(COUNTS[s])
         p = 1 << (c.bit_length() - 1)
+        if p not in powers:
+            half, out = powers[p // 2], np.zeros_like(bits)
+            np.maximum(half[:, : -p // 2], half[:, p // 2 :], out=out[:, : -p // 2])
+            powers[p] = out
         top = np.maximum(powers[p][:, :width], powers[p][:, c - p : c - p + width]) if c > p else powers[p][:, :width]
-        best[top <= 60 // c] = s
-    return best
+        fits = (top <= 60 // c).view(np.uint8)
+        if not fits.any():
+            break
+        np.maximum(best, fits * np.uint8(15 - s), out=best)
+    return np.where(best > 0, 15 - best, 0).astype(np.uint8)
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,14 +59,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint64)
-    grid = np.zeros((blocks, BLOCK + _PAD), np.uint64)
-    full = n // BLOCK
-    grid[:full, :BLOCK] = ids[: full * BLOCK].reshape(full, BLOCK)
-    if full < blocks:
-        grid[full, : n - full * BLOCK] = ids[full * BLOCK :]
-    high = (grid >> np.uint64(32)).astype(np.float64)
-    low = (grid & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    bits = np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
+    flat = np.zeros(blocks * BLOCK + _PAD, np.uint64)
+    flat[:n] = ids
+    bits = np.zeros((blocks, BLOCK + _PAD), np.uint8)
+    bits[:, :BLOCK] = _lengths(flat[: blocks * BLOCK]).reshape(blocks, BLOCK)
     choice = _choose(bits)
     used = np.full(blocks, BLOCK, np.int64)
     used[-1] = n - (blocks - 1) * BLOCK
@@ -62,19 +71,23 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begins[rows, at[rows]] = True
         at[rows] += COUNTS[choice[rows, at[rows]]]
         rows = rows[at[rows] < used[rows]]
-    row, col = np.nonzero(begins)
-    selector = choice[row, col]
-    words, escapes = np.empty(len(row), np.uint64), np.empty(0, np.uint64)
+    begin = np.flatnonzero(begins)
+    row, selector = begin // BLOCK, choice.reshape(-1)[begin]
+    words, escapes = np.empty(len(begin), np.uint64), np.empty(0, np.uint64)
+    ends = (row + 1) * BLOCK
     for s in np.unique(selector):
         mine = np.flatnonzero(selector == s)
-        c = int(COUNTS[s])
+        c, first = int(COUNTS[s]), begin[mine]
         if s == 0:
-            escapes = grid[row[mine], col[mine]]
+            escapes = flat[first]
             words[mine] = np.arange(len(mine), dtype=np.uint64)
             continue
         packed = np.zeros(len(mine), np.uint64)
         for k in range(c):
-            packed |= grid[row[mine], col[mine] + k] << np.uint64(k * (60 // c))
+            id_k = flat[first + k]
+            if k:  # a block's last word may reach past its end
+                id_k *= first + k < ends[mine]
+            packed |= id_k << np.uint64(k * (60 // c))
         words[mine] = packed | np.uint64(int(s) << 60)
     return words, np.searchsorted(row, np.arange(blocks)).astype(np.uint32), escapes
 

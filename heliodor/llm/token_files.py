@@ -16,59 +16,100 @@ doc_ids first; other columns are not read; no rows in, no rows out.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import Cached, map_arrow, parts_for, range_bucket, range_splits, split_words, text_bytes, written
+from .bpe import byte_characters
+from .common import Cached, held, map_arrow, parts_for, range_bucket, range_splits, split_words, text_bytes, written
 
 END_ID, SEGMENT_IDS = 2, 1 << 20
 SEGMENTS = "range int, segment int, n_docs int, n_ids bigint, payload binary"
 DECODED = "range int, segment int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def chunk_ids(path: str) -> Cached:
-    """Ids of a chunk of text without white space as little-endian u32, by the tokenizer file at path."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return Cached(lambda w: np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes(), 400_000)
+class ChunkIds(dict):
+    """Ids, as little-endian u32, of chunks of text without white space, by the tokenizer file at path.
+
+    The tokenizer cuts a chunk into pieces (its normaliser's lower case and its pattern, below) and encodes each by its
+    BPE model. Plain chunks are cut here and their pieces, of which there are fewer, are kept as well; any other chunk
+    (control or far characters, no NFC, special tokens) goes through the whole tokenizer. Two generations bound the
+    memory: what was used since the last change stays.
+    """
+
+    #: Fixed value: the tokenizer's pattern for pieces of lower-case text.
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+    def __init__(self, path: str, bound: int = 400_000):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.bound, self.old = Tokenizer.from_file(path), bound, {}
+        self.model, table = self.tokenizer.model, byte_characters()
+        spelled = lambda piece: piece if piece.isascii() else "".join(map(table.__getitem__, piece.encode()))
+        self.pieces = Cached(lambda piece: array("I", [t.id for t in self.model.tokenize(spelled(piece))]).tobytes(), bound)
+        self.special = re.compile(b"|".join(sorted({re.escape(t.content.encode()[:2]) for t in self.tokenizer.get_added_tokens_decoder().values()})) or b"(?!)").search
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        out = self.old.get(chunk)
+        if out is None:
+            text = chunk.decode()
+            plain = text.isprintable() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text))  # all of these are in NFC
+            if plain and not self.special(chunk):
+                low = text.lower()
+                if low.isalpha():
+                    out = self.pieces[low]
+                elif low[:-1].isalpha() and not low[-1].isnumeric():
+                    out = self.pieces[low[:-1]] + self.pieces[low[-1]]
+                else:
+                    out = b"".join(map(self.pieces.__getitem__, self.PIECES.findall(low)))
+            else:
+                out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = out
+        return out
 
 
 def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        ids_of, end = chunk_ids(path), np.array([end_id], "<u4").tobytes()
+        ids_of, end = held(("chunk ids", path), lambda: ChunkIds(path)), np.array([end_id], "<u4").tobytes()
         doc_ids: list = []
         lengths: list[int] = []
         parts: list[bytes] = []
-        at = held = 0
+        at = pending = 0
         place = None
 
         def flush():
-            nonlocal doc_ids, lengths, parts, held, at
+            nonlocal doc_ids, lengths, parts, pending, at
             ids = np.frombuffer(b"".join(parts), "<u4")
             out = pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([at], pa.int32()), pa.array([len(doc_ids)], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([simple8b.pack_segment(doc_ids, lengths, ids)], pa.binary())], names=["range", "segment", "n_docs", "n_ids", "payload"])
-            doc_ids, lengths, parts, held, at = [], [], [], 0, at + 1
+            doc_ids, lengths, parts, pending, at = [], [], [], 0, at + 1
             return out
 
         for batch in batches:
-            for spot, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
-                if doc_ids and (spot != place or held >= SEGMENT_IDS):
+            texts = [split_words(x) for x in text_bytes(batch.column(2))]
+            for spot, doc_id, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+                if doc_ids and (spot != place or pending >= SEGMENT_IDS):
                     yield flush()
                 if spot != place:
                     place, at = spot, 0
                 # the tokenizer's white space is wider than ASCII's; a chunk may hold more of it and is encoded whole
-                coded = b"".join(map(ids_of.__getitem__, split_words(text))) + end
+                coded = b"".join(map(ids_of.__getitem__, words)) + end
                 doc_ids.append(doc_id)
                 lengths.append(len(coded) // 4)
                 parts.append(coded)
-                held += len(coded) // 4
+                pending += len(coded) // 4
         if doc_ids:
             yield flush()
 
