@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cached, map_arrow, text_bytes
+from .common import Cached, held, map_arrow, text_bytes
 
 ENCODED, DECODED = "doc_id bigint, ids binary", "doc_id bigint, ids binary, decoded binary"
 
 
-@lru_cache(2)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -56,7 +55,6 @@ def last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | No
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
-@lru_cache(2)
 def model(path: str):
     """The library's BPE model of a file of ranks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,10 +66,14 @@ def model(path: str):
     return BPE(vocab={name(t): r for t, r in ranks.items()}, merges=[(name(a), name(b)) for a, b in pairs], ignore_merges=True)
 
 
-def piece_ids(path: str, bound: int = 300_000) -> Cached:
+def piece_ids(path: str, bound: int = 150_000) -> Cached:
     """Ids of one match of the pattern as bytes of little-endian u32."""
-    bpe, table = model(path), byte_characters()
-    return Cached(lambda piece: np.array([t.id for t in bpe.tokenize("".join(map(table.__getitem__, piece.encode())))], "<u4").tobytes(), bound)
+
+    def make() -> Cached:
+        bpe, table = model(path), byte_characters()
+        return Cached(lambda piece: array("I", [t.id for t in bpe.tokenize("".join(map(table.__getitem__, piece.encode())))]).tobytes(), bound)
+
+    return held(("piece ids", path), make)
 
 
 def encode_text(text: str, pieces: Cached, cut) -> bytes:
@@ -117,6 +119,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), _decode(path), DECODED)
 
 
+def _both(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        return _decode(path)(_encode(path, pattern)(batches))
+
+    return run
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one Python worker instead of two."""
+    return map_arrow(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), _both(path, pattern), DECODED)
+
+
 def decode_text(ids: list[int], table: list[bytes]) -> str:
     """The text of any run of ids; what is left of characters cut at its ends becomes U+FFFD."""
     return b"".join(table[i] for i in ids).decode("utf-8", "replace")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode, encode
+from .bpe import encode_decode
 from .common import documents
 from .fingerprints import compare_with_edits
 from .jaccard import shingle_components
@@ -47,8 +47,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
-    return decode(coded, path).select(
+    return encode_decode(documents(spark, sf_dir), path, public_tokenizers.PATTERN).select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -113,4 +112,30 @@ SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
 FROM z
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+r(doc_id, near) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.near)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(near) AS component_id
+FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+"""
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT place, k, array_to_string(w[k:k + 34], ' ') AS g FROM (SELECT place, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)),
+r AS (SELECT place, k FROM v QUALIFY count(*) OVER (PARTITION BY g) > 1),
+gone AS (SELECT DISTINCT place, k + j AS spot FROM r, range(0, 35) t(j)),
+words AS (SELECT place, unnest(range(1, len(w) + 1)) AS spot, unnest(w) AS word FROM d),
+kept AS (SELECT place, string_agg(word, ' ' ORDER BY spot) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (place, spot) GROUP BY place)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (place)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op8_mixing": OP8_SQL, "op9_substrings": OP9_SQL}
