@@ -231,7 +231,8 @@ def _parts(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[Da
     classes = written(classes.withColumn("ord", F.row_number().over(Window.partitionBy("doc_key").orderBy("seq_hash"))), "classes")
     runs = long.select("seq_hash", F.col("doc_key").alias("own"), "grams", "starts", "ends").join(classes, "seq_hash").filter("own = doc_key")
     runs = runs.select("doc_key", "ord", F.explode(F.arrays_zip("grams", "starts", "ends")).alias("r")).select("doc_key", "ord", F.col("r.grams").alias("gram"), F.col("r.starts").alias("start"), F.col("r.ends").alias("end"))
-    runs = runs.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).filter("n > 1")
+    runs = written(runs, "anchors")  # counted before they are shuffled, so a common anchor is no hot key
+    runs = runs.join(runs.groupBy(F.col("gram").alias("again")).agg(F.count("*").alias("n")).filter("n > 1"), F.col("gram") == F.col("again"))
     wanted = runs.groupBy("doc_key", "ord").agg(F.collect_list(F.struct("gram", "start", "end", (F.col("n") > HOT).alias("hot"))).alias("runs"))
     wanted = written(wanted.join(classes.select("doc_key", "ord", "seq_hash"), ["doc_key", "ord"]), "repeated-anchors")
     discard(signed)
@@ -250,7 +251,7 @@ def _parts(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[Da
     spans = spans.select("doc_key", "ord", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span"))
     has_hot = source.filter(F.exists("runs", lambda r: r.hot))
     hot = written(map_arrow(has_hot, _cut(window, True), "gram bigint, doc_key bigint, ord int, start int, words binary, run binary"), "hot-runs")
-    once = hot.groupBy("gram", "run").agg(F.count("*").alias("n"), F.first("words").alias("words"))
+    once = hot.groupBy("gram", "run").agg(F.count("*").alias("n"), F.first("words").alias("words"))  # all equal
     once = written(once.withColumn("distinct", F.count("*").over(Window.partitionBy("gram"))), "distinct-runs")
     found = trees(once.filter(F.col("distinct") <= HOT_DISTINCT).select("gram", "words", "n", "run"), ["run"], (pa.binary(),), "run binary")
     wide = map_arrow(once.filter(F.col("distinct") > HOT_DISTINCT).select("run", "words", "n"), _cut_windows(window), "prefix binary, run binary, a int, n bigint")
