@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A Python worker holds about one Arrow batch; rows are cut by bytes, since texts differ in length by orders.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,19 +54,39 @@ class Cached(dict):
         return out
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: workers stay alive between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
 _held: dict = {}
 
 
 def held(key, make: Callable):
-    """make(), once for each process: Python workers keep it from task to task."""
+    """make(), once for each process: Python workers keep it from task to task, until they are asked for another key."""
     if key not in _held:
+        if _held:  # a worker serves one operator after another; only the last one's memory stays
+            _held.clear()
+            give_back()
         _held[key] = make()
     return _held[key]
 
 
 def word_hashes() -> Cached:
     """64-bit hashes of words, equal in every process."""
-    return held("word hashes", lambda: Cached(lambda w: xxhash.xxh3_64_intdigest(w), 200_000))
+    return held("word hashes", lambda: Cached(lambda w: xxhash.xxh3_64_intdigest(w), 100_000))
 
 
 def hash_array(words: list[bytes], cache: Cached) -> np.ndarray:
@@ -96,7 +118,7 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     bound_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(lean(function), schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

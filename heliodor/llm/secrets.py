@@ -170,7 +170,7 @@ class Field:
 class Scores(dict):
     """Own scores and context class of words, by an index into growing tables."""
 
-    def __init__(self, field: Field, bound: int = 400_000):
+    def __init__(self, field: Field, bound: int = 120_000):
         super().__init__()
         self.field, self.bound = field, bound
         self.by_shape = Cached(lambda features: field.own[list(features)].sum(axis=0), 50_000)
