@@ -1,16 +1,19 @@
 """Secret scans: base patterns, and a linear-chain conditional random field that adds to them.
 
-Every whitespace-separated word of a whole text is tagged begin, inside or outside of a secret. A word's score comes
+Every piece of a whole text is tagged begin, inside or outside of a secret. A piece is one run of characters that a
+secret can have, with what stands next to it up to the neighbouring runs of its whitespace-separated word; a word
+without such a run is one piece. So minified JSON, query strings and header dumps can hold any number of secrets in one
+word. Words are also cut where a base span begins or ends, so what stands beside it is judged by itself. A piece's score comes
 from its own shape (lengths, character classes and their changes, alphabets, entropy), from the classes of the two
-words before it and the one after (keyword, assignment sign, quote, number, other) and from features of the file; label
+pieces before it and the one after (keyword, assignment sign, quote, number, other) and from features of the file; label
 pairs add a transition score; Viterbi finds the best tags. The weights are fitted by maximum likelihood here, on windows
 around base matches and elsewhere in at most about SAMPLE documents (the bound on labelled rows) chosen by a hash of
 their id, and on made-up secrets put in their places, so that other alphabets and keywords are learnt too.
 
-Decoding is exact but mostly free: where a word's score for outside leads by more than any transitions could make up,
-outside is on every best path, so Viterbi runs only over the words between such places.
+Decoding is exact but mostly free: where a piece's score for outside leads by more than any transitions could make up,
+outside is on every best path, so Viterbi runs only over the pieces between such places.
 
-Base spans always stay; a tagged span (kind `crf`) is added if it overlaps none of them.
+Base spans always stay; tagged runs (kind `crf`) that overlap none of them are added.
 
 Defined results: a null text is empty and has no spans; repeated rows get equal results; other columns are not read; a
 table without any secret is scanned with weights learnt from made-up ones; no rows in, no rows out.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from random import Random
 
@@ -64,10 +68,18 @@ def core(word: str) -> tuple[int, int]:
     return max(((m.start(), m.end()) for m in CORE.finditer(word)), key=lambda x: x[1] - x[0], default=(0, 0))
 
 
+def pieces(word: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, start of its run, end of its run) of every piece of a word; the separators between two runs are in both pieces."""
+    runs = [m.span() for m in CORE.finditer(word)]
+    if len(runs) < 2:
+        return [(0, len(word), *(runs[0] if runs else (0, 0)))]
+    return [(lo, hi, a, b) for (a, b), lo, hi in zip(runs, [0, *(b for _, b in runs[:-1])], [*(a for a, _ in runs[1:]), len(word)], strict=True)]
+
+
 def context(word: str) -> int:
     if KEYWORD.search(word):
         return KEY
-    if word in ("=", ":", ":=", "=>") or word[-1] in "=:":
+    if word in ("=", ":", ":=", "=>") or word.rstrip("\"'`")[-1:] in ("=", ":"):
         return SIGN
     if word[0] in "\"'`":
         return QUOTE
@@ -168,27 +180,38 @@ class Field:
 
 
 class Scores(dict):
-    """Own scores and context class of words, by an index into growing tables."""
+    """Own scores and context class of the pieces of words: the index of a word's first piece in growing tables, and their number."""
 
     def __init__(self, field: Field, bound: int = 120_000):
         super().__init__()
         self.field, self.bound = field, bound
         self.by_shape = Cached(lambda features: field.own[list(features)].sum(axis=0), 50_000)
-        self.own, self.context = np.zeros((1 << 16, 3), np.float32), np.zeros(1 << 16, np.int8)
+        self.used = 0
+        self.own, self.context, self.count = np.zeros((1 << 16, 3), np.float32), np.zeros(1 << 16, np.int8), np.ones(1 << 16, np.int32)
 
     def __missing__(self, raw: bytes) -> int:
-        k, word = len(self), raw.decode()
-        self[raw] = k
-        if k >= len(self.own):
-            self.own = np.concatenate([self.own, np.zeros_like(self.own)])
-            self.context = np.concatenate([self.context, np.zeros_like(self.context)])
-        self.own[k], self.context[k] = self.by_shape[tuple(shape(word))], context(word)
+        k, word = self.used, raw.decode()
+        found = pieces(word)
+        self[raw], self.used = k, k + len(found)
+        while self.used > len(self.own):
+            self.own, self.context, self.count = (np.concatenate([t, np.zeros_like(t)]) for t in (self.own, self.context, self.count))
+        self.count[k] = len(found)
+        for j, (lo, hi, _, _) in enumerate(found, k):
+            self.own[j], self.context[j] = self.by_shape[tuple(shape(word[lo:hi]))], context(word[lo:hi])
         return k
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.bound:
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
+        """Table indices of all pieces; the place of each word's first piece among them, or None if every word is one piece."""
+        if self.used > self.bound:
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            self.used = 0
+        index = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        count = self.count[index]
+        total = int(count.sum())
+        if total == len(words):
+            return index, None
+        first = np.cumsum(count) - count
+        return np.repeat(index - first, count) + np.arange(total), first
 
 
 def shifted(classes: np.ndarray, by: int) -> np.ndarray:
@@ -201,15 +224,29 @@ def shifted(classes: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def tagged(text: str, raw: bytes, low: bytes, scores: Scores) -> list[tuple[int, int]]:
-    """Spans that the field tags in a whole text, given as bytes too."""
-    words = split_words(raw)
+def cut_places(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Places of the words of a text, cut where base spans begin and end."""
+    places = [m.span() for m in WORD.finditer(text)]
+    borders = sorted({x for s, _, e, _ in base for x in (s, e)})
+    if not borders:
+        return places
+    out = []
+    for a, b in places:
+        inner = borders[bisect_right(borders, a) : bisect_left(borders, b)]
+        out += zip((a, *inner), (*inner, b), strict=True)
+    return out
+
+
+def tagged(text: str, raw: bytes, low: bytes, scores: Scores, base: list[tuple[int, int, int, int]] = ()) -> list[tuple[int, int]]:
+    """Spans that the field tags in a whole text, given as bytes too, outside of base spans."""
+    places = cut_places(text, base) if base else None
+    words = [text[a:b].encode() for a, b in places] if base else split_words(raw)
     if not words:
         return []
-    f, index = scores.field, scores.of(words)
+    f, (index, first) = scores.field, scores.of(words)
     c = scores.context[index]
     s = scores.own[index].astype(np.float64) + f.before[shifted(c, 1)] + f.after[shifted(c, -1)]
-    if len(words) > 2:
+    if len(c) > 2:
         s += f.before2[shifted(c, 2)]
     else:
         s += f.before2[NONE]
@@ -222,15 +259,26 @@ def tagged(text: str, raw: bytes, low: bytes, scores: Scores) -> list[tuple[int,
         tags |= {k: y for k, y in zip(run.tolist(), f.viterbi(s[run]), strict=True) if y}
     if not tags:
         return []
-    places = [m.span() for m in WORD.finditer(text)]
+    places = places or cut_places(text, [])
+    ends = np.maximum.accumulate([e for _, _, e, _ in base])
     out: list[tuple[int, int]] = []
+    at, runs, last = -1, [], -2
     for k in sorted(tags):
-        a, b = core(words[k].decode())
-        a, b = places[k][0] + a, places[k][0] + b
-        if tags[k] == 2 and k - 1 in tags and out:
+        w = k if first is None else int(np.searchsorted(first, k, side="right")) - 1
+        if w != at:
+            at, runs = w, pieces(words[w].decode())
+        _, _, a, b = runs[k - (w if first is None else int(first[w]))]
+        a, b = places[w][0] + a, places[w][0] + b
+        before = bisect_left(base, (b,))
+        if before and ends[before - 1] > a:
+            continue
+        joined = tags[k] == 2 and last == k - 1
+        if joined and b > a:
             out[-1] = (out[-1][0], b)
         elif b > a:
             out.append((a, b))
+        if joined or b > a:
+            last = k
     return out
 
 
@@ -238,8 +286,7 @@ def all_spans(text: str, scores: Scores) -> list[tuple[int, int, int, int]]:
     raw = text.encode()
     low = raw.lower()
     base = base_spans(text, low)
-    more = [(a, 3, b, a) for a, b in tagged(text, raw, low, scores) if not any(a < e and s < b for s, _, e, _ in base)]
-    return sorted(base + more)
+    return sorted(base + [(a, 3, b, a) for a, b in tagged(text, raw, low, scores, base)])
 
 
 def written_spans(spans: list[tuple[int, int, int, int]]) -> str:
@@ -250,18 +297,19 @@ def written_spans(spans: list[tuple[int, int, int, int]]) -> str:
 
 
 def windows(text: str, random: Random, quiet: int = 1) -> list[tuple[list[str], list[int], list[int]]]:
-    """(words, labels, file features) around each base match, and around a few other words."""
-    places = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    if not places:
+    """(pieces, labels, file features) around each base match, and around a few other pieces."""
+    found = [(m.start(), p) for m in WORD.finditer(text) for p in pieces(m.group())]
+    if not found:
         return []
+    places = [(at + lo, at + hi) for at, (lo, hi, _, _) in found]
     raw = text.encode()
     base = base_spans(text, raw.lower())
     label = [0] * len(places)
-    starts = np.array([a for a, _ in places])
+    starts = np.array([at + a for at, (_, _, a, _) in found])
     for _, _, end, value in base:
         k = int(np.searchsorted(starts, value, side="right")) - 1
         first = True
-        while k < len(places) and places[k][0] < end:
+        while k < len(places) and starts[k] < end:
             label[k], first, k = label[k] or (1 if first else 2), False, k + 1
     spots = [k for k, y in enumerate(label) if y == 1][:20]
     spots += [random.randrange(len(places)) for _ in range(quiet)]

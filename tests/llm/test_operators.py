@@ -179,6 +179,32 @@ def test_field_finds_held_out_secrets():
     assert hidden == 'a token = "[SECRET]" b'
 
 
+def test_every_secret_of_a_word_is_found(docs):
+    r = Random(11)
+    scores = secrets.Scores(secrets.fit_field(docs))
+    make = lambda: "".join(r.choice(secrets.ALPHABETS[2]) for _ in range(36))
+    say = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    shapes = ('{{"auth":"{}","session":"{}"}}', "https://host/long/path/of/words?sig={}&key={}", '{{"token":"{}","auth":"{}","private":"{}"}}', "[Authorization:{};X-Auth:{};Cookie:{}]", 'ä{{"auth":"{}","größe":7,"credential":"{}"}}')
+    found = total = 0
+    for shape in shapes:
+        for _ in range(20):
+            values = [make() for _ in range(shape.count("{}"))]
+            word = shape.format(*values)
+            hidden = secrets.redacted(f"{say(20)} {word} {say(20)}", scores)
+            found, total = found + sum(v not in hidden for v in values), total + len(values)
+    assert found >= 0.9 * total
+    text = f'{say(9)} {{"hash":"{"0123456789abcdef" * 2}","auth":"{make()}"}} {say(9)}'
+    assert [k for _, k, _, _ in secrets.all_spans(text, scores)] == [2, 3]
+
+
+def test_pieces_cover_the_runs_of_a_word():
+    for word in ("word", "...", "don't", 'ü{"a":"b.c","d":"e="}', "?a=1&b=2", "größe"):
+        found = secrets.pieces(word)
+        runs = [m.span() for m in secrets.CORE.finditer(word)]
+        assert [(a, b) for _, _, a, b in found if b > a] == runs and found[0][0] == 0 and found[-1][1] == len(word)
+        assert all(secrets.core(word[lo:hi]) == ((a - lo, b - lo) if b > a else (0, 0)) for lo, hi, a, b in found)
+
+
 def test_open_words_decode_as_the_whole_sequence():
     rng = np.random.default_rng(2)
     field = secrets.Field(np.zeros((sum(secrets.Field.SIZES), 3)), np.array([[1.5, -2.0, -4.0], [-1.0, -2.5, -1.0], [-1.0, -1.5, -0.5]]))
