@@ -1,5 +1,6 @@
 """The corpus operators against plain versions, on documents with every odd case."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -472,3 +473,26 @@ def test_bands_reject_noise_and_repeats():
     assert not quality.measure(bytes(r.randrange(128, 256) for _ in range(20000)).replace(b" ", b"x") + b" " + b" ".join(bytes([65 + k]) * 3 for k in range(12)), packer)[-1]
     assert not quality.measure(("the same line again and again and again\n" * 200).encode(), packer)[-1]
     assert len(noise) > 0
+
+
+def test_bands_reject_base64_of_every_length():
+    r = Random(5)
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    for size in (600, 770, 1000, 1200, 1500, 2000, 3000, 4095, 4096, 5000, 15000, 20000, 100_000):
+        text = base64.encodebytes(r.randbytes(size))[:size]
+        *_, odd, kept = quality.measure(text, packer)
+        assert not kept and odd == 1.0, size
+    common = "the of and to in is that for it as was with be by on not he this are or his from at which but have an had they you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only".split()
+    prose = lambda n: (" ".join(r.choice(common) + r.choice(("", ",", "ing", "ed")) for _ in range(n // 3))[:n] + "\n").encode()
+    assert quality.measure(prose(40_000), packer)[-1]
+    assert not quality.measure(prose(20_000) + base64.encodebytes(r.randbytes(30_000)) + prose(20_000), packer)[-1]
+
+
+def test_bands_keep_dense_scripts():
+    r = Random(6)
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    signs, weights = [chr(0x4E00 + 7 * k) for k in range(900)], [1 / (k + 8) for k in range(900)]
+    for n in (400, 600, 1000):  # a ratio below that of base64 of the same length is clean in scripts of three bytes a character
+        text = " ".join("".join(r.choices(signs, weights, k=20)) for _ in range(n // 20)).encode()
+        *_, ratio, _, kept = quality.measure(text, packer)
+        assert kept and quality.band(text)[0] <= ratio < 1.7
