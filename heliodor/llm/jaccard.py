@@ -28,7 +28,7 @@ Steps are written to the shared folder. Broadcast: up to BROADCAST_IDS ids of co
 which the same joins shuffle.
 
 Defined results: null, empty and wordless texts have no shingles, link with nothing and are their own component; rows of
-one doc_id are one document when linking; a null doc_id links with nothing and has a null component; no rows in, no
+one doc_id are one document, in one component, whatever their texts; a null doc_id links with nothing and has a null component; no rows in, no
 rows out; other columns are not read.
 """
 
@@ -233,6 +233,10 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     known = "doc_id is not null and n_shingles > 0"
     points = written(slim.filter(known).groupBy("set_hash").agg(F.min("doc_id").alias("id")), "points")
     copies = written(slim.filter(known).join(points, "set_hash").filter("doc_id <> id").select("doc_id", "set_hash").distinct(), "copies")
+    kind = F.xxhash64("set_hash", "n_shingles")
+    several = slim.filter("doc_id is not null").groupBy("doc_id").agg(F.min(kind).alias("a"), F.max(kind).alias("b")).filter("a <> b").select("doc_id")
+    several = light(written(several, "repeated-ids"))
+    same = written(slim.filter(known).join(several, "doc_id").join(points, "set_hash").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct(), "repeated-links")
     tokens = signed.filter(known).join(light(copies), ["doc_id", "set_hash"], "left_anti").select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     sharing = Window.partitionBy("key")
     rows = tokens.withColumns({"rows": F.count("*").over(sharing), "region": F.min("id").over(sharing)}).filter("rows > 1")
@@ -245,8 +249,9 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     tries = rows.filter("id <> region").select(F.col("region").alias("pivot"), "id")
     found = written(measured(tries, texts, n).withColumn("distance", F.expr("1 - common / (size + pivot_size - common)")), "distances")
     links = found.filter(link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    labels = components(links)
-    seen = found.groupBy(F.col("pivot").alias("region"), "id").agg(F.min("distance").alias("window"))
+    labels = components(links.unionByName(same))
+    # of several texts of an id each is somewhere else, so it has no window
+    seen = found.groupBy(F.col("pivot").alias("region"), "id").agg(F.min("distance").alias("window")).join(several.withColumnRenamed("doc_id", "id"), "id", "left_anti")
     open_rows = rows.filter("id <> region").join(seen, ["region", "id"], "left").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     region = Window.partitionBy("region")
     open_rows = open_rows.withColumns({"least": F.min("label").over(region), "most": F.max("label").over(region)}).filter("least <> most")
@@ -260,9 +265,9 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     tries = map_arrow(meeting, _meet(num, den), "pivot bigint, id bigint").distinct().join(found.select("pivot", "id").distinct(), ["pivot", "id"], "left_anti")
     more = measured(written(tries, "pairs"), texts, n).filter(link).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     labels = components(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).unionByName(written(more, "links")))
-    out = slim.join(points, "set_hash", "left").withColumn("id", F.when(F.expr(known), F.col("id"))).join(labels, "id", "left")
-    # rows of one doc_id with different texts are one document: their points are linked through it
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "id", "doc_id").alias("component_id"))
+    # rows of one doc_id with different texts are one document: their points are linked through it, a wordless row goes with it
+    out = slim.join(points, "set_hash", "left").withColumn("id", F.when(F.expr(known), F.col("id")).otherwise(F.col("doc_id"))).join(labels, "id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("label", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

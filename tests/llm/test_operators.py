@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from heliodor.llm import bpe, fingerprints, jaccard, licenses, mixing, quality, secrets, sharding, simple8b, substrings, token_files
+from heliodor.llm.common import word_hashes
 from heliodor.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -309,6 +310,29 @@ def test_jaccard_chains_of_near_copies(spark):
         jaccard.SLICE = size
 
 
+def test_jaccard_of_repeated_ids(spark):
+    own = lambda name, k: [f"{name}{j}" for j in range(k)]
+    sets = lambda words: jaccard.shingle_set(" ".join(words).encode(), 2, word_hashes())
+    keys = lambda words: set(jaccard.signature_keys(sets(words), 80, 100).tolist())
+    shared, rows = own("s", 25), []
+    partner = [*shared[:-1], "end"]
+    left, k, r = keys(shared) & keys(partner), 0, Random(3)
+    while left and k < 500:  # smaller ids own all tokens that the texts of 500 and 501 share, and a text of 500 is near each of them
+        part = [w for j in r.sample(range(24), 8) for w in (shared[j], shared[j + 1], f"p{k}x{j}")]
+        if left & keys(part):
+            left -= keys(part)
+            rows += [(k, part), (500, [*part[:-1], "other"])]
+        k += 1
+    assert not left
+    near = [k for k, _ in rows] + [501]
+    rows += [(500, shared), (501, partner)]
+    rows += [(620, own("c", 40)), (621, own("c", 40)), (621, own("d", 40)), (622, own("d", 40)), (622, []), (630, own("e", 40)), (631, own("e", 40)), (631, [])]
+    t = spark.createDataFrame([(k, " ".join(words), *[None] * 8) for k, words in rows], SCHEMA)
+    got = sorted(tuple(r) for r in jaccard.shingle_components(t, 2, 80, 100).collect())
+    top = {**dict.fromkeys(near, min(near)), **dict.fromkeys((620, 621, 622), 620), 630: 630, 631: 630}
+    assert got == sorted((k, max(0, len(words) - 1), top[k]) for k, words in rows)
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.shingle_components(empty).count() == 0
 
