@@ -14,7 +14,7 @@ Texts of one shingle set are one point. Points are joined in regions:
 2. Pivots. The smallest point with a token is the pivot of all points with that token; all points around a pivot are its
    region, and measure their distance to it: a point within eps lies in the pivot's cell and joins its component. Then
    the pivot has met all its region and leaves it; a region whose points are all in one component is done.
-3. Windows. The others join recursively: the points of a region are cut into slices, those of its commonest component
+3. Windows. The others join without further pivots: the points of a region are cut into slices, those of its commonest component
    apart, and each pair of slices is a smaller region (no pair within that component is needed). Of points in different
    components, those are compared whose distances to the pivot differ by at most eps (the triangle inequality) and
    whose sketches, bits for 2,048 ranges of hashes, do not prove them too different: a set's hashes that the other lacks
