@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 
 #: A Python worker holds about one Arrow batch; rows are cut by bytes, since texts differ in length by orders.
 BATCH_BYTES = 4 << 20
+#: A key of more than this many rows, and of more than one in HOT_SHARE of all, is dealt to SALTS places.
+LEAST_HOT, HOT_SHARE, SALTS = 500, 50_000, 64
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,12 +125,14 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors see, spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of its own; a cluster must name it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = found.get() if found.isDefined() else None
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="heliodor-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -151,6 +156,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """big joined with small on keys. small has one row a key, with the number `n` of big's rows that have it.
+
+    Keys of more than one in HOT_SHARE of the rows are at most HOT_SHARE, whatever the data: they are broadcast, and
+    their rows are dealt to SALTS places, each of which gets small's row. So no task gets more than a fixed share.
+    """
+    total = small.agg(F.sum(n)).head()[0] or 0
+    hot = F.col(n) > max(LEAST_HOT, total // HOT_SHARE)
+    marked = big.join(F.broadcast(small.filter(hot).select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int")
+    marked = marked.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = small.withColumn("_salt", F.explode(copies))
+    return marked.join(dealt.hint("shuffle_hash"), [*keys, "_salt"], how).drop("_salt")
+
+
 def range_splits(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most parts - 1 increasing values that cut a bigint column into ranges of nearly equal counts.
 

@@ -302,12 +302,81 @@ def test_jaccard_chains_of_near_copies(spark):
             base[r.randrange(90)] = f"v{r.random()}"
         out.append((k, " ".join(base), *[None] * 8))
     t = spark.createDataFrame(out, SCHEMA)
-    size = jaccard.SLICE
+    old = jaccard.SLICE, jaccard.FIT_POINTS, jaccard.FEW
     try:
-        for jaccard.SLICE in (7, size):
+        for jaccard.SLICE, jaccard.FIT_POINTS, jaccard.FEW in ((7, 9, 3), old):  # distributed rounds and slices; in one task
             check(map(tuple, jaccard.shingle_components(t, 4, 85, 100).collect()), plain_components(out, 4, 85, 100))
     finally:
-        jaccard.SLICE = size
+        jaccard.SLICE, jaccard.FIT_POINTS, jaccard.FEW = old
+
+
+def planted_sets(r, n):
+    """Sorted hash sets: clusters of near copies around shared bases, chains, and far ones that share a hot hash."""
+    fresh = lambda k: [r.randrange(1 << 63) for _ in range(k)]
+    out, hot = [], r.randrange(1 << 63)
+    while len(out) < n:
+        base = fresh(r.choice((3, 12, 40, 90)))
+        for _ in range(r.choice((1, 1, 2, 15))):
+            base = [x if r.random() > r.choice((0.0, 0.02, 0.06, 0.2)) else r.randrange(1 << 63) for x in base]
+            out.append(np.unique(np.array([*base, hot], np.uint64)))
+    return out[:n]
+
+
+@pytest.mark.parametrize(("num", "seed"), [(85, 1), (80, 2), (60, 3), (85, 4)])
+def test_regions_join_exactly(num, seed):
+    r = Random(seed)
+    sets = planted_sets(r, 160)
+    got = jaccard.Region(list(range(160)), list(range(160)), [True] * 160, sets, num, 100).links
+    plain = [(i, j) for i in range(160) for j in range(i) if jaccard.linked(sets[i], sets[j], num, 100)]
+    assert all(jaccard.linked(sets[i], sets[j], num, 100) for i, j in got)
+    assert groups_of(got, 160) == groups_of(plain, 160)
+    for i, j in plain:  # linked sets share a token
+        assert set(jaccard.signature_keys(sets[i], num, 100).tolist()) & set(jaccard.signature_keys(sets[j], num, 100).tolist())
+
+
+def groups_of(links, n):
+    name = list(range(n))
+    for a, b in links:
+        x, y = name[a], name[b]
+        name = [min(x, y) if k in (x, y) else k for k in name]
+    return name
+
+
+def test_windows_meet_all_linked_pairs():
+    r = Random(8)
+    sets = planted_sets(r, 120)
+    ids = np.arange(120)
+    chosen = ids[::7]
+    d, _ = jaccard.distances(sets, [sets[k] for k in chosen], 80, 100)
+    nearest, inside = jaccard.cells(d, chosen, 80, 100)
+    for i in range(120):
+        for j in range(i):
+            if jaccard.linked(sets[i], sets[j], 80, 100):
+                met = inside[i] & inside[j] & ((nearest[i] == np.arange(len(chosen))) | (nearest[j] == np.arange(len(chosen))))
+                assert met.any()
+
+
+def test_thin_sets_share_a_token():
+    """Sets whose hashes fall into few buckets: the prefix argument needs their single hashes."""
+    top = np.uint64(7) << np.uint64(56)
+    base = np.arange(400, dtype=np.uint64) * np.uint64(97) + top
+    for k in range(0, 60, 4):
+        other = np.unique(np.concatenate([base[k:], top + np.uint64(1 << 30) + np.arange(k // 8, dtype=np.uint64)]))
+        if jaccard.linked(base, other, 85, 100):
+            assert set(jaccard.signature_keys(base, 85, 100).tolist()) & set(jaccard.signature_keys(other, 85, 100).tolist())
+
+
+def test_a_hot_token_of_many_short_documents(spark):
+    r = Random(9)
+    out = [(k, f"all of these begin alike {r.random()} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(6)), *[None] * 8) for k in range(3000)]
+    out += [(5000 + k, f"{out[k][1]}", *[None] * 8) for k in range(5)]
+    old = jaccard.SLICE, jaccard.FIT_POINTS
+    try:
+        jaccard.SLICE, jaccard.FIT_POINTS = 500, 400
+        got = {x["doc_id"]: x["component_id"] for x in jaccard.shingle_components(spark.createDataFrame(out, SCHEMA), 2, 85, 100).collect()}
+    finally:
+        jaccard.SLICE, jaccard.FIT_POINTS = old
+    assert got == {k: k if k < 5000 else k - 5000 for k in got} and len(got) == 3005
 
 
 def test_jaccard_of_repeated_ids(spark):
