@@ -509,15 +509,63 @@ def plain_removed(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("hot", "distinct"), [(1000, 10_000), (1, 10_000), (1, 1)])
-def test_substrings(docs, rows, empty, hot, distinct):
-    old = substrings.HOT, substrings.HOT_DISTINCT
-    substrings.HOT, substrings.HOT_DISTINCT = hot, distinct
+def with_shared_passages():
+    """Documents of few words, with passages in many contexts, without ids or with one id for several texts."""
+    r = Random(5)
+    word = lambda: f"w{r.randrange(4000)}"
+    passages = [[word() for _ in range(n)] for n in (34, 35, 36, 60, 90)] + [["la"] * 50, ["a", "b"] * 30]
+    out = []
+    for k in range(150):
+        w = [word() for _ in range(r.randrange(1, 50))]
+        for _ in range(r.randrange(3)):
+            p = r.choice(passages)
+            at, cut = r.randrange(len(w) + 1), r.randrange(3)
+            w[at:at] = p[cut:] if r.random() < 0.5 else p
+        out.append((r.choice((k, k, k, None, 7)), r.choice((" ", "\n")).join(w), *[None] * 8))
+    return out + out[:3]
+
+
+@pytest.mark.parametrize("group", [2_000, 5, 1])
+def test_substrings(spark, docs, rows, empty, group):
+    more, old = with_shared_passages(), substrings.GROUP
     try:
+        substrings.GROUP = group  # 1: every prefix grows to the whole window
         check(map(tuple, substrings.remove_repeats(docs).collect()), plain_removed(rows, 35))
+        check(map(tuple, substrings.remove_repeats(spark.createDataFrame(more, SCHEMA).repartition(4)).collect()), plain_removed(more, 35))
     finally:
-        substrings.HOT, substrings.HOT_DISTINCT = old
-    assert substrings.remove_repeats(empty).count() == 0
+        substrings.GROUP = old
+    if group == old:
+        assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_trees_give_the_deepest_nodes():
+    r = Random(2)
+    for _ in range(60):
+        window = r.randrange(2, 9)
+        segments = [[r.choice((b"a", b"b", b"c")) for _ in range(r.randrange(1, 30))] for _ in range(r.randrange(1, 8))]
+        got = substrings.deep_leaves(segments, window)
+        suffixes = [s[k:] for s in segments for k in range(len(s))]
+
+        def depth(s):
+            alike = [next((n for n, (x, y) in enumerate(zip(s, t, strict=False)) if x != y), min(len(s), len(t))) for t in suffixes]
+            return sorted(alike)[-2] if len(alike) > 1 else 0  # itself is the deepest
+
+        want = [[(k, k + depth(s[k:])) for k in range(len(s)) if depth(s[k:]) >= window] for s in segments]
+        assert got == want
+
+
+def test_equal_windows_make_equal_choices():
+    r = Random(4)
+    for _ in range(300):
+        at = r.randrange(28)
+        words = [b"%d" % r.randrange(3) for _ in range(r.randrange(max(35, at + 8), at + 36))]
+        todo = [(0, 8, s) for s in range(len(words) - 34) if s <= at <= s + 27]
+        for a, b, s in todo:
+            while a + b < 35:
+                found = [(a2, b2) for a2, b2, x, y in substrings.longer_prefixes(words, a, b, at, 35) if x <= s < y]
+                assert len(found) == 1 and found[0][0] + found[0][1] > a + b
+                a, b = found[0]
+                assert s <= at - a and at + b <= s + 35
 
 
 def test_anchors_of_equal_windows_are_equal():
@@ -526,7 +574,7 @@ def test_anchors_of_equal_windows_are_equal():
     try:
         found = []
         for substrings._SLICE in (old, 64):
-            g, a, b = substrings.anchors(h)
+            g, a, b, _ = substrings.anchors(h)
             by_start = {s: g[k] for k in range(len(g)) for s in range(a[k], b[k] + 1)}
             assert sorted(by_start) == list(range(len(h) - 34))
             found.append(by_start)
