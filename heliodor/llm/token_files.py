@@ -6,8 +6,10 @@ task holds an Arrow batch and a segment of about SEGMENT_IDS ids, never a range.
 n_docs, n_ids, payload) of an uncompressed Parquet table, whose writer makes the files appear whole or not at all and
 works on any file system that Spark can write. A reader needs only (range, segment, n_ids) to place every segment.
 
-The tokenizer drops white space and never joins across it, so a text's ids are the ids of its white-space separated
-chunks in order; chunks are encoded by the tokenizers library once and kept in a bounded memory.
+Texts are encoded by the tokenizers library, in Arrow batches. Where the tokenizer's own rules (its normaliser and
+pre-tokeniser, read from the library's object) drop white space and never join across it, a text's ids are the ids of its
+white-space separated chunks in order: a batch's chunks are made distinct by Arrow, and new ones are cut by the
+tokenizer's own pattern and encoded by its model, once, in a bounded memory. Any other tokenizer encodes whole texts.
 
 Defined results: a null or empty text has no ids but the end id; equal doc_ids stand in the order of their texts, null
 doc_ids first; other columns are not read; no rows in, no rows out.
@@ -15,6 +17,7 @@ doc_ids first; other columns are not read; no rows in, no rows out.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,37 +26,61 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
 from .bpe import byte_characters
-from .common import Cached, held, map_arrow, parts_for, range_bucket, range_splits, split_words, text_bytes, written
+from .common import Cached, held, map_arrow, parts_for, range_bucket, range_splits, written
 
 END_ID, SEGMENT_IDS = 2, 1 << 20
 SEGMENTS = "range int, segment int, n_docs int, n_ids bigint, payload binary"
 DECODED = "range int, segment int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint"
 
 
+#: Kinds of normalisers that never look beyond white space (Replace only as the one that makes runs of it one space).
+LOCAL_STEPS = {"NFC", "Lowercase", "Replace"}
+
+
+def piece_pattern(tokenizer) -> str | None:
+    """The pattern that cuts texts into pieces without white space, from the tokenizer's own rules; None if they are of another kind."""
+    rules = json.loads(tokenizer.to_str())
+    parts = lambda rule, name: (rule or {}).get(name) or [rule] if rule else []
+    steps, cuts = parts(rules["normalizer"], "normalizers"), parts(rules["pre_tokenizer"], "pretokenizers")
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if any(s["type"] not in LOCAL_STEPS or (s["type"] == "Replace" and s != spaces) for s in steps) or not any(s["type"] == "Lowercase" for s in steps):
+        return None
+    if [c["type"] for c in cuts] != ["Split", "ByteLevel"] or rules["model"]["type"] != "BPE" or rules["model"].get("dropout"):
+        return None
+    split, spell = cuts
+    pattern = split["pattern"].get("Regex", "")
+    if not pattern or split["behavior"] != "Removed" or not split["invert"] or spell["add_prefix_space"] or spell["use_regex"]:
+        return None
+    # white space may only stand in a negated class, and nothing may look beyond a match
+    loose = re.sub(r"\[\^\\s[^\]]*\]", "", pattern)
+    return None if re.search(r"\\s|\s|\(\?|\.|\[\^|\\[SDWPRXb]", loose) else pattern
+
+
 class ChunkIds(dict):
     """Ids, as little-endian u32, of chunks of text without white space, by the tokenizer file at path.
 
-    The tokenizer cuts a chunk into pieces (its normaliser's lower case and its pattern, below) and encodes each by its
-    BPE model. Plain chunks are cut here and their pieces, of which there are fewer, are kept as well; any other chunk
-    (control or far characters, no NFC, special tokens) goes through the whole tokenizer. Two generations bound the
-    memory: what was used since the last change stays.
+    Plain chunks are cut by the tokenizer's pattern into pieces in lower case, which are fewer and are kept as well; any
+    other chunk (control or far characters, no NFC, special tokens) goes through the whole tokenizer. Two generations
+    bound the memory: what was used since the last change stays.
     """
 
-    #: Fixed value: the tokenizer's pattern for pieces of lower-case text.
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
     def __init__(self, path: str, bound: int = 400_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bound, self.old = Tokenizer.from_file(path), bound, {}
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.pattern = piece_pattern(self.tokenizer)
+        self.cut = regex.compile(self.pattern).findall if self.pattern else None
         self.model, table = self.tokenizer.model, byte_characters()
         spelled = lambda piece: piece if piece.isascii() else "".join(map(table.__getitem__, piece.encode()))
         self.pieces = Cached(lambda piece: array("I", [t.id for t in self.model.tokenize(spelled(piece))]).tobytes(), bound)
@@ -65,13 +92,7 @@ class ChunkIds(dict):
             text = chunk.decode()
             plain = text.isprintable() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text))  # all of these are in NFC
             if plain and not self.special(chunk):
-                low = text.lower()
-                if low.isalpha():
-                    out = self.pieces[low]
-                elif low[:-1].isalpha() and not low[-1].isnumeric():
-                    out = self.pieces[low[:-1]] + self.pieces[low[-1]]
-                else:
-                    out = b"".join(map(self.pieces.__getitem__, self.PIECES.findall(low)))
+                out = b"".join(map(self.pieces.__getitem__, self.cut(text.lower())))
             else:
                 out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= self.bound:
@@ -80,36 +101,54 @@ class ChunkIds(dict):
         self[chunk] = out
         return out
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, their numbers); null: none."""
+        if self.cut is None:
+            found = [e.ids for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.fromiter((i for ids in found for i in ids), np.uint32), np.array([len(ids) for ids in found], np.int64)
+        # the tokenizer's white space is wider than ASCII's; a chunk may hold more of it and is encoded whole
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        coded = chunks.flatten().dictionary_encode()
+        found = list(map(self.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()))
+        ids, code = np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy(zero_copy_only=False)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = lengths[code]
+        ends = np.cumsum(n)
+        places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(lengths) - lengths)[code] - (ends - n), n)
+        edges = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        return ids[places], np.diff(np.append([0], ends)[edges])
+
 
 def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        ids_of, end = held(("chunk ids", path), lambda: ChunkIds(path)), np.array([end_id], "<u4").tobytes()
+        ids_of = held(("chunk ids", path), lambda: ChunkIds(path))
         doc_ids: list = []
         lengths: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         at = pending = 0
         place = None
 
         def flush():
             nonlocal doc_ids, lengths, parts, pending, at
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             out = pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([at], pa.int32()), pa.array([len(doc_ids)], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([simple8b.pack_segment(doc_ids, lengths, ids)], pa.binary())], names=["range", "segment", "n_docs", "n_ids", "payload"])
             doc_ids, lengths, parts, pending, at = [], [], [], 0, at + 1
             return out
 
         for batch in batches:
-            texts = [split_words(x) for x in text_bytes(batch.column(2))]
-            for spot, doc_id, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+            ids, n = ids_of.batch(batch.column(2))
+            ends = np.cumsum(n)
+            ids, first = np.insert(ids, ends, end_id), 0
+            for spot, doc_id, stop in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (ends + np.arange(1, len(n) + 1)).tolist(), strict=True):
                 if doc_ids and (spot != place or pending >= SEGMENT_IDS):
                     yield flush()
                 if spot != place:
                     place, at = spot, 0
-                # the tokenizer's white space is wider than ASCII's; a chunk may hold more of it and is encoded whole
-                coded = b"".join(map(ids_of.__getitem__, words)) + end
                 doc_ids.append(doc_id)
-                lengths.append(len(coded) // 4)
-                parts.append(coded)
-                pending += len(coded) // 4
+                lengths.append(stop - first)
+                parts.append(ids[first:stop])
+                pending += stop - first
+                first = stop
         if doc_ids:
             yield flush()
 

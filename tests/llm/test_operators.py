@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 from random import Random
 
 import numpy as np
@@ -87,6 +89,7 @@ def test_simple8b_round_trip():
 
 def test_chunks_are_encoded_as_the_whole_tokenizer_does():
     r, whole, chunks = Random(3), Tokenizer.from_file(WORD_BPE), token_files.ChunkIds(WORD_BPE, 50)
+    assert chunks.pattern
     letters = "aàéÉßñçİıſΣσς0129½²漢🙂́'sStTrReVmLlDd|<>#$ \u0085­_-.,ªº"
     for _ in range(3000):
         text = "".join(r.choice(letters) for _ in range(r.randrange(1, 12)))
@@ -94,6 +97,24 @@ def test_chunks_are_encoded_as_the_whole_tokenizer_does():
         assert got == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_other_tokenizers_encode_whole_texts(docs, rows, tmp_path):
+    rules = json.loads(Path(WORD_BPE).read_text())
+    rules["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(rules))
+    assert token_files.ChunkIds(str(other)).pattern is None
+    whole, want = Tokenizer.from_file(str(other)), []
+    for known, k, text in texts_of(rows):
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        want.append((k if known else None, len(ids), zlib.crc32(ids.tobytes())))
+    check([(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.token_file_index(docs, str(other)).collect()], want)
+    for pattern in (r"a b", r"\w+ ?", r"(?=\S)x", r"\s+", r".", r"[^a]+", r"\S+\b"):
+        rules = json.loads(Path(WORD_BPE).read_text())
+        rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = pattern
+        other.write_text(json.dumps(rules))
+        assert token_files.ChunkIds(str(other)).pattern is None, pattern
+
+
 def test_token_files(docs, rows, empty):
     whole, at, want = Tokenizer.from_file(WORD_BPE), 0, []
     for known, k, text in texts_of(rows):
