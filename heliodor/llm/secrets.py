@@ -8,7 +8,8 @@ from its own shape (lengths, character classes and their changes, alphabets, ent
 pieces before it and the one after (keyword, assignment sign, quote, number, other) and from features of the file; label
 pairs add a transition score; Viterbi finds the best tags. The weights are fitted by maximum likelihood here, on windows
 around base matches and elsewhere in at most about SAMPLE documents (the bound on labelled rows) chosen by a hash of
-their id, and on made-up secrets put in their places, so that other alphabets and keywords are learnt too.
+their id, and on made-up secrets put in their places, so that other alphabets and keywords are learnt too. Windows are
+turned into feature numbers on the executors, and each counts with its own length and the labels beside its ends.
 
 Decoding is exact but mostly free: where a piece's score for outside leads by more than any transitions could make up,
 outside is on every best path, so Viterbi runs only over the pieces between such places.
@@ -87,6 +88,7 @@ def context(word: str) -> int:
 
 
 _FEATURES = 34
+_KINDS = bytes(ord("d") if chr(x).isdigit() else ord("u") if chr(x).isupper() else ord("l") if chr(x).islower() else ord("o") for x in range(128)) + b"o" * 128
 
 
 def shape(word: str) -> list[int]:
@@ -97,12 +99,13 @@ def shape(word: str) -> list[int]:
     out = [sum(n >= x for x in _LENGTHS)]
     if n < 10:
         return [*out, 33]
-    digits = sum(map(str.isdigit, c))
-    upper = sum(map(str.isupper, c))
-    other = sum(x in "+/_.=-" for x in c)
-    lower = n - digits - upper - other
-    kinds = "".join("d" if x.isdigit() else "u" if x.isupper() else "o" if x in "+/_.=-" else "l" for x in c)
-    changes = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+    kinds = c.encode().translate(_KINDS)  # a core is ASCII
+    digits, upper, other, lower = (kinds.count(k) for k in b"duol")
+    if n < 100:
+        changes = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+    else:
+        k = np.frombuffer(kinds, np.uint8)
+        changes = int((k[1:] != k[:-1]).sum())
     out.append(9 + min(4, 10 * digits // n))  # 9..13
     out.append(14 + min(4, 10 * changes // n))  # 14..18
     out.append(19 + min(3, 8 * len(set(c)) // n // 2))  # 19..22
@@ -128,35 +131,22 @@ class Field:
         self.lead = max(swap)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, steps: int = STEPS, decay: float = 1e-3) -> Field:
-        """x: (windows, places, features), y: (windows, places). Adam on the mean negative log-likelihood."""
-        n, places, width = x.shape
+    def fit(cls, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = STEPS, decay: float = 1e-3) -> Field:
+        """Groups of windows of one length: x (windows, places, features), y (windows, places), edges (windows, 2).
+
+        Adam on the mean negative log-likelihood of the labels of each window, given the labels (edges) next to its ends,
+        as decoding has outside on both sides of what it decodes. Windows are whole: no place is padding.
+        """
+        n, width = sum(len(x) for x, _, _ in groups), groups[0][0].shape[2]
         w = np.zeros((width, 3))
         t = np.array([[0.0, 0.0, -3.0], [0.0, -1.0, 0.0], [0.0, -1.0, 0.0]])
         moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
-        hot = np.eye(3)[y]
-        flat = x.reshape(-1, width)
-        seen = np.einsum("nia,nib->ab", hot[:, :-1], hot[:, 1:])
         for step in range(1, steps + 1):
-            s = (flat @ w).reshape(n, places, 3)
-            e = np.exp(t)
-            ahead, back = np.empty_like(s), np.empty_like(s)
-            top = s.max(axis=2, keepdims=True)
-            u = np.exp(s - top)
-            ahead[:, 0] = u[:, 0] / u[:, 0].sum(axis=1, keepdims=True)
-            for i in range(1, places):
-                v = (ahead[:, i - 1] @ e) * u[:, i]
-                ahead[:, i] = v / v.sum(axis=1, keepdims=True)
-            back[:, -1] = 1
-            for i in range(places - 2, -1, -1):
-                v = (back[:, i + 1] * u[:, i + 1]) @ e.T
-                back[:, i] = v / v.sum(axis=1, keepdims=True)
-            p = ahead * back
-            p /= p.sum(axis=2, keepdims=True)
-            pair = ahead[:, :-1, :, None] * e * (u * back)[:, 1:, None, :]
-            pair /= pair.sum(axis=(2, 3), keepdims=True)
-            gw = flat.T @ (p - hot).reshape(-1, 3) / n + decay * w
-            gt = (pair.sum(axis=(0, 1)) - seen) / n + decay * t
+            gw, gt = decay * w, decay * t
+            for x, y, edges in groups:
+                dw, dt = cls.slopes(x, y, edges, w, t)
+                gw += dw / n
+                gt += dt / n
             for k, (value, g) in enumerate(((w, gw), (t, gt))):
                 m, q = moments[2 * k], moments[2 * k + 1]
                 m += 0.1 * (g - m)
@@ -164,6 +154,32 @@ class Field:
                 value -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)
         return cls(w, t)
 
+    @staticmethod
+    def slopes(x: np.ndarray, y: np.ndarray, edges: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slope of the negative log-likelihood of windows of one length: expected less seen features and moves."""
+        places = x.shape[1]
+        s, e, hot = x @ w, np.exp(t), np.eye(3)[y]
+        u = np.exp(s - s.max(axis=2, keepdims=True))
+        ahead, back = np.empty_like(s), np.empty_like(s)
+        v = e[edges[:, 0]] * u[:, 0]
+        ahead[:, 0] = v / v.sum(axis=1, keepdims=True)
+        for i in range(1, places):
+            v = (ahead[:, i - 1] @ e) * u[:, i]
+            ahead[:, i] = v / v.sum(axis=1, keepdims=True)
+        back[:, -1] = e.T[edges[:, 1]]
+        for i in range(places - 2, -1, -1):
+            v = (back[:, i + 1] * u[:, i + 1]) @ e.T
+            back[:, i] = v / v.sum(axis=1, keepdims=True)
+        p = ahead * back
+        p /= p.sum(axis=2, keepdims=True)
+        pair = ahead[:, :-1, :, None] * e * (u * back)[:, 1:, None, :]
+        pair /= pair.sum(axis=(2, 3), keepdims=True)
+        off = p - hot
+        moves = pair.sum(axis=(0, 1)) - np.einsum("nia,nib->ab", hot[:, :-1], hot[:, 1:])
+        np.add.at(moves, edges[:, 0], off[:, 0])
+        np.add.at(moves.T, edges[:, 1], off[:, -1])
+        return np.einsum("nif,nia->fa", x, off, optimize=True), moves
+
     def viterbi(self, s: np.ndarray) -> list[int]:
         """The best tags between two outside words."""
         best, back = s[0] + self.moves[0], []
@@ -295,9 +311,13 @@ def written_spans(spans: list[tuple[int, int, int, int]]) -> str:
 
 # fitting
 
+#: A window as its pieces' shapes and context classes, their labels, the file's features and the labels beside its ends.
+Window = tuple[list[list[int]], list[int], list[int], list[int], list[int]]
+WINDOWS = "shapes array<array<int>>, classes array<int>, labels array<int>, about array<int>, edges array<int>"
 
-def windows(text: str, random: Random, quiet: int = 1) -> list[tuple[list[str], list[int], list[int]]]:
-    """(pieces, labels, file features) around each base match, and around a few other pieces."""
+
+def windows(text: str, random: Random, quiet: int = 1) -> list[Window]:
+    """Windows around each base match, and around a few other pieces."""
     found = [(m.start(), p) for m in WORD.finditer(text) for p in pieces(m.group())]
     if not found:
         return []
@@ -316,9 +336,11 @@ def windows(text: str, random: Random, quiet: int = 1) -> list[tuple[list[str],
     odd = [k for k, (a, b) in enumerate(places) if b - a > 13 and not label[k]]
     spots += random.sample(odd, min(1, len(odd)))
     about, out = file_features(raw, raw.lower()), []
+    beside = [0, *label, 0]
     for k in spots:
-        near = range(max(0, k - NEAR), min(len(places), k + NEAR + 1))
-        out.append(([text[slice(*places[j])] for j in near], [label[j] for j in near], about))
+        lo, hi = max(0, k - NEAR), min(len(places), k + NEAR + 1)
+        words = [text[a:b] for a, b in places[lo:hi]]
+        out.append(([shape(x) for x in words], [context(x) for x in words], label[lo:hi], about, [beside[lo], beside[hi + 1]]))
     return out
 
 
@@ -336,32 +358,37 @@ def made_up(random: Random) -> list[tuple[str, int]]:
     return [(w, 0) for w in (key, sign) if w] * (random.random() < 0.8) + [(quote + secret + quote, 1)]
 
 
-def training_arrays(found: list[tuple[list[str], list[int], list[int]]], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def training_arrays(found: list[Window], seed: int = 7) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, labels, edges) of the windows of each length, with made-up secrets put in places of quiet ones."""
     random = Random(seed)
-    quiet = [f for f in found if not any(f[1])] or [(["the"] * (2 * NEAR + 1), [0] * (2 * NEAR + 1), [0] * N_FILE)]
+    quiet = [f for f in found if not any(f[2])] or [([shape("the")] * (2 * NEAR + 1), [PLAIN] * (2 * NEAR + 1), [0] * (2 * NEAR + 1), [0] * N_FILE, [0, 0])]
     rows = list(found)
     for _ in range(max(300, len(found) // 4)):
-        words, labels, about = random.choice(quiet)
-        k, new = random.randrange(len(words) + 1), made_up(random)
-        rows.append((words[:k] + [w for w, _ in new] + words[k:], labels[:k] + [y for _, y in new] + labels[k:], [int(random.random() < 0.8), *about[1:]]))
-    places = 2 * NEAR + 5
-    x, y = np.zeros((len(rows), places, sum(Field.SIZES)), np.float32), np.zeros((len(rows), places), np.int64)
-    a = np.cumsum((0, *Field.SIZES))
-    for r, (words, labels, about) in enumerate(rows):
-        c = np.array([context(w) for w in words], np.int8)
-        before, before2, after = shifted(c, 1), shifted(c, 2) if len(c) > 2 else np.full(len(c), NONE), shifted(c, -1)
-        for k, (w, label) in enumerate(zip(words[:places], labels[:places], strict=True)):
-            x[r, k, shape(w)] = 1
-            x[r, k, [a[1] + before[k], a[2] + before2[k], a[3] + after[k]]] = 1
-            x[r, k, a[4] :] = about
-            y[r, k] = label
-    return x, y
+        shapes, classes, labels, about, edges = random.choice(quiet)
+        k, new = random.randrange(len(labels) + 1), made_up(random)
+        put = lambda old, of, k=k, new=new: [*old[:k], *map(of, new), *old[k:]]
+        rows.append((put(shapes, lambda x: shape(x[0])), put(classes, lambda x: context(x[0])), put(labels, lambda x: x[1]), [int(random.random() < 0.8), *about[1:]], edges))
+    a, out = np.cumsum((0, *Field.SIZES)), []
+    for places in sorted({len(r[2]) for r in rows}):
+        group = [r for r in rows if len(r[2]) == places]
+        x = np.zeros((len(group), places, sum(Field.SIZES)), np.float32)
+        for row, (shapes, classes, _, about, _) in zip(x, group, strict=True):
+            c = np.array(classes, np.int8)
+            before, before2, after = shifted(c, 1), shifted(c, 2) if len(c) > 2 else np.full(len(c), NONE), shifted(c, -1)
+            for k, own in enumerate(shapes):
+                row[k, own] = 1
+                row[k, [a[1] + before[k], a[2] + before2[k], a[3] + after[k]]] = 1
+            row[:, a[4] :] = about
+        out.append((x, np.array([r[2] for r in group]), np.array([r[4] for r in group])))
+    return out
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Windows of documents as numbers: no word leaves the executors, however long."""
+    some = pa.list_(pa.int32())
     for batch in batches:
         found = [f for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in windows(t or "", Random(k or 0))]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=["words", "labels", "about"])
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.list_(some) if k == 0 else some) for k in range(5)], names=[c.split()[0] for c in WINDOWS.split(", ")])
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -373,9 +400,8 @@ def fit_field(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", tex
     t = _slim(docs, id_col, text_col)
     share = min(1.0, sample / max(1, t.count()))
     chosen = t.filter(F.pmod(F.xxhash64("doc_id", F.lit(sample)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = map_arrow(chosen, _sampled, "words array<string>, labels array<int>, about array<int>").collect()
-    found = sorted((list(r["words"]), list(r["labels"]), list(r["about"])) for r in rows)
-    return Field.fit(*training_arrays(found))
+    rows = map_arrow(chosen, _sampled, WINDOWS).collect()  # at most about 22 windows of 9 pieces a document
+    return Field.fit(training_arrays(sorted(tuple(r) for r in rows)))
 
 
 def _scores(weights: np.ndarray, moves: np.ndarray) -> Scores:

@@ -4,8 +4,10 @@ import base64
 import hashlib
 import json
 import re
+import time
 import zlib
 from collections import Counter
+from itertools import product
 from pathlib import Path
 from random import Random
 
@@ -187,7 +189,7 @@ def test_field_finds_held_out_secrets():
     say = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(n))
     hexes = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
     train = [f'{say(40)} token = "{hexes()}" {say(40)}' for _ in range(60)] + [say(80) for _ in range(60)]
-    field = secrets.Field.fit(*secrets.training_arrays([f for t in train for f in secrets.windows(t, r)]))
+    field = secrets.Field.fit(secrets.training_arrays([f for t in train for f in secrets.windows(t, r)]))
     scores = secrets.Scores(field)
     tag = lambda t: secrets.tagged(t, t.encode(), t.encode().lower(), scores)
     hits = 0
@@ -241,6 +243,68 @@ def test_open_words_decode_as_the_whole_sequence():
         assert tags == field.viterbi(s)
 
 
+def test_slopes_are_those_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    x, w, t = rng.normal(size=(4, 3, 5)), rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
+    y, edges = rng.integers(0, 3, (4, 3)), rng.integers(0, 3, (4, 2))
+
+    def loss(w, t):
+        out = 0.0
+        for row, labels, (a, b) in zip(x, y, edges, strict=True):
+            score = lambda tags, row=row, a=a, b=b: sum(row[i] @ w[:, k] for i, k in enumerate(tags)) + sum(t[p, q] for p, q in zip((a, *tags), (*tags, b), strict=True))
+            out += np.log(sum(np.exp(score(tags)) for tags in product(range(3), repeat=3))) - score(tuple(labels))
+        return out
+
+    dw, dt = secrets.Field.slopes(x, y, edges, w, t)
+    for value, slope in ((w, dw), (t, dt)):
+        for at in np.ndindex(value.shape):
+            old = value[at]
+            value[at] = old + 1e-5
+            up = loss(w, t)
+            value[at] = old - 1e-5
+            down = loss(w, t)
+            value[at] = old
+            assert abs((up - down) / 2e-5 - slope[at]) < 1e-4
+
+
+def test_spans_are_those_of_viterbi_over_whole_documents(docs, rows):
+    """Every piece scored by itself from its words, one Viterbi over all pieces of a document, against the query's spans."""
+    field = secrets.fit_field(docs)
+
+    def plain(text):
+        base = secrets.base_spans(text, text.encode().lower())
+        places = [(lo + at, hi + at, a + at, b + at) for at, end in secrets.cut_places(text, base) for lo, hi, a, b in secrets.pieces(text[at:end])]
+        if not places:
+            return ""
+        c = [secrets.context(text[a:b]) for a, b, _, _ in places]
+        near = lambda k: c[k] if 0 <= k < len(c) else secrets.NONE
+        about = np.array(secrets.file_features(text.encode(), text.encode().lower()))
+        s = np.array([field.own[secrets.shape(text[a:b])].sum(axis=0).astype(np.float32) + field.before[near(k - 1)] + field.before2[near(k - 2)] + field.after[near(k + 1)] + about @ field.file for k, (a, b, _, _) in enumerate(places)])
+        spans, last = [], None
+        for k, tag in enumerate(field.viterbi(s)):
+            _, _, a, b = places[k]
+            if not tag or any(x < b and a < y for x, _, y, _ in base):
+                continue
+            if tag == 2 and last == k - 1 and b > a:
+                spans[-1] = (spans[-1][0], 3, b, 0)
+            elif b > a:
+                spans.append((a, 3, b, 0))
+            if b > a or (tag == 2 and last == k - 1):
+                last = k
+        return secrets.written_spans(sorted(base + spans))
+
+    got = {(r["doc_id"], r["spans"]) for r in secrets.scan_secrets(docs, field).collect()}
+    assert got == {(r[0], plain(r[1] or "")) for r in rows}
+
+
+def test_a_word_of_millions_of_characters(spark):
+    long = "Aa0/" * 750_000
+    t = spark.createDataFrame([(k, x, *[None] * 8) for k, x in enumerate([long, f"token = {long}", f"a b {long} c"])], SCHEMA)
+    began = time.monotonic()
+    got = {r["doc_id"]: r["n_assign"] for r in secrets.scan_secrets(t).collect()}
+    assert got == {0: 0, 1: 1, 2: 0} and time.monotonic() - began < 60
+
+
 # 4
 
 
