@@ -26,6 +26,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def table_if_any(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    """A table beside documents, or None where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    found = bool(sf_dir) and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet") if found else None
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's limit of bytes in an Arrow batch, if it is above ours."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -17,7 +17,7 @@ Texts of one shingle set are one point.
 3. Windows. If a point y of another cell links with some x of p's cell, d(y, p) <= d(y, nearest) + 2 eps; such boundary
    points are copied into p's cell (into that of the smaller pivot of the two only, as once is enough). Two points that
    only visit a cell meet elsewhere; points whose distances to p differ by more than eps cannot link.
-4. Recursion. Points within eps of their pivot link with it and bear its label; a cell whose points all have one label
+4. Recursion. Points within eps of their pivot link with it and bear its label, as do pivots that link; a cell whose points all have one label
    is done, any other is a region again. Regions of up to FIT_POINTS points and FIT_SHINGLES shingles are finished in
    one task by the same recursion in memory, down to leaves of LEAF points compared by their sets. Larger ones
    take a distributed round: slices of SLICE points, each with the region's pivots, give rows of smaller regions.
@@ -38,6 +38,7 @@ component; no rows in, no rows out; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -297,28 +298,39 @@ def _assign(n: int, num: int, den: int):
         """Rows (region, slice, member, id, label, text), the pivots of a region first in each of its slices, to rows of its cells."""
         cache = word_hashes()
 
-        def cut(region: int, pivots: list, points: list) -> pa.RecordBatch:
+        def names(pivots: list) -> list[int]:
+            """The smallest pivot that each pivot is linked with through pivots: the same in every slice."""
+            ids = [p[0] for p in pivots]
+            _, near = distances([p[1] for p in pivots], [p[1] for p in pivots], num, den)
+            name = list(ids)
+            for x, y in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
+                a, b = sorted((name[x], name[y]))
+                name = [a if k == b else k for k in name]
+            return name
+
+        def cut(region: int, pivots: list, name: list[int], points: list) -> pa.RecordBatch:
             ids = np.array([p[0] for p in pivots], np.int64)
             d, near = distances([p[2] for p in points], [p[1] for p in pivots], num, den)
             nearest, inside = cells(d, ids, num, den)
             x, y = np.nonzero(inside | near)
             own = [bool(nearest[a] == b) for a, b in zip(x, y, strict=True)]
-            label = [int(ids[nearest[a]]) if near[a, nearest[a]] else points[a][1] for a in x.tolist()]
+            label = [name[nearest[a]] if near[a, nearest[a]] else points[a][1] for a in x.tolist()]
             out = ([region] * len(x), ids[y], [points[a][0] for a in x.tolist()], label, [len(points[a][2]) for a in x.tolist()], [o if i else None for o, i in zip(own, inside[x, y], strict=True)], near[x, y])
             kinds = (pa.int64(),) * 5 + (pa.bool_(),) * 2
             return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, kinds, strict=True)], names=[c.split()[0] for c in ASSIGNED.split(", ")])
 
         for (region, _), group in groupby(_rows(batches), key=lambda r: (r[0], r[1])):
-            pivots, points = [], []
+            pivots, points, name = [], [], None
             for _, _, member, key, label, text in group:
                 s = shingle_set(text, n, cache)
                 if len(s):
                     (points if member else pivots).append((key, label, s) if member else (key, s))
                 if len(points) == 256:
-                    yield cut(region, pivots, points)
+                    name = name or names(pivots)
+                    yield cut(region, pivots, name, points)
                     points = []
             if points:
-                yield cut(region, pivots, points)
+                yield cut(region, pivots, name or names(pivots), points)
 
     return run
 
@@ -368,7 +380,7 @@ def region_links(rows: DataFrame, texts: DataFrame, n: int, num: int, den: int)
     """Links that connect what links in regions (region, id, label, own, size), as tables (a, b)."""
     out, level = [], 0
     while True:
-        stats = written(rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).filter("n > 1"), "region-sizes")
+        stats = written(rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("id").alias("least")).filter("n > 1"), "region-sizes")
         fits = f"n <= {FEW} or (n <= {FIT_POINTS} and weight <= {FIT_SHINGLES})"
         small = spread_join(rows, stats.filter(fits), ["region"], "n").select("region", "id", "label", "own")
         small = _with_texts(small, texts, ["region"], ["region", "id"], ["region", "id", "label", "own"])
@@ -378,27 +390,28 @@ def region_links(rows: DataFrame, texts: DataFrame, n: int, num: int, den: int)
             return out
         # a distributed round: each slice of a region gets all its pivots
         points = written(spread_join(rows, large, ["region"], "n"), "large-regions")
-        drawn = F.pmod(F.xxhash64("region", "id", F.lit(level)), F.col("n")) < PIVOTS
+        drawn = (F.pmod(F.xxhash64("region", "id", F.lit(level)), F.col("n")) < PIVOTS) | (F.col("id") == F.col("least"))
         heads = points.filter(drawn).withColumn("slice", F.explode(F.expr(f"sequence(0, cast(ceil(n / {SLICE}) as int) - 1)")))
         heads = heads.select("region", "slice", F.lit(False).alias("member"), "id", "label")
         members = points.select("region", F.expr(f"cast(pmod(xxhash64(id, 7), cast(ceil(n / {SLICE}) as int)) as int)").alias("slice"), F.lit(True).alias("member"), "id", "label")
-        drawn_regions = written(points.filter(drawn).groupBy("region").agg(F.count("*").alias("pivots"), F.first("n").alias("n")), "pivoted-regions")
-        members = spread_join(members, drawn_regions.drop("pivots"), ["region"], "n").drop("n")
         columns = ["region", "slice", "member", "id", "label"]
         t = _with_texts(members.select(*columns).unionByName(heads), texts, ["region", "slice"], columns[:4], columns)
         found = written(map_arrow(t, _assign(n, num, den), ASSIGNED), "cells")
         out.append(found.filter("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         inside = found.filter("own is not null")
         cell = inside.groupBy("region", "pivot").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+        cell = written(cell.filter("least <> most").select("region", "pivot", "n"), "open-cells")
         sizes = cell.groupBy("region").agg(F.sum("n").alias("kept"), F.max("n").alias("largest"))
-        bad = large.select("region", "n").join(sizes, "region", "left").filter("kept is null or kept > 4 * n or largest > 0.8 * n")
+        bad = large.select("region", "n").join(sizes, "region").filter("kept > 4 * n or largest > 0.8 * n")
         bad = written(bad.select("region", "n"), "unsplit-regions")
-        # what pivots do not separate is joined in pairs of slices
-        whole = spread_join(points.drop("n"), bad, ["region"], "n").select("region", "id", "label", "own")
+        # what pivots do not separate is joined in pairs of slices; each point comes once, with the label of its own cell
+        was_own = points.select("region", "id", F.col("own").alias("was_own")).groupBy("region", "id").agg(F.max("was_own").alias("was_own"))
+        whole = spread_join(found.filter("own").select("region", "id", "label"), bad, ["region"], "n").join(was_own, ["region", "id"])
+        whole = whole.select("region", "id", "label", F.col("was_own").alias("own"))
         pairs = _slice_pairs(written(whole, "unsplit-points"))
         pairs = _with_texts(pairs, texts, ["region", "sa", "sb"], ["region", "sa", "sb", "slice", "id"], ["region", "sa", "sb", "slice", "id", "label", "own"])
         out.append(written(map_arrow(pairs, _meet(n, num, den), "a bigint, b bigint"), "links"))
-        going = written(cell.filter("least <> most").join(bad.select("region"), "region", "left_anti").select("region", "pivot", "n"), "open-cells")
+        going = written(cell.join(bad.select("region"), "region", "left_anti"), "next-cells")
         rows = spread_join(inside, going, ["region", "pivot"], "n")
         rows = written(rows.select(F.xxhash64("region", "pivot", F.lit(level)).alias("region"), "id", "label", "own", "size"), "regions")
         level += 1
@@ -422,10 +435,12 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     again = slim.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(kind).alias("a"), F.max(kind).alias("b"))
     again = written(again.filter("rows > 1"), "repeated-ids")
     several = again.filter("a <> b").select("doc_id", "rows")
-    same = spread_join(slim.filter(known), several, ["doc_id"], "rows").select("doc_id", "set_hash").distinct()
-    same = written(same.join(points, "set_hash").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct(), "repeated-links")
+    links = []
+    if not several.isEmpty():
+        same = spread_join(slim.filter(known), several, ["doc_id"], "rows").select("doc_id", "set_hash").distinct()
+        links.append(written(same.join(points, "set_hash").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct(), "repeated-links"))
 
-    copies = spread_join(slim.filter(known), points, ["set_hash"], "rows").filter("doc_id <> id").select("doc_id", "set_hash").distinct()
+    copies = spread_join(slim.filter(known), points.filter("rows > 1"), ["set_hash"], "rows").filter("doc_id <> id").select("doc_id", "set_hash").distinct()
     copies = written(copies, "copies")
     tokens = signed.filter(known).join(_light(copies), ["doc_id", "set_hash"], "left_anti").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
     shared = tokens.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("region")).filter("rows > 1")
@@ -440,10 +455,8 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         texts = texts.join(twice, "id", "left_anti").unionByName(texts.join(twice, "id", "left_semi").distinct())
     texts = written(texts, "candidate-texts")
 
-    links = same
-    for found in region_links(rows, texts, n, num, den):
-        links = links.unionByName(found)
-    labels = components(links)
+    links += region_links(rows, texts, n, num, den)
+    labels = components(reduce(DataFrame.unionByName, links))
     # a wordless row goes with the other rows of its doc_id
     label = points.join(labels, "id", "left").select("set_hash", "rows", F.coalesce("label", "id").alias("component_id"))
     worded = spread_join(slim.filter(known), written(label, "components"), ["set_hash"], "rows").select("doc_id", "n_shingles", "component_id")

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
-from .common import documents
+from .common import documents, table_if_any
 from .fingerprints import compare_with_edits
 from .jaccard import shingle_components
 from .licenses import scan_licenses
 from .mixing import mix_sources
-from .quality import quality_bands
+from .quality import fit_limits, quality_bands
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .substrings import remove_repeats
@@ -65,7 +65,8 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_bands(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return quality_bands(docs, fit_limits(docs, table_if_any(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

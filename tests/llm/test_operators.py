@@ -671,6 +671,61 @@ def test_anchors_of_equal_windows_are_equal():
 # 10
 
 
+def plain_verdict(raw, packer):
+    """(ratio, share of odd chunks, whether both are within the bands) of a text, without fitted limits."""
+    if not raw:
+        return 0.0, 0.0, True
+
+    def ratio(x):
+        n = len(packer.compress(x))
+        return len(x) / (n - 9 if len(x) < 200 else n)
+
+    def odd(x):
+        high = [h for start, _, h in quality.BANDS if len(x) >= start][-1]
+        low = [a for start, a, _ in quality.BANDS if len(x) >= start][-1]
+        if sum(c > 127 for c in x) * 4 < len(x):
+            low = ([low] + [a for start, a in quality.PLAIN_LEAST if len(x) >= start])[-1]
+        return not low <= ratio(x) <= high
+
+    edges = list(range(0, len(raw), 4096))
+    parts = [raw[a : a + 4096] for a in edges[:-1]] + [raw[max(0, len(raw) - 4096) :]]
+    share = sum(map(odd, parts)) / len(parts)
+    return ratio(raw), share, not odd(raw) and share <= 0.25
+
+
+def test_limits_reject_what_the_base_rules_pass(spark):
+    """Menus and symbol noise of words that rarely repeat, against fitted limits; the same texts pass without them."""
+    r = Random(12)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or"]
+    word = lambda: "".join(r.choice(parts) for _ in range(r.randrange(1, 5)))
+    clean = [" ".join(word() for _ in range(r.randrange(60, 900))) for _ in range(700)]
+    junk = [f" {sign} ".join(word() for _ in range(r.randrange(200, 900))) for sign in ("|", "###", "&&&") for _ in range(40)]
+    tests = [" ".join(word() for _ in range(r.randrange(200, 900))) for _ in range(200)]
+    table = lambda texts: spark.createDataFrame([(k, x, *[None] * 8) for k, x in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(k, 1) for k in range(700)] + [(0, 0), (None, 1), (9999, 1)], "doc_id bigint, quality int")
+    limits = quality.fit_limits(table(clean), labels)
+    found = quality.quality_bands(table(junk), limits).collect()
+    assert sum(not r["kept"] and not r["base_failed"] for r in found) >= 0.9 * len(junk)
+    assert all(r["kept"] for r in quality.quality_bands(table(junk)).collect())
+    assert sum(r["kept"] for r in quality.quality_bands(table(tests), limits).collect()) >= 0.98 * len(tests)
+    assert quality.fit_limits(table(clean), None) is None and quality.fit_limits(table(clean), labels.filter("quality = 7")) is None
+
+
+def test_short_repeats_and_ends_are_judged():
+    packer = quality.new_packer()
+    short = " ".join(f"{a}{b}" for a in ("again-and-again-", "again-and-again.") for b in "abcdef").encode()
+    assert len(short) == 215 or len(short) < 260
+    assert not quality.measure(short[:190] + b" z y", packer)[-1]
+    r = Random(3)
+    prose = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(n)).encode()
+    assert quality.measure(prose(25), packer)[-1]
+    for n in (1, 4095, 4096, 4097, 6000, 8192, 9000):
+        parts = quality.chunks(bytes(n))
+        assert sum(map(len, parts)) >= n and all(len(p) == min(n, 4096) for p in parts) and len(parts) == -(-n // 4096)
+    tail = prose(900)[:4096] + base64.encodebytes(r.randbytes(2000))[:2000]
+    assert not quality.measure(tail, packer)[-1]  # half of its chunks: the last one reaches back
+
+
 def test_quality(docs, rows, empty):
     got = quality.quality_bands(docs).collect()
     packer, want = zstandard.ZstdCompressor(level=3, write_content_size=False), []
@@ -684,8 +739,9 @@ def test_quality(docs, rows, empty):
                 mark |= set(range(k, k + 5))
         lines = [x for x in text.split("\n") if WORD.search(x)]
         raw = text.encode()
-        want.append((r[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(mark), len(w) < 10 or 100 * len(mark) > 20 * len(w), len(raw) / len(packer.compress(raw)) if raw else 0.0))
-    check([tuple(r)[:8] for r in got], want)
+        want.append((r[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(mark), len(w) < 10 or 100 * len(mark) > 20 * len(w), *plain_verdict(raw, packer)))
+    want = [(*w[:9], w[9] and not w[6]) for w in want]
+    check([tuple(r) for r in got], want)
     kept = {r["doc_id"]: r["kept"] for r in got}
     assert kept[0] and not kept[50] and sum(kept.values()) > 30
     assert quality.quality_bands(empty).count() == 0
