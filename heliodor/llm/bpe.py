@@ -5,9 +5,11 @@ merge pairs, so bytes are mapped to printable characters one to one, and each to
 tokens that the lower ranks leave of it. Text is cut by the given pattern first and every match is encoded by itself;
 matches are kept in a bounded memory. Ids go out as little-endian u32.
 
-Decoding looks each id's bytes up in the reversed byte table and joins them. A token may hold part of a character:
-`decode` gives bytes, `decode_text` replaces what is left of broken characters at the ends, and `token_offsets` maps
-byte ends of tokens to character positions, a token that ends in mid-character reaching to that character's end.
+Decoding takes each id's characters from the model's vocabulary and turns them back into bytes by the reversed byte table,
+once for each id, and joins what the ids of a text give. A token may hold part of a character: `decode` gives bytes,
+`decode_text` replaces what is left of broken characters at the ends. Offsets are the character span of every token, from
+the character of its first byte to the character of its last byte, which it reaches the end of even if it ends inside; so
+the tokens of a split character all span it.
 
 Defined results: a null or empty text has no ids; repeated rows give the same ids; other columns are not read; an id
 outside the vocabulary raises KeyError.
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import Cached, held, map_arrow, text_bytes
 
-ENCODED, DECODED = "doc_id bigint, ids binary", "doc_id bigint, ids binary, decoded binary"
+ENCODED = "doc_id bigint, ids binary"
+#: offsets: pairs of little-endian u32, the first and the last + 1 character of each token; n_split: tokens that end inside a character.
+DECODED = "doc_id bigint, ids binary, decoded binary, offsets binary, n_split bigint"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,6 +59,12 @@ def last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | No
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
+def vocabulary(ranks: dict[bytes, int]) -> dict[str, int]:
+    """The ids by the characters of their tokens."""
+    table = byte_characters()
+    return {"".join(map(table.__getitem__, t)): r for t, r in ranks.items()}
+
+
 def model(path: str):
     """The library's BPE model of a file of ranks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,7 +73,7 @@ def model(path: str):
     ranks, table = read_ranks(path), byte_characters()
     name = lambda token: "".join(map(table.__getitem__, token))
     pairs = [pair for token in sorted(ranks, key=ranks.__getitem__) if len(token) > 1 and (pair := last_pair(token, ranks))]
-    return BPE(vocab={name(t): r for t, r in ranks.items()}, merges=[(name(a), name(b)) for a, b in pairs], ignore_merges=True)
+    return BPE(vocab=vocabulary(ranks), merges=[(name(a), name(b)) for a, b in pairs], ignore_merges=True)
 
 
 def piece_ids(path: str, bound: int = 150_000) -> Cached:
@@ -96,26 +106,40 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def token_table(path: str) -> list[bytes]:
-    ranks = read_ranks(path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
+    """The bytes of each id: its characters in the vocabulary through the reversed byte table."""
+    byte_of = {character: byte for byte, character in byte_characters().items()}
+    names = vocabulary(read_ranks(path))
+    table = [b""] * (max(names.values()) + 1)
+    for name, rank in names.items():
+        table[rank] = bytes(map(byte_of.__getitem__, name))
     return table
 
 
+def offsets_of(lengths: np.ndarray, decoded: bytes) -> tuple[np.ndarray, int]:
+    """((tokens, 2) first and last + 1 character of each token, how many tokens end inside a character)."""
+    starts = (np.frombuffer(decoded, np.uint8) & 0xC0) != 0x80  # where characters begin
+    character = np.cumsum(starts, dtype=np.int32)
+    ends = np.cumsum(lengths)
+    split = int((~starts[ends[ends < len(starts)]]).sum())
+    return np.stack([character[ends - lengths] - 1, character[ends - 1]], axis=1).astype("<u4") if len(ends) else np.empty((0, 2), "<u4"), split
+
+
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         table = token_table(path)
+        lengths = np.array([len(t) for t in table], np.int64)
         for batch in batches:
-            ids = batch.column(1).to_pylist()
-            out = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+            ids = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
+            out = [b"".join(map(table.__getitem__, x.tolist())) for x in ids]
+            places = [offsets_of(lengths[x], text) for x, text in zip(ids, out, strict=True)]
+            columns = [batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array([p.tobytes() for p, _ in places], pa.binary()), pa.array([n for _, n in places], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in DECODED.split(", ")])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, decoded): the bytes that the ids stand for."""
+    """(doc_id, ids, decoded, offsets, n_split): the bytes that the ids stand for, and the tokens' places in them."""
     return map_arrow(encoded.select("doc_id", "ids"), _decode(path), DECODED)
 
 
@@ -137,9 +161,6 @@ def decode_text(ids: list[int], table: list[bytes]) -> str:
 
 
 def token_offsets(ids: np.ndarray, table: list[bytes]) -> list[tuple[int, int]]:
-    """The character span of every token: it starts where the character of its first byte does and ends where the character of its last byte does."""
-    joined = np.frombuffer(b"".join(table[i] for i in ids), np.uint8)
-    ends = np.cumsum([len(table[i]) for i in ids], dtype=np.int64)
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    of_byte = np.cumsum((joined & 0xC0) != 0x80) - 1
-    return [(int(of_byte[a]), int(of_byte[b - 1]) + 1) for a, b in zip(begins, ends, strict=True)]
+    """The character span of every token."""
+    tokens = [table[i] for i in ids]
+    return [tuple(p) for p in offsets_of(np.array([len(t) for t in tokens], np.int64), b"".join(tokens))[0].tolist()]

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 WEIGHTS, TILTS, MOST, CELL_ROWS = (5, 2, 1), (0.5, 0.0, -0.5), 3, 2_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,22 +99,30 @@ def training_order(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents as the mix reads them: a row for each reading, the last one of a source cut to its words, in order of position.
 
-    The columns are those of the table; n_chars, if there is one, follows the text. Only the join of texts to readings
-    and the final range sort move texts.
+    The columns are those of the table, whatever their names; n_chars, if there is one, follows the text. Rows are carried
+    as one struct, and known by doc_id and a hash of all their columns; rows alike in all columns are one with several
+    places in the mix. Only the join of texts to readings and the final range sort move texts.
     """
-    order = lambda c: Window.partitionBy(c).orderBy("_hash", "_source")
-    t = docs.withColumns({"_hash": F.xxhash64(F.col(f"`{text_col}`")), "_source": F.col(f"`{source_col}`")})
-    mixed = mix_sources(t, id_col=id_col, text_col=text_col, source_col=source_col, keep=("_hash", "_source"), **options)
-    mixed = mixed.withColumnsRenamed({"kept__hash": "_hash", "kept__source": "_source"}).withColumn("_nth", F.row_number().over(order("doc_id")))
-    names = ("size", "passes", "rest", "source_size", "target", "tilt", "prefix")
-    mixed = mixed.filter("passes > 0 or rest > 0").select(F.col("doc_id").alias("_id"), F.col("_nth").alias("_of"), *[F.col(c).alias(f"_{c}") for c in names])
-    t = t.withColumn("_nth", F.row_number().over(order(f"`{id_col}`"))).join(mixed, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_of")))
-    t = t.withColumn("_reading", F.explode(F.expr("sequence(0, cast(_passes as int) - if(_rest > 0, 0, 1))")))
-    share = F.least(F.lit(1.0), (F.col("_reading") * F.col("_source_size") + F.col("_prefix")) / F.col("_target"))
-    t = t.withColumn("_position", demand_time(share, F.col("_tilt")))
-    words = F.filter(F.split(F.col(f"`{text_col}`"), r"[ \x09-\x0D]+"), lambda w: w != "")
-    cut = (F.col("_reading") == F.col("_passes")) & (F.col("_rest") < F.col("_size"))
-    t = t.withColumn("_text", F.when(cut, F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("_rest").cast("int"))), " ")).otherwise(F.col(f"`{text_col}`")))
-    t = t.orderBy("_position", "_id", "_reading")
-    new = {text_col: F.col("_text"), "n_chars": F.char_length("_text").cast("bigint")}
-    return t.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    flat = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    t = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(*flat).alias("row_hash"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    mixed = mix_sources(t, keep=("row_hash",), **options).withColumnRenamed("kept_row_hash", "row_hash")
+    mixed = written(mixed.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).drop("doc_id"), "mixed")
+    rows = t.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).select("id", "row_hash", "row")
+    taken, key = mixed.filter("passes > 0 or rest > 0"), ["id", "row_hash"]
+    again = mixed.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1")
+    if again.isEmpty():
+        t = rows.join(taken, key)
+    else:  # of rows that are alike one gives the content
+        again = written(again, "repeated-rows")
+        once = rows.join(again.select(*key), key, "left_anti").join(taken, key)
+        one = written(rows.join(again, key).dropDuplicates(key), "repeated-row")
+        t = once.unionByName(spread_join(taken.join(again.select(*key), key, "left_semi"), one, key, "rows").select(*once.columns))
+    t = t.withColumn("reading", F.explode(F.expr("sequence(0, cast(passes as int) - if(rest > 0, 0, 1))")))
+    share = F.least(F.lit(1.0), (F.col("reading") * F.col("source_size") + F.col("prefix")) / F.col("target"))
+    text = F.col("row").getField(text_col)
+    words = F.filter(F.split(text, r"[ \x09-\x0D]+"), lambda w: w != "")
+    cut = (F.col("reading") == F.col("passes")) & (F.col("rest") < F.col("size"))
+    new_text = F.when(cut, F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("rest").cast("int"))), " ")).otherwise(text)
+    t = t.select("row", "id", "reading", demand_time(share, F.col("tilt")).alias("position"), "prefix", new_text.alias("new_text")).orderBy("position", "id", "reading", "prefix")
+    new = {text_col: F.col("new_text"), "n_chars": F.char_length("new_text").cast("bigint")}
+    return t.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

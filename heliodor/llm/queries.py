@@ -52,6 +52,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "n_split",
+        F.sha2("offsets", 256).alias("offsets_sha256"),
     )
 
 

@@ -519,6 +519,23 @@ def test_bpe(docs, rows, empty):
     assert bpe.decode_text(ids, table) == text
     spans = bpe.token_offsets(np.array(ids), table)
     assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a < b for a, b in spans)
+    got = {r["doc_id"]: (r["offsets"], r["n_split"]) for r in both if r["doc_id"] is not None}
+    total = 0
+    for r in rows:
+        if r[0] is None:
+            continue
+        text, at, want, split = r[1] or "", 0, [], 0
+        edge = [0]
+        for c in text:
+            edge.append(edge[-1] + len(c.encode()))
+        of_byte = [k for k, c in enumerate(text) for _ in c.encode()]
+        for i in own.encode_ordinary(text):
+            end = at + len(own.decode_single_token_bytes(i))
+            want += [of_byte[at], of_byte[end - 1] + 1]
+            split, at = split + (end not in set(edge[of_byte[end - 1] : of_byte[end - 1] + 2])), end
+        assert (bytes(got[r[0]][0]), got[r[0]][1]) == (np.array(want, "<u4").tobytes(), split)
+        total += split
+    assert total  # the documents have characters that tokens split
     assert "�" in bpe.decode_text(own.encode_ordinary("🙂")[:1], table) or len(own.encode_ordinary("🙂")) == 1
 
 
@@ -577,6 +594,25 @@ def test_mixed_documents(docs, rows):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_names_that_clash(spark):
+    """Tables whose other columns have the names that the stages use, with repeated rows and ids."""
+    names = ["_hash", "_nth", "_source", "_text", "_position", "_reading", "_size", "_id", "_of", "_rest", "_gone", "_salt", "_hot", "row", "id", "rows", "prefix", "position", "reading", "new_text", "label", "region", "n", "tilt", "row_hash", "size"]
+    r = Random(4)
+    texts = [" ".join(r.choice(("a", "b", "c", "d")) + str(r.randrange(40)) for _ in range(r.randrange(3, 30))) for _ in range(12)]
+    rows = [(k, t, r.choice(("s", "t", None)), *[f"{name}-{k}" for name in names]) for k, t in enumerate(texts)]
+    rows += [rows[2], rows[2], (3, "another text of id three", "s", *rows[3][3:]), (None, texts[1], "t", *rows[1][3:]), (None, texts[1], "t", *rows[1][3:])]
+    t = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    mixed = mixing.mixed_documents(t)
+    assert mixed.columns == t.columns
+    got = mixed.collect()
+    held = {(x[0], x[2], *x[3:]) for x in rows}
+    assert {(x["doc_id"], x["source"], *x[3:]) for x in got} <= held
+    assert sum(len(x["text"].split()) for x in got) == sum(x["taken"] for x in mixing.mix_sources(t).collect())
+    kept = jaccard.one_of_each(t)
+    assert kept.columns == t.columns and {tuple(x) for x in kept.collect()} <= set(rows)
+    assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == [k for k in range(12)]
+
+
 # 9
 
 
