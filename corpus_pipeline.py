@@ -1,6 +1,6 @@
 """The corpus pipeline: from raw documents to token ids. Every stage works on what the one before it kept.
 
-quality        documents outside the compression bands, or failing the base rules, go
+quality        documents outside the compression bands (drawn closer from `labels`, if there are any), or failing the base rules, go
 near_copies    of documents linked by five-word shingles at a similarity of 0.8 or more, the smallest doc_id stays
 secrets        values of secrets are replaced in the texts
 mix            sources are mixed to their target weights; a document is a row for each reading, in training order
@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliodor.llm import bpe, jaccard, mixing, quality, secrets
-from heliodor.llm.common import documents, written
+from heliodor.llm.common import documents, table_if_any, written
 from heliodor.plans.session import ship_package
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, quality.fit_limits(docs, table_if_any(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
