@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.prefix import running
+from ..plans.prefix import previous, running
 
 
 def by_score(t: DataFrame, label: str = "label", score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -31,16 +31,20 @@ def roc_curve(t: DataFrame, label: str = "label", score: str = "score") -> DataF
     return points.unionByName(t.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
-def best_threshold(t: DataFrame, how: str = "f1", label: str = "label", score: str = "score", eps: float = 1e-10, whole: bool = True) -> DataFrame:
-    """(score, value) of the greatest F1 or IoU over thresholds `score >= s`; the lowest threshold of equals."""
+def best_threshold(t: DataFrame, how: str = "f1", label: str = "label", score: str = "score", eps: float = 1e-10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, score, value) of the greatest F1 or IoU over thresholds `score >= s`; the lowest threshold of equals; (0, 0) without positives."""
     if how not in ("f1", "iou"):
         raise ValueError(f"unknown metric: {how}")
-    counted = by_score(t, label, score)
-    c = running(counted, "score", {"tp": "pos", "fp": "neg"}, descending=True).join(F.broadcast(counted.agg(F.sum("pos").alias("p"))))
+    counted = by_score(t, label, score, keys)
+    total = counted.groupBy(*keys).agg(F.sum("pos").alias("p"))
+    c = running(counted, "score", {"tp": "pos", "fp": "neg"}, descending=True, keys=keys)
+    c = c.join(F.broadcast(total), list(keys)) if keys else c.join(F.broadcast(total))  # a row, or one for each key
     tp, fp, p = F.col("tp"), F.col("fp"), F.col("p")
     precision, recall = tp / (tp + fp), F.try_divide(tp.cast("double"), p)
     value = 2 * precision * recall / (precision + recall + eps) if how == "f1" else tp / (p + fp + eps)
-    return c.withColumn("value", F.round(value, 9)).orderBy(F.desc("value"), F.asc("score")).limit(1).select("score", "value")
+    top = F.max(F.when(p > 0, F.struct(F.round(value, 9).alias("value"), (-F.col("score")).alias("score"))))
+    top = c.groupBy(*keys).agg(top.alias("top"))
+    return top.select(*keys, F.coalesce(-F.col("top.score"), F.lit(0.0)).alias("score"), F.coalesce("top.value", F.lit(0.0)).alias("value"))
 
 
 def pro_points(cells: DataFrame, regions: DataFrame) -> DataFrame:
@@ -64,40 +68,46 @@ def pro_curve(cells: DataFrame, regions: DataFrame) -> DataFrame:
     return points.unionByName(start)
 
 
-def trapezoid(curve: DataFrame, x: str, y: str, order: Column, limit: float, normalise: bool = True) -> DataFrame:
-    """(area): the area under a curve up to x = limit, y interpolated at the limit; points that are not finite are left out."""
+def trapezoid(curve: DataFrame, x: str, y: str, limit: float, normalise: bool = True, order: str = "threshold") -> DataFrame:
+    """(area): the area under a curve, by falling `order`, up to x = limit, y interpolated at the limit; points that are not finite are left out.
+
+    The limit must be above 0 and at most 1. Each point needs the one before, which ranges of the order pass on.
+    """
+    if not 0 < limit <= 1:
+        raise ValueError("the integration limit must be above 0 and at most 1")
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
-    w = Window.orderBy(order)
-    t = curve.filter(finite(x) & finite(y)).withColumns({"x0": F.lag(x).over(w), "y0": F.lag(y).over(w)}).filter(F.col("x0").isNotNull() & (F.col("x0") < limit))
+    t = previous(curve.filter(finite(x) & finite(y)), order, {"x0": x, "y0": y}, descending=True).filter(F.col("x0").isNotNull() & (F.col("x0") < limit))
     end = F.least(F.col(x), F.lit(limit))
     y_end = F.when(F.col(x) > limit, F.col("y0") + (F.col(y) - F.col("y0")) * F.try_divide(F.lit(limit) - F.col("x0"), F.col(x) - F.col("x0"))).otherwise(F.col(y))
     area = F.sum((end - F.col("x0")) * (F.col("y0") + y_end) / 2)
     return t.agg((area / limit if normalise else area).alias("area"))
 
 
-def au_pro_thresholds(cells: DataFrame, regions: DataFrame, steps: int = 200, limit: float = 0.3) -> DataFrame:
-    """(au_pro) from `steps` even thresholds between the least and greatest score of images with a defect.
+def au_pro_thresholds(cells: DataFrame, regions: DataFrame, steps: int = 200, limit: float = 0.3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, au_pro) from `steps` even thresholds between the least and greatest score of images with a defect.
 
     Every cell is put in the bin of the highest threshold it reaches, and counts are summed from above: one pass, no
-    product of cells and thresholds.
+    product of cells and thresholds. With keys, columns of the cells, each key has its own thresholds and curve.
     """
+    by, one = list(keys), (lambda t, u: t.join(F.broadcast(u), list(keys)) if keys else t.join(F.broadcast(u)))
     used = cells.join(regions.select("image_id").distinct(), "image_id", "left_semi")
-    ends = used.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    t = used.join(F.broadcast(ends))
+    t = one(used, used.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum((F.col("gt_mask") == 0).cast("bigint")).alias("n_ok")))
     level = lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / F.lit(float(steps - 1))
     guess = F.floor((F.col("score") - F.col("lo")) * (steps - 1) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))).cast("int")
     t = t.withColumn("guess", F.coalesce(guess, F.lit(0)))
     # the guess is at most one off
     t = t.withColumn("bin", F.least(F.lit(steps - 1), F.when(level(F.col("guess") + 1) <= F.col("score"), F.col("guess") + 1).when(level(F.col("guess")) <= F.col("score"), F.col("guess")).otherwise(F.col("guess") - 1)))
     r = regions.withColumn("region_size", F.count("*").over(Window.partitionBy("image_id", "region")))
-    n_regions = regions.select("image_id", "region").distinct().agg(F.count("*").alias("n_regions"))
-    b = t.join(r, ["image_id", "y", "x"], "left").groupBy("bin").agg(F.sum((F.col("gt_mask") == 0).cast("bigint")).alias("ok"), F.sum(F.when(F.col("gt_mask") == 1, 1.0 / F.col("region_size")).otherwise(0.0)).alias("overlap"))
-    bins = cells.sparkSession.range(steps).select(F.col("id").cast("int").alias("bin")).join(b, "bin", "left")
-    down = Window.orderBy(F.desc("bin"))
-    c = bins.select("bin", F.sum(F.coalesce("ok", F.lit(0))).over(down).alias("fp"), F.sum(F.coalesce("overlap", F.lit(0.0))).over(down).alias("hit"))
-    n_ok = used.agg(F.sum((F.col("gt_mask") == 0).cast("bigint")).alias("n_ok"))
-    c = c.join(F.broadcast(n_ok)).join(F.broadcast(n_regions)).select("bin", F.try_divide(F.col("fp").cast("double"), F.col("n_ok")).alias("fpr"), F.try_divide(F.col("hit"), F.col("n_regions")).alias("pro"))
-    c = c.filter(F.col("fpr") <= limit)
-    order = Window.orderBy("fpr", "bin")
+    owner = used.select("image_id", *by).distinct()
+    n_regions = regions.select("image_id", "region").distinct().join(owner, "image_id").groupBy(*by).agg(F.count("*").alias("n_regions"))
+    b = t.join(r, ["image_id", "y", "x"], "left").groupBy(*by, "bin").agg(F.sum((F.col("gt_mask") == 0).cast("bigint")).alias("ok"), F.sum(F.when(F.col("gt_mask") == 1, 1.0 / F.col("region_size")).otherwise(0.0)).alias("overlap"), F.first("n_ok").alias("n_ok"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
+    ends = b.groupBy(*by).agg(F.first("n_ok").alias("n_ok"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
+    bins = one(ends, n_regions).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).join(b.select(*by, "bin", "ok", "overlap"), [*by, "bin"], "left")
+    down = Window.partitionBy(*by).orderBy(F.desc("bin"))
+    c = bins.select(*by, "bin", "n_ok", "n_regions", "lo", "hi", F.sum(F.coalesce("ok", F.lit(0))).over(down).alias("fp"), F.sum(F.coalesce("overlap", F.lit(0.0))).over(down).alias("hit"))
+    c = c.select(*by, "bin", "lo", "hi", F.try_divide(F.col("fp").cast("double"), F.col("n_ok")).alias("fpr"), F.try_divide(F.col("hit"), F.col("n_regions")).alias("pro"))
+    c = c.withColumn("valid", (F.col("fpr") <= limit) & (F.col("hi") > F.col("lo")))
+    order = Window.partitionBy(*by, "valid").orderBy("fpr", "bin")
     c = c.withColumns({"x0": F.coalesce(F.lag("fpr").over(order), F.lit(0.0)), "y0": F.coalesce(F.lag("pro").over(order), F.col("pro"))})
-    return c.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.sum((F.col("fpr") - F.col("x0")) * (F.col("pro") + F.col("y0")) / 2) / limit, F.lit(0.0)))).alias("au_pro"))
+    area = F.sum(F.when(F.col("valid"), (F.col("fpr") - F.col("x0")) * (F.col("pro") + F.col("y0")) / 2)) / limit
+    return c.groupBy(*by).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(area, F.lit(0.0)))).alias("au_pro"))

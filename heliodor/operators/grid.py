@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import bilinear, gaussian, turn
+
 
 def to_grid(pdf: pd.DataFrame, column: str) -> np.ndarray:
     out = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), pdf[column].to_numpy().dtype)
@@ -27,6 +29,24 @@ def per_image(cells: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], colu
     return cells.select("image_id", "y", "x", column).groupBy("image_id").applyInPandas(run, f"image_id bigint, y int, x int, {out} {kind}")
 
 
+def turned(cells: DataFrame, angles: tuple[int, ...], column: str, border: str = "replicate") -> DataFrame:
+    """(image_id, angle, y, x, value): each image turned by every angle."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = to_grid(pdf, column).astype(np.float64)
+        y, x = np.mgrid[: image.shape[0], : image.shape[1]]
+        one = lambda a: pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "angle": np.int32(a), "y": y.ravel().astype("int32"), "x": x.ravel().astype("int32"), "value": turn(image, a, border).ravel()})
+        return pd.concat([one(a) for a in angles])
+
+    return cells.select("image_id", "y", "x", column).groupBy("image_id").applyInPandas(run, "image_id bigint, angle int, y int, x int, value double")
+
+
+def upsampled_mask(saliency: np.ndarray, h: int, w: int, percentile: float = 70, sigma: float = 4.0) -> np.ndarray:
+    """What lies above a percentile of a map that is brought to h x w and smoothed."""
+    smooth = gaussian(bilinear(saliency, h, w), sigma)
+    return (smooth > np.percentile(smooth, percentile)).astype(np.int32)
+
+
 def per_image_value(cells: DataFrame, kernel: Callable[[np.ndarray], float], column: str, out: str, kind: str) -> DataFrame:
     """(image_id, out): one value of each image's grid."""
 
@@ -67,13 +87,3 @@ def planar_ratios(cells: DataFrame, column: str = "score") -> DataFrame:
     t = cells.join(t, "image_id")
     left = F.col(column) - F.col("mz") - F.col("sx") * (F.col("x") - F.col("mx")) - F.col("sy") * (F.col("y") - F.col("my"))
     return t.groupBy("image_id").agg(F.try_divide(F.stddev_pop(left), F.stddev_pop(column)).alias("ratio"))
-
-
-def background_mask(cells: DataFrame, share: float = 0.6, column: str = "score", border: float = 0.2, least: float = 0.35) -> DataFrame:
-    """(image_id, y, x, fg): above the image's percentile; turned over if the centre keeps no more than `least`."""
-    w = Window.partitionBy("image_id")
-    t = cells.withColumn("fg", (F.col(column) > F.percentile(column, share).over(w)).cast("int"))
-    inside = lambda c: (F.col(c) >= F.floor(F.col(f"n{c}") * border)) & (F.col(c) < F.col(f"n{c}") - F.floor(F.col(f"n{c}") * border))
-    t = t.withColumns({"ny": F.max("y").over(w) + 1, "nx": F.max("x").over(w) + 1})
-    t = t.withColumn("centre", F.avg(F.when(inside("y") & inside("x"), F.col("fg"))).over(w))
-    return t.select("image_id", "y", "x", F.when(F.col("centre") <= least, 1 - F.col("fg")).otherwise(F.col("fg")).cast("int").alias("fg"))

@@ -1,56 +1,133 @@
 """Exact nearest-neighbour scores of patches against a bank of normal patches.
 
-Queries and bank are hashed into blocks of bounded size; each pair of blocks is one group whose distances are one
-matrix product, and gives the k smallest per query. These partial lists are merged per query. Nothing is broadcast, and
-a task's memory is BLOCK x BLOCK doubles, whatever the size of either side.
+Exact search compares every query with every bank row that may serve it; what is bounded is memory and what is moved.
+
+`nearest` is for a few neighbours: queries and bank are hashed into blocks of bounded size; each pair of blocks is one
+group whose distances are one matrix product, and gives the k smallest per query. These lists of k are merged per query.
+
+`streamed_scores` is for numbers of neighbours that grow with the bank (a share of it): a task holds a block of queries and
+their nearest distances so far, HELD numbers in all, and the bank streams past it in slices. No list of distances leaves
+the task, whatever the size of the bank; the more neighbours, the smaller the blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import smallest_k
 
-BLOCK = 2048
+BLOCK, HELD, SLICE = 2048, 1 << 22, 2048
 
 
-def _pairs(k: int | None, leave_out: bool):
+def _pairs(k: int, leave_out: bool):
     def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if q.empty or b.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="object")})
         d = 1.0 - np.stack(q["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
         if leave_out:
             d[q["image_id"].to_numpy()[:, None] == b["image_id"].to_numpy()] = np.inf
-        most = k if k is not None else int(q["k"].max())
-        near = smallest_k(d, most)
+        near = smallest_k(d, k)
         return pd.DataFrame({"query_id": q["query_id"].to_numpy(), "near": [x[np.isfinite(x)].tolist() for x in near]})
 
     return run
 
 
-def nearest_scores(query: DataFrame, bank: DataFrame, k: int | None, by: str | None = None, leave_out: bool = False, block: int = BLOCK) -> DataFrame:
-    """(query_id, score): the mean distance of the k nearest bank rows (k=None: a column k of the queries).
+def nearest(query: DataFrame, bank: DataFrame, k: int, by: tuple[str, ...] = (), leave_out: bool = False, block: int = BLOCK) -> DataFrame:
+    """(query_id, near): the distances of the k nearest bank rows, rising.
 
-    query and bank have image_id, a normalised double array v and, if given, the column `by` that must be equal;
-    leave_out excludes bank rows of the query's own image.
+    query and bank have image_id, a normalised double array v and the columns `by`, which must be equal; leave_out
+    excludes bank rows of the query's own image.
     """
-    keys = [by] if by else []
+    keys = list(by)
     bank = bank.select(*[F.col(c).alias(c) for c in bank.columns])  # both sides may come from one table
     blocks = {name: -(-max(1, t.count()) // block) for name, t in (("q", query), ("b", bank))}
     q = query.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks["q"]))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks["b"] - 1)).cast("array<bigint>")))
     b = bank.withColumn("bb", F.pmod(F.xxhash64("bank_id"), F.lit(blocks["b"]))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks["q"] - 1)).cast("array<bigint>")))
     near = q.groupBy(*keys, "qb", "bb").cogroup(b.groupBy(*keys, "qb", "bb")).applyInPandas(_pairs(k, leave_out), "query_id bigint, near array<double>")
-    merged = near.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
-    if k is None:
-        merged = merged.join(query.select("query_id", "k"), "query_id")
-        first = F.expr("slice(near, 1, cast(k as int))")
-    else:
-        first = F.slice("near", 1, k)
-    t = merged.withColumn("near", first).filter(F.size("near") > 0)
-    return t.select("query_id", (F.aggregate("near", F.lit(0.0), lambda s, x: s + x) / F.size("near")).alias("score"))
+    merged = near.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return merged.filter(F.size("near") > 0)
+
+
+def nearest_scores(query: DataFrame, bank: DataFrame, k: int, by: tuple[str, ...] = (), leave_out: bool = False, block: int = BLOCK) -> DataFrame:
+    """(query_id, score): the mean distance of the k nearest bank rows, of all if there are fewer."""
+    near = nearest(query, bank, k, by, leave_out, block)
+    return near.select("query_id", (F.aggregate("near", F.lit(0.0), lambda s, x: s + x) / F.size("near")).alias("score"))
+
+
+class _Held:
+    """Queries of one block and their least distances so far."""
+
+    def __init__(self, ids: list, images: np.ndarray, ks: np.ndarray, v: np.ndarray):
+        self.ids, self.images, self.ks, self.v = ids, images, ks, v
+        self.near = np.full((len(ids), int(ks.max())), np.inf)
+
+    def meet(self, images: np.ndarray, v: np.ndarray) -> None:
+        d = 1.0 - self.v @ v.T
+        d[self.images[:, None] == images] = np.inf
+        k = self.near.shape[1]
+        self.near = np.partition(np.concatenate([self.near, d], axis=1), k - 1, axis=1)[:, :k]
+
+    def rows(self) -> list[tuple]:
+        out = []
+        for key, k, near in zip(self.ids, self.ks.tolist(), np.sort(self.near, axis=1), strict=True):
+            near = near[:k][np.isfinite(near[:k])]
+            if len(near):
+                out.append((key, float(near.sum() / len(near))))
+        return out
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Rows (place, bank, id, image_id, k, v): the queries of each place, then the bank that serves it."""
+    place, held, queries = None, None, []
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["query_id", "score"])
+
+    def gather() -> _Held | None:
+        return _Held([i for q in queries for i in q[0]], *(np.concatenate([q[c] for q in queries]) for c in (1, 2, 3))) if queries else None
+
+    for batch in batches:
+        places, sides = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((places[1:] != places[:-1]) | (sides[1:] != sides[:-1])) + 1).tolist(), len(places)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if places[a] != place:
+                held = held or gather()
+                if held:
+                    yield batch_of(held.rows())
+                place, held, queries = places[a], None, []
+            for lo in range(a, b, SLICE):
+                part = batch.slice(lo, min(SLICE, b - lo))
+                v = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                images = part.column(3).to_numpy(zero_copy_only=False)
+                if not sides[a]:
+                    queries.append((part.column(2).to_pylist(), images, part.column(4).to_numpy(zero_copy_only=False), v))
+                    continue
+                held = held or gather()
+                if held:
+                    held.meet(images, v)
+    held = held or gather()
+    if held:
+        yield batch_of(held.rows())
+
+
+def streamed_scores(query: DataFrame, bank: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
+    """(query_id, score): the mean distance of the k nearest bank rows of other images with an equal `by`; k is a column of the queries."""
+    size = query.agg(F.count("*"), F.max("k")).head()
+    block = max(1, min(block, HELD // max(1, size[1] or 1)))
+    blocks = -(-max(1, size[0]) // block)
+    columns = ["place", "bank", "id", "image_id", "k", "v"]
+    q = query.withColumn("place", F.xxhash64(by, F.pmod(F.xxhash64("query_id"), F.lit(blocks)))).select("place", F.lit(False).alias("bank"), F.col("query_id").alias("id"), "image_id", F.col("k").cast("int").alias("k"), "v")
+    b = bank.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    b = b.select(F.xxhash64(by, "b").alias("place"), F.lit(True).alias("bank"), F.col("bank_id").alias("id"), "image_id", F.lit(0).alias("k"), "v")
+    parts = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = q.unionByName(b).select(*columns).repartition(parts, "place").sortWithinPartitions("place", "bank")
+    return t.mapInArrow(_stream, "query_id bigint, score double")
 
 
 def loo_queries(patches: DataFrame, share: float = 0.001) -> DataFrame:

@@ -11,14 +11,34 @@ def known(c: str) -> Column:
     return F.when(~F.isnan(c), F.col(c))
 
 
+#: The metrics that summaries average.
+MEANS = ("auroc", "aupro", "pixel_auroc", "pixel_f1", "mean_iou", "cls_accuracy", "cls_precision", "cls_recall", "cls_f1")
+
+
+def per_object(results: DataFrame) -> DataFrame:
+    """The fifteen columns of every record; undefined metrics are null."""
+    t = classification(results)
+    named = {"cls_accuracy": "accuracy", "cls_precision": "precision", "cls_recall": "recall", "cls_f1": "f1", "cls_tp": "tp", "cls_fp": "fp", "cls_fn": "fn", "cls_tn": "tn"}
+    return t.select("object_name", "method_name", *[known(c).alias(c) for c in MEANS[:5]], *[F.col(c).alias(n) for n, c in named.items()])
+
+
 def summary(results: DataFrame) -> DataFrame:
-    """Per method: means, population deviations, pooled counts. A NaN in auroc makes its mean NaN; other NaNs are skipped."""
-    return results.groupBy("method_name").agg(
-        F.avg("auroc").alias("mean_auroc"), F.stddev_pop("auroc").alias("std_auroc"), F.avg(known("aupro")).alias("mean_aupro"), F.stddev_pop(known("aupro")).alias("std_aupro"),
+    """Per method: means of all metrics, population deviations of two, pooled counts. A NaN in auroc makes its mean NaN; other NaNs are skipped."""
+    t = classification(results).withColumnsRenamed({"accuracy": "cls_accuracy", "precision": "cls_precision", "recall": "cls_recall", "f1": "cls_f1"})
+    return t.groupBy("method_name").agg(
+        F.avg("auroc").alias("mean_auroc"), F.stddev_pop("auroc").alias("std_auroc"), F.stddev_pop(known("aupro")).alias("std_aupro"), *[F.avg(known(c)).alias(f"mean_{c}") for c in MEANS[1:]],
         *[F.sum(c).alias(f"total_{c}") for c in ("tp", "fp", "fn", "tn")], F.count("*").alias("n_objects"),
     )
 
 
+def of_method(results: DataFrame, method: str) -> DataFrame:
+    return results.filter(F.col("method_name") == method)
+
+
+def of_object(results: DataFrame, name: str) -> DataFrame:
+    return results.filter(F.col("object_name") == name)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

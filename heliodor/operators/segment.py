@@ -26,11 +26,12 @@ def component_stats(regions: DataFrame) -> DataFrame:
     return t.groupBy("image_id").agg(F.count("*").alias("n_regions"), F.max("area").alias("largest_area"), F.sum("area").alias("total_area"))
 
 
-def segment(maps: DataFrame, method: str = "percentile", percentile: float = 95.0, sigma: float = 4.0, threshold: float | None = None, least_points: int = 100) -> DataFrame:
+def segment(maps: DataFrame, method: str = "percentile", percentile: float = 95.0, sigma: float = 4.0, threshold: float | None = None, least_points: int = 100, resize_to: tuple[int, int] | None = None) -> DataFrame:
     """(image_id, y, x, mask): a map's cells above a threshold within its region of interest (score <> 0).
 
     The map is smoothed before the region is taken; `gmm` takes the higher of two normal components and falls back to
-    the percentile for fewer than least_points cells.
+    the percentile for fewer than least_points cells. With resize_to (rows, columns) the mask is brought to that size by
+    nearest cells afterwards.
     """
     if method not in ("percentile", "gmm"):
         raise ValueError(f"unknown method: {method}")
@@ -45,7 +46,9 @@ def segment(maps: DataFrame, method: str = "percentile", percentile: float = 95.
                 mask[roi] = K.two_normals(values)
             else:
                 mask[roi] = values > (np.percentile(values, percentile) if threshold is None else threshold)
-        y, x = np.mgrid[: grid.shape[0], : grid.shape[1]]
+        if resize_to:
+            mask = K.nearest(mask, *resize_to)
+        y, x = np.mgrid[: mask.shape[0], : mask.shape[1]]
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": y.ravel().astype("int32"), "x": x.ravel().astype("int32"), "mask": mask.ravel()})
 
     return maps.select("image_id", "y", "x", "score").groupBy("image_id").applyInPandas(run, "image_id bigint, y int, x int, mask int")

@@ -1,7 +1,8 @@
-"""Run settings as one typed record; values given replace the defaults."""
+"""Run settings as one typed record; values given, also by a YAML file, replace the defaults."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, fields, replace
 
 
@@ -32,3 +33,55 @@ class RunConfig:
         if set(values) - names:
             raise ValueError(f"unknown settings: {sorted(set(values) - names)}")
         return replace(self, **values)
+
+    def with_file(self, path: str) -> RunConfig:
+        with open(path, encoding="utf-8") as f:
+            values = read_settings(f.read())
+        return self.with_values({k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+
+
+def read_settings(text: str) -> dict:
+    """The plain part of YAML that settings use: nested maps by indentation, lists of scalars, quoted or bare scalars, comments."""
+    root: dict = {}
+    open_maps: list[tuple[int, dict]] = [(-1, root)]
+    last: tuple[dict, str] | None = None
+    for number, line in enumerate(text.splitlines(), 1):
+        bare = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if not bare or bare == "---":
+            continue
+        indent, item = len(bare) - len(bare.lstrip()), bare.strip()
+        if item.startswith("- ") and last:
+            owner, key = last
+            if not isinstance(owner[key], list):
+                owner[key] = []
+            owner[key].append(_scalar(item[2:]))
+            continue
+        found = re.fullmatch(r"([^:]+):(?:\s+(.*))?", item)
+        if not found:
+            raise ValueError(f"line {number} is no setting: {line!r}")
+        while indent <= open_maps[-1][0]:
+            open_maps.pop()
+        owner, key = open_maps[-1][1], str(_scalar(found[1].strip()))
+        if found[2]:
+            owner[key] = [_scalar(x) for x in found[2][1:-1].split(",") if x.strip()] if found[2].startswith("[") else _scalar(found[2])
+        else:
+            owner[key] = {}
+            open_maps.append((indent, owner[key]))
+        last = (owner, key)
+    return root
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if text[:1] in "\"'" and text[-1:] == text[:1] and len(text) > 1:
+        return text[1:-1]
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
+    if text.lower() in ("null", "~", ""):
+        return None
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text

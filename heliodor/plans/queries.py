@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import vectors as V
-from ..operators import curves, grid, knn, results, segment
-from ..sources import catalog, tables, toy
+from ..operators import curves, detect, evaluate, grid, knn, results, segment
+from ..sources import catalog, records, tables, toy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 METHODS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -35,11 +35,11 @@ def cut_at(c: float) -> Callable[[DataFrame], DataFrame]:
 
 
 def bank(s, d):
-    return tables.patches(s, d).filter("label < 5").select(F.col("vec_id").alias("bank_id"), "image_id", "category", V.l2_normalize(F.col("embedding")).alias("v"))
+    return detect.memory_bank(tables.patches(s, d).filter("label < 5"))
 
 
 def probes(s, d):
-    return tables.patches(s, d).filter("label >= 5").select(F.col("vec_id").alias("query_id"), "image_id", "category", V.l2_normalize(F.col("embedding")).alias("v"))
+    return detect.queries(tables.patches(s, d).filter("label >= 5"))
 
 
 def knn_scores(s, d, k):
@@ -49,7 +49,13 @@ def knn_scores(s, d, k):
 def loo_scores(s, d, block=knn.BLOCK):
     t = tables.patches(s, d).select("vec_id", "image_id", "category", V.l2_normalize(F.col("embedding")).alias("v"))
     q = knn.loo_queries(t, 0.02).withColumnRenamed("vec_id", "query_id")
-    return knn.nearest_scores(q, t.withColumnRenamed("vec_id", "bank_id"), None, "category", True, block).withColumnRenamed("query_id", "vec_id")
+    return knn.streamed_scores(q, t.withColumnRenamed("vec_id", "bank_id"), "category", block).withColumnRenamed("query_id", "vec_id")
+
+
+def halves(s, d):
+    """Test images and reference images."""
+    t = tables.patches(s, d)
+    return t.filter("image_id % 2 = 1"), t.filter("image_id % 2 = 0")
 
 
 @query
@@ -71,15 +77,22 @@ def cosine_distance_pairs(s, d):
     return r6(t.join(other, "vec_id").select("vec_id", V.cosine_distance(F.col("v"), F.col("u")).alias("distance")), "distance")
 
 
+@query
+def l2_normalize_small_eps(s, d):
+    t = tables.patches(s, d).select("vec_id", F.posexplode(V.l2_normalize(F.transform("embedding", lambda x: x * 1e-9), 1e-10)).alias("pos", "value"))
+    return r6(t, "value")
+
+
 @query
 def component_aggregate(s, d):
-    head = F.slice("embedding", 1, 8)
-    return r6(tables.patches(s, d).select("vec_id", *[V.component_aggregate(V.doubles(head), how).alias(how) for how in ("first", "l2", "mean_abs", "max_abs")]), "first", "l2", "mean_abs", "max_abs")
+    return r6(tables.patches(s, d).select("vec_id", *[V.component_aggregate(V.doubles(F.col("embedding")), how).alias(how) for how in ("first", "l2", "mean_abs", "max_abs")]), "first", "l2", "mean_abs", "max_abs")
 
 
 @query
 def drop_prefix_tokens(s, d):
-    return tables.patches(s, d).select("vec_id", F.posexplode(F.slice("embedding", 6, 4)).alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+    """Without the class token and four registers; all others stay."""
+    kept = F.slice("embedding", 6, F.greatest(F.lit(0), F.size("embedding") - 5))
+    return tables.patches(s, d).select("vec_id", F.posexplode(kept).alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @query
@@ -115,25 +128,18 @@ def blocked_topk_merge(s, d):
     return r6(loo_scores(s, d, 64), "score")
 
 
-def foreground_cells(t):
-    return t.withColumn("fg", (F.col("patch_id") % 3 != 0).cast("int"))
-
-
 @query
 def masked_scatter(s, d):
     """Only foreground patches are searched; the background gets 0 afterwards."""
-    cells = foreground_cells(tables.patches(s, d).filter("label >= 5"))
-    q = probes(s, d).join(cells.filter("fg = 1").select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
-    found = knn.nearest_scores(q, bank(s, d), 3).withColumnRenamed("query_id", "vec_id")
-    return cells.select("vec_id", "fg").join(found, "vec_id", "left").select("vec_id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    return r6(detect.few_shot(*halves(s, d), 3).select("vec_id", "fg", "score"), "score")
 
 
 @query
 def masked_zero_out(s, d):
     """All patches are searched, the background is then 0 and stays in the tail's population."""
-    t = foreground_cells(tables.patches(s, d)).select("vec_id", "image_id", "fg").join(knn_scores(s, d, 3), "vec_id")
-    t = t.withColumn("score", F.when(F.col("fg") == 1, F.col("score")).otherwise(0.0))
-    return r6(knn.tail_mean(t, "image_id", 0.25), "image_score")
+    test, refs = halves(s, d)
+    found = knn.nearest_scores(detect.queries(test), detect.memory_bank(refs), 3)
+    return r6(detect.image_scores(detect.patch_map(detect.foreground(test), found), 0.25, zeros_count=True), "image_score")
 
 
 @query
@@ -143,29 +149,67 @@ def image_score_cvar(s, d):
 
 @query
 def few_shot_detect(s, d):
-    t = foreground_cells(tables.patches(s, d).filter("label >= 5")).filter("fg = 1").select("vec_id", "image_id")
-    return r6(knn.tail_mean(t.join(knn_scores(s, d, 3), "vec_id"), "image_id", 0.25), "image_score")
+    return r6(detect.image_scores(detect.few_shot(*halves(s, d), 3), 0.25), "image_score")
 
 
 @query
 def zero_shot_detect(s, d):
-    t = loo_scores(s, d).withColumn("image_id", F.expr("vec_id div 20"))
-    return r6(knn.tail_mean(t, "image_id", 0.25), "image_score")
+    return r6(detect.image_scores(detect.zero_shot(tables.patches(s, d), "pca", 0.02), 0.25), "image_score")
+
+
+@query
+def zero_shot_detect_unmasked(s, d):
+    return r6(detect.image_scores(detect.zero_shot(tables.patches(s, d), None, 0.02), 0.25), "image_score")
 
 
 @query
 def batched_zero_shot_auroc(s, d):
-    t = knn.tail_mean(loo_scores(s, d).withColumn("image_id", F.expr("vec_id div 20")), "image_id", 0.25)
-    t = t.select(F.expr("cast(image_id % 5 as int)").alias("category"), F.round("image_score", 9).alias("score"), F.expr("cast(image_id % 2 as int)").alias("label"))
-    return r6(curves.auroc(t, keys=("category",)), "auroc")
+    t = tables.patches(s, d)
+    labels = t.select("image_id", F.expr("cast(image_id % 2 as int)").alias("label")).distinct()
+    return r6(evaluate.batched_zero_shot(t, labels, {0: True, 2: True, 3: False}, 0.02, 0.25), "auroc")
+
+
+@query
+def masked_features(s, d):
+    """The patches that the percentile mask of the smoothed first component keeps."""
+    return detect.masked_features(tables.patches(s, d)).select("image_id", "vec_id")
 
 
 @query
 def memory_bank(s, d):
-    t = tables.patches(s, d).filter("label < 5").select("vec_id", "image_id", V.l2_normalize(F.col("embedding")).alias("v"))
+    t = detect.memory_bank(tables.patches(s, d).filter("label < 5"))
     return t.groupBy("image_id").agg(F.count("*").alias("n_patches"), F.round(F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)), 6).alias("total"))
 
 
+def turned_patches(s, d):
+    """Patches of 5 x 5 cells, as vectors, of every image in eight turns."""
+    side = 5
+    t = grid.turned(tables.pixels(s, d), tuple(range(0, 360, 45)), "score")
+    t = t.withColumns({"patch_id": F.expr(f"y div {side} * 4 + x div {side}"), "at": F.expr(f"y % {side} * {side} + x % {side}")})
+    t = t.groupBy("image_id", "angle", "patch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda c: c["value"]).alias("embedding"))
+    return t.withColumn("vec_id", (F.col("image_id") * 8 + F.expr("angle div 45")) * 16 + F.col("patch_id"))
+
+
+@query
+def memory_bank_rotated(s, d):
+    """The bank of references in eight turns: eight times the vectors."""
+    t = turned_patches(s, d).withColumn("category", F.lit(0))
+    bank_of = detect.memory_bank(t, lambda x: x).join(t.select(F.col("vec_id").alias("bank_id"), "angle"), "bank_id")
+    return bank_of.groupBy("image_id", "angle").agg(F.count("*").alias("n_vectors"), F.round(F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)), 5).alias("total"))
+
+
+@query
+def rotate_images(s, d):
+    """Eight turns about the whole-number centre, the edge repeated."""
+    return r6(grid.turned(tables.pixels(s, d), tuple(range(0, 360, 45)), "score"), "value")
+
+
+@query
+def rotate_reflect(s, d):
+    """Turns by any angles about half the size, mirrored at the edge."""
+    return r6(grid.turned(tables.pixels(s, d), (30, 45, 200), "score", "reflect101"), "value")
+
+
 @query
 def memory_bank_stats(s, d):
     t = tables.patches(s, d).filter("label < 5")
@@ -175,34 +219,34 @@ def memory_bank_stats(s, d):
 
 @query
 def pca_first_component(s, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = K.principal_axis(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "component": p[:, 0]})
-
-    return r6(tables.patches(s, d).select("image_id", "vec_id", "embedding").groupBy("image_id").applyInPandas(run, "vec_id bigint, component double"), "component")
+    return r6(detect.components(tables.patches(s, d)).select("vec_id", F.col("c0").alias("component")), "component")
 
 
 @query
 def pca_rgb(s, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = K.principal_axis(np.stack(pdf["embedding"].to_numpy()).astype(np.float64), 3)
-        p = (p - p.min()) / (p.max() - p.min() + 1e-8)
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "red": p[:, 0], "green": p[:, 1], "blue": p[:, 2]})
-
-    return r6(tables.patches(s, d).select("image_id", "vec_id", "embedding").groupBy("image_id").applyInPandas(run, "vec_id bigint, red double, green double, blue double"), "red", "green", "blue")
+    t = detect.components(tables.patches(s, d), 3, unit=True)
+    return r6(t.select("vec_id", F.col("c0").alias("red"), F.col("c1").alias("green"), F.col("c2").alias("blue")), "red", "green", "blue")
 
 
 @query
 def k_sweep(s, d):
-    """Mean scores for several k at once: k is a column."""
-    near = knn_sweep(s, d, [1, 2, 4, 8])
-    return r6(near.groupBy("k").agg(F.avg("score").alias("mean_score")), "mean_score")
+    """Mean scores for several k at once: one search at the largest k, and slices of what it found."""
+    near = knn.nearest(probes(s, d), bank(s, d), 8).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 4, 8)])))
+    near = near.withColumn("near", F.slice("near", 1, F.col("k")))
+    score = F.aggregate("near", F.lit(0.0), lambda a, x: a + x) / F.size("near")
+    return near.groupBy("k").agg(F.round(F.avg(score), 6).alias("mean_score"))
+
 
+@query
+def stream_scores(s, d):
+    """The scores of patches that arrive as a stream: all there are, once, in batches."""
+    from ..streaming.scoring import embeddings_stream, score_stream
 
-def knn_sweep(s, d, ks):
-    """One search at the largest k serves all of them: every query is repeated with its k as a column."""
-    q = probes(s, d).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("query_id", F.col("query_id") * 100 + F.col("k"))
-    return knn.nearest_scores(q, bank(s, d), None).withColumn("k", (F.col("query_id") % 100).cast("int"))
+    at = records.folder(s)
+    stream = embeddings_stream(s, d).filter("label >= 5")
+    stream = stream.select(F.col("vec_id").alias("query_id"), F.expr("vec_id div 20").alias("image_id"), V.l2_normalize(F.col("embedding")).alias("v"))
+    score_stream(stream, bank(s, d), 3, f"{at}/out", f"{at}/state").awaitTermination()
+    return r6(s.read.parquet(f"{at}/out").select("query_id", "score"), "score")
 
 
 # grids
@@ -255,12 +299,28 @@ def planar_ratio(s, d):
 
 @query
 def background_mask_threshold(s, d):
-    return grid.background_mask(tables.pixels(s, d))
+    """A percentile of the smoothed map, turned over by its centre, dilated and closed."""
+    return grid.per_image(tables.pixels(s, d), lambda g: K.background_mask(g).astype(np.int32), "score", "fg", "int")
 
 
 @query
 def foreground_mask(s, d):
-    return grid.per_image(tables.pixels(s, d), lambda g: K.foreground(g).astype(np.int32), "score", "fg", "int")
+    """Otsu's mask of each image's first principal component."""
+    return detect.foreground(tables.patches(s, d)).select("image_id", "vec_id", "fg")
+
+
+@query
+def foreground_details(s, d):
+    return r6(detect.foreground_details(tables.patches(s, d)), "threshold", "centre_share", "share", "span_y", "span_x", "planar_ratio")
+
+
+@query
+def masked_image(s, d):
+    """Pixels times a mask: the component's map is brought to the image's size before it is smoothed and cut."""
+    t = detect.components(tables.patches(s, d)).select("image_id", F.col("gy").alias("y"), F.col("gx").alias("x"), "c0")
+    masks = grid.per_image(t, lambda g: grid.upsampled_mask(g, 20, 20), "c0", "mask", "int")
+    t = tables.pixels(s, d).join(masks, ["image_id", "y", "x"])
+    return r6(t.select("image_id", "y", "x", (F.col("score") * F.col("mask")).alias("value")), "value")
 
 
 @query
@@ -289,6 +349,17 @@ def segment_percentile(s, d):
     return segment.segment(tables.pixels(s, d))
 
 
+@query
+def segment_resized(s, d):
+    """Masks by a percentile, brought to another size by nearest cells."""
+    return segment.segment(tables.pixels(s, d), resize_to=(30, 50))
+
+
+@query
+def segment_threshold(s, d):
+    return segment.segment(tables.pixels(s, d), threshold=75.0)
+
+
 @query
 def segment_gmm(s, d):
     return segment.segment(tables.pixels(s, d), "gmm")
@@ -341,15 +412,31 @@ def pixel_best_f1(s, d):
     return best(s, d, "f1")
 
 
+def mapped_truth(s, d):
+    """Maps resized to masks of twice their size and smoothed, with the masks."""
+    t = tables.pixels(s, d)
+    maps = grid.per_image(t, lambda g: K.gaussian(K.bilinear(g, 40, 40)), "score", "score", "double")
+    return maps.join(grid.per_image(t, lambda g: K.block_repeat(g, 40, 40), "gt_mask", "label", "int"), ["image_id", "y", "x"]).withColumn("score", F.round("score", 9))
+
+
+def optimal(s, d, how):
+    t = curves.best_threshold(mapped_truth(s, d), how, eps=1e-8)
+    return t.select(F.round("score", 6).alias("threshold"), F.round("value", 6).alias("value"))
+
+
 @query
 def optimal_threshold_f1(s, d):
-    t = curves.best_threshold(tables.image_labels(s, d), "f1", eps=1e-8)
-    return t.select(F.round("score", 6).alias("threshold"), F.round("value", 6).alias("value"))
+    return optimal(s, d, "f1")
 
 
 @query
 def optimal_threshold_iou(s, d):
-    t = curves.best_threshold(tables.image_labels(s, d), "iou", eps=1e-8)
+    return optimal(s, d, "iou")
+
+
+@query
+def optimal_threshold_without_defects(s, d):
+    t = curves.best_threshold(tables.pixels(s, d).filter("gt_mask = 0"), "f1", "gt_mask")
     return t.select(F.round("score", 6).alias("threshold"), F.round("value", 6).alias("value"))
 
 
@@ -361,7 +448,7 @@ def pro_curve_exact(s, d):
 
 def exact_au_pro(s, d):
     t = tables.pixels(s, d)
-    return curves.trapezoid(curves.pro_curve(t, segment.components(t)), "fpr", "pro", F.desc("threshold"), 0.3)
+    return curves.trapezoid(curves.pro_curve(t, segment.components(t)), "fpr", "pro", 0.3)
 
 
 @query
@@ -378,7 +465,7 @@ def au_pro_200(s, d):
 @query
 def trapezoid_limit(s, d):
     t = curves.roc_curve(tables.image_labels(s, d)).withColumn("threshold", F.coalesce("threshold", F.lit(float("inf"))))
-    return r6(curves.trapezoid(t, "fpr", "tpr", F.desc("threshold"), 0.3, False), "area")
+    return r6(curves.trapezoid(t, "fpr", "tpr", 0.3, False), "area")
 
 
 @query
@@ -400,15 +487,48 @@ def official_eval(s, d):
     return r6(exact_au_pro(s, d).withColumnRenamed("area", "au_pro").join(F.broadcast(curves.auroc(images))), "au_pro", "auroc")
 
 
+ROUNDED = ("auroc", "aupro", "pixel_auroc", "pixel_f1", "mean_iou", "cls_accuracy", "cls_precision", "cls_recall", "cls_f1")
+
+
 @query
 def experiment_metrics(s, d):
-    """Image AUROC, pixel AUROC, pooled IoU and classification counts of one run, a row."""
+    """Thirteen metrics of each object of a run: score maps, masks by percentile, foregrounds of patch grids brought to their size; object 2 has one class of images."""
     t = tables.pixels(s, d)
     images = knn.tail_mean(t, "image_id").join(t.groupBy("image_id").agg(F.max("gt_mask").alias("label")), "image_id")
-    guess = classify_images(s, d).select("image_id", "predicted").join(images.select("image_id", "label"), "image_id")
-    counts = confusion(guess)
-    out = curves.auroc(images, score="image_score").join(F.broadcast(pixel_auroc(s, d).withColumnRenamed("auroc", "pixel_auroc"))).join(F.broadcast(iou_pooled(s, d))).join(F.broadcast(results.classification(counts)))
-    return r6(out, "auroc", "accuracy", "precision", "recall", "f1")
+    images = images.withColumn("object", F.expr("if(image_id % 12 = 0, 2, cast(image_id div 3 % 2 as int))"))
+    fg = detect.foreground(tables.patches(s, d)).select("image_id", F.col("gy").alias("y"), F.col("gx").alias("x"), "fg")
+    fg = grid.per_image(fg, lambda g: K.nearest(g, 20, 20), "fg", "fg", "int")
+    return r6(evaluate.evaluate(t, images, fg, ("object",)), *ROUNDED)
+
+
+def labelled_patches(s, d):
+    """Patches with the truth of their cells, and the images' labels."""
+    t = tables.patches(s, d).withColumn("gt_mask", F.expr("cast(label >= 8 and image_id % 2 = 1 as int)"))
+    return t, t.groupBy("image_id", "category").agg(F.max("gt_mask").alias("label"))
+
+
+@query
+def grid_run(s, d):
+    """Every category with one and two shots: the metrics of each cell of the grid, from one search."""
+    return r6(evaluate.run_few_shot(*labelled_patches(s, d), (1, 2), share=0.25), *ROUNDED)
+
+
+@query
+def single_object_run(s, d):
+    return r6(evaluate.run_single(*labelled_patches(s, d), 0, 2, share=0.25), *ROUNDED)
+
+
+@query
+def zero_shot_run(s, d):
+    return r6(evaluate.run_zero_shot(*labelled_patches(s, d), "pca", 0.02, 0.25), *ROUNDED)
+
+
+@query
+def multi_experiment(s, d):
+    """Two experiments side by side: the maps as they are, and turned over."""
+    t = tables.pixels(s, d)
+    both = t.withColumn("experiment", F.lit("plain")).unionByName(t.withColumns({"experiment": F.lit("turned"), "score": -F.col("score"), "image_id": F.col("image_id") + 1_000_000}))
+    return r6(evaluate.run_experiments(both), "au_pro", "auroc")
 
 
 def confusion(t):
@@ -435,12 +555,36 @@ def classification_metrics(s, d):
 
 @query
 def summary_table(s, d):
-    return r6(results.summary(tables.results(s, d)), "mean_auroc", "std_auroc", "mean_aupro", "std_aupro")
+    names = [f"mean_{m}" for m in results.MEANS]
+    return r6(results.summary(tables.results(s, d)), *names, "std_auroc", "std_aupro").orderBy(F.desc("mean_auroc"))
+
+
+@query
+def summary_with_undefined(s, d):
+    """An undefined AUROC makes a method's mean undefined; of the other metrics undefined values are left out."""
+    t = tables.results(s, d).withColumn("auroc", F.when(F.col("object_name") == "obj03", F.lit(float("nan"))).otherwise(F.col("auroc")))
+    t = results.summary(t)
+    return t.select("method_name", F.isnan("mean_auroc").alias("undefined"), F.round("mean_aupro", 6).alias("mean_aupro"))
 
 
 @query
 def per_object_table(s, d):
-    return r6(results.classification(tables.results(s, d)), "auroc", "aupro", "accuracy", "precision", "recall", "f1")
+    return r6(results.per_object(tables.results(s, d)), *results.MEANS)
+
+
+@query
+def method_records(s, d):
+    return r6(results.of_method(tables.results(s, d), "BUILDING").select("object_name", "auroc"), "auroc")
+
+
+@query
+def object_records(s, d):
+    return r6(results.of_object(tables.results(s, d), "obj07").select("method_name", "auroc"), "auroc")
+
+
+@query
+def list_objects(s, d):
+    return tables.results(s, d).select("object_name").distinct().orderBy("object_name")
 
 
 @query
@@ -512,11 +656,19 @@ def results_to_json(s, d):
 
 
 @query
-def results_scan(s, d):
-    """Records written as JSON and read with an explicit schema; map keys are ordered as numbers."""
-    from ..sources.records import round_trip
+def results_to_nested_json(s, d):
+    """An object's methods as one JSON object."""
+    return records.nested_json(tables.results(s, d), ("tp", "fp", "fn", "tn"))
+
 
-    return round_trip(tables.results(s, d))
+@query
+def results_scan(s, d):
+    """Records and their maps written as files and read again: maps are ordered by number, combinations without maps have none."""
+    t = tables.pixels(s, d).groupBy("image_id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "score"))), lambda c: c["score"]).alias("values"))
+    maps = t.select(F.concat(F.lit("obj"), F.lpad((F.col("image_id") % 25).cast("string"), 2, "0")).alias("object_name"), F.lit("BUILDING").alias("method_name"), (F.expr("image_id div 25") * 20 + F.col("y")).cast("int").alias("nth"), "values")
+    t = records.round_trip(results.per_object(tables.results(s, d)), maps, {"use_masking": True, "k_neighbors": 3, "masking_method": "pca"}, 1600)
+    total = F.round(F.aggregate(F.flatten(F.transform("maps", lambda m: m["values"])), F.lit(0.0), lambda a, x: a + x), 4)
+    return t.select("object_name", "method_name", F.round("metrics.auroc", 6).alias("auroc"), F.round("metrics.aupro", 6).alias("aupro"), "metrics.cls_tp", "config.k_neighbors", "num_features", F.array_join(F.transform("maps", lambda m: m["name"]), ",").alias("map_names"), total.alias("total"))
 
 
 @query
@@ -565,12 +717,15 @@ def sample_filter(s, d):
     return catalog.sample_per_category(tables.catalog(s, d), ["src1", "src2"], "test", 1000, "anomalous").select("category", "defect", "name")
 
 
+def catalog_masks(t):
+    masks = t.filter("split = 'test' and label = 1 and cast(substring(name, 1, 8) as int) % 3 <> 0")
+    return masks.select("category", "defect", F.regexp_replace("name", r"\.[^.]+$", "_mask.png").alias("name"), F.expr("cast(substring(name, 5, 4) as int) + 1").alias("mask_area"))
+
+
 @query
 def mask_left_join(s, d):
     t = tables.catalog(s, d).filter("split = 'test'")
-    masks = t.filter("label = 1 and cast(substring(name, 1, 8) as int) % 3 <> 0")
-    masks = masks.select("category", "defect", F.regexp_replace("name", r"\.[^.]+$", "_mask.png").alias("name"), F.expr("cast(substring(name, 5, 4) as int) + 1").alias("mask_area"))
-    return catalog.locate_masks(t, masks).select("path", "label", F.col("mask_area").cast("int").alias("mask_area"))
+    return catalog.locate_masks(t, catalog_masks(t)).select("path", "label", F.col("mask_area").cast("int").alias("mask_area"))
 
 
 @query
@@ -580,7 +735,17 @@ def distinct_categories(s, d):
 
 @query
 def unique_match_guard(s, d):
-    return catalog.one_match(tables.catalog(s, d))
+    """Each wanted stem must be one file; some are no file, some are several."""
+    files = tables.catalog(s, d).withColumn("stem", F.expr("substring(name, 6, 3)"))
+    wanted = s.range(0, 1000, 7).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("stem"))
+    return catalog.one_match(files, wanted)
+
+
+@query
+def few_shot_dataset(s, d):
+    """The whole few-shot data set of each category: references, test images, labels and masks."""
+    t = tables.catalog(s, d)
+    return catalog.few_shot_dataset(t, catalog_masks(t), 8)
 
 
 @query
@@ -611,5 +776,5 @@ def toy_dataset(s, d):
 def toy_curve_areas(s, d):
     """Exact overlap area and cell AUROC of the made-up set, whose scores do not know its defects."""
     t = toy.toy_cells(s)
-    area = curves.trapezoid(curves.pro_curve(t, segment.components(t)), "fpr", "pro", F.desc("threshold"), 0.3)
+    area = curves.trapezoid(curves.pro_curve(t, segment.components(t)), "fpr", "pro", 0.3)
     return r6(area.withColumnRenamed("area", "au_pro").join(F.broadcast(curves.auroc(t, "gt_mask"))), "au_pro", "auroc")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import heliodor
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def local_session(name: str = "heliodor", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -27,6 +30,23 @@ def local_session(name: str = "heliodor", cores: int | str = "*", shuffle_partit
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see, spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster must name it."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="heliodor-")
+    return at.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: what several branches of a plan read is computed once, and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application, as --py-files would."""
     app = spark.sparkContext.applicationId

@@ -46,10 +46,43 @@ def locate_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
     return images.withColumn("stem", stem).join(m, ["category", "defect", "stem"], "left").withColumn("mask_area", F.when(F.col("label") == 0, 0).otherwise(F.coalesce("mask_area", F.lit(0))))
 
 
-def one_match(files: DataFrame) -> DataFrame:
-    """(category, stem, matches, status): a stem must match exactly one file."""
-    t = files.withColumn("stem", F.expr("substring(name, 6, 3)")).groupBy("category", "stem").agg(F.count("*").alias("matches"))
-    return t.withColumn("status", F.when(F.col("matches") == 1, "ok").otherwise("ambiguous"))
+def few_shot_dataset(files: DataFrame, masks: DataFrame, shots: int) -> DataFrame:
+    """(category, role, path, label, mask_area): the first `shots` training files as references, and all test files with labels and masks."""
+    refs = few_shot_references(with_suffix(files), shots).select("category", F.lit("reference").alias("role"), "path", F.lit(0).alias("label"), F.lit(0).alias("mask_area"))
+    test = locate_masks(with_suffix(files).filter("split = 'test'"), masks)
+    return refs.unionByName(test.select("category", F.lit("test").alias("role"), "path", "label", F.col("mask_area").cast("int").alias("mask_area")))
+
+
+def one_match(files: DataFrame, wanted: DataFrame, strict: bool = False) -> DataFrame:
+    """(stem, matches, status) of the wanted stems: each must match exactly one of files (stem); strict raises an error at one that does not."""
+    t = wanted.join(files.groupBy("stem").agg(F.count("*").alias("matches")), "stem", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    status = F.when(F.col("matches") == 1, "ok").when(F.col("matches") == 0, "missing").otherwise("ambiguous")
+    if strict:
+        status = F.when(F.col("matches") == 1, "ok").otherwise(F.raise_error(F.format_string("%s files for %s", F.col("matches"), F.col("stem"))))
+    return t.withColumn("status", status)
+
+
+def ensure_tree(root: str, archive: str | None = None, force: bool = False) -> str:
+    """The folder of a data set on the driver; where it is missing (or with force), it is unpacked from a local archive, and removed if that fails."""
+    import shutil
+    import tarfile
+    from pathlib import Path
+
+    at = Path(root)
+    if at.is_dir() and any(at.iterdir()) and not force:
+        return root
+    if archive is None:
+        raise FileNotFoundError(f"no data set at {root} and no archive to unpack")
+    if at.exists():
+        shutil.rmtree(at)
+    try:
+        at.mkdir(parents=True)
+        with tarfile.open(archive) as tar:
+            tar.extractall(at, filter="data")
+    except BaseException:
+        shutil.rmtree(at, ignore_errors=True)
+        raise
+    return root
 
 
 def evaluation_pairs(files: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -1,43 +1,90 @@
-"""Result records as files: JSON with a fixed schema, CSV at four places."""
+"""Result records as files: JSON with a fixed schema and maps as Parquet, summaries as CSV at four places, run reports as JSON."""
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = "object_name string, method_name string, metrics struct<auroc:double,aupro:double,tp:bigint,fp:bigint,fn:bigint,tn:bigint>, maps map<string,int>"
+from ..plans.session import shared_folder
+
+METRICS = "auroc double, aupro double, pixel_auroc double, pixel_f1 double, mean_iou double, cls_accuracy double, cls_precision double, cls_recall double, cls_f1 double, cls_tp bigint, cls_fp bigint, cls_fn bigint, cls_tn bigint"
+CONFIG = {"use_rotation": "boolean", "use_masking": "boolean", "k_neighbors": "bigint", "masking_method": "string", "segmentation_method": "string"}
+RECORD = f"object_name string, method_name string, metrics struct<{METRICS.replace(' ', ':').replace(',:', ',')}>, config struct<{','.join(f'{n}:{t}' for n, t in CONFIG.items())}>, num_features bigint"
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="heliodor-records-")
-    return f"{base.rstrip('/')}/records-{uuid.uuid4().hex}"
+    """A new folder that all executors see."""
+    return f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
 
 
-def write_records(results: DataFrame, path: str) -> None:
-    t = results.select("object_name", "method_name", F.struct("auroc", "aupro", "tp", "fp", "fn", "tn").alias("metrics"), F.expr("map('map_10', 10, 'map_9', 9, 'map_2', 2)").alias("maps"))
-    t.write.partitionBy("object_name").json(path)
+def write_records(results: DataFrame, path: str, config: dict | None = None, num_features: int | None = None, maps: DataFrame | None = None) -> None:
+    """results: (object_name, method_name, the metrics). maps: (object_name, method_name, nth, values); both are written if given."""
+    unknown = set(config or {}) - set(CONFIG)
+    if unknown:
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    names = [m.split()[0] for m in METRICS.split(", ")]
+    t = results.select("object_name", "method_name", F.struct(*names).alias("metrics"), F.struct(*[F.lit((config or {}).get(n)).cast(kind).alias(n) for n, kind in CONFIG.items()]).alias("config"), F.lit(num_features).cast("bigint").alias("num_features"))
+    t.write.partitionBy("object_name").json(f"{path}/records")
+    if maps is not None:
+        maps.select("object_name", "method_name", F.concat(F.lit("map_"), F.col("nth").cast("string")).alias("name"), "values").write.parquet(f"{path}/maps")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORD).json(path)
+def read_records(spark: SparkSession, path: str, with_maps: bool = False) -> DataFrame:
+    """The records; with their maps (name, values) in the order of the numbers in their names, none for a combination that has no maps."""
+    t = spark.read.schema(RECORD).json(f"{path}/records")
+    if not with_maps:
+        return t
+    number = F.regexp_extract("name", r"(\d+)$", 1).cast("int")
+    maps = spark.read.parquet(f"{path}/maps").groupBy("object_name", "method_name").agg(F.array_sort(F.collect_list(F.struct(number.alias("n"), "name", "values"))).alias("maps"))
+    return t.join(maps, ["object_name", "method_name"], "left").withColumn("maps", F.coalesce("maps", F.array().cast("array<struct<n:int,name:string,values:array<double>>>")))
 
 
-def map_order(t: DataFrame) -> DataFrame:
-    """Names of maps in the order of their numbers, not of their text."""
-    number = lambda k: F.regexp_extract(k, r"(\d+)$", 1).cast("int")
-    return t.withColumn("map_names", F.transform(F.array_sort(F.transform(F.map_keys("maps"), lambda k: F.struct(number(k).alias("n"), k.alias("name")))), lambda x: x["name"]))
+def round_trip(results: DataFrame, maps: DataFrame, config: dict, num_features: int) -> DataFrame:
+    path = folder(results.sparkSession)
+    write_records(results, path, config, num_features, maps)
+    return read_records(results.sparkSession, path, with_maps=True)
 
 
-def round_trip(results: DataFrame) -> DataFrame:
-    spark, path = results.sparkSession, folder(results.sparkSession)
-    write_records(results, path)
-    t = map_order(read_records(spark, path))
-    return t.select("object_name", "method_name", F.round("metrics.auroc", 6).alias("auroc"), "metrics.tp", F.array_join("map_names", ",").alias("map_names"))
+def nested_json(results: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(object_name, record): the records of an object as JSON by method."""
+    t = results.groupBy("object_name").agg(F.array_sort(F.collect_list(F.struct("method_name", F.struct(*columns).alias("record")))).alias("all"))
+    return t.select("object_name", F.to_json(F.map_from_entries("all")).alias("record"))
 
 
 def write_csv(t: DataFrame, path: str, numbers: list[str]) -> None:
     t.withColumns({c: F.format_string("%.4f", F.col(c)) for c in numbers}).write.option("header", "true").csv(path)
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file by Spark's own file systems."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_official(metrics: DataFrame, curves: DataFrame, path: str) -> dict:
+    """The official metrics as JSON: of each object the areas and the ROC curve, and the means over objects.
+
+    metrics: (object_name, au_pro, au_roc); curves: (object_name, fpr, tpr) as arrays. A row for each object of the data set.
+    """
+    rows = metrics.join(curves, "object_name").orderBy("object_name").collect()
+    out: dict = {r["object_name"]: {"au_pro": r["au_pro"], "classification_au_roc": r["au_roc"], "classification_roc_curve_fpr": list(r["fpr"]), "classification_roc_curve_tpr": list(r["tpr"])} for r in rows}
+    mean = lambda c: sum(r[c] for r in rows) / len(rows) if rows else None
+    out |= {"mean_au_pro": mean("au_pro"), "mean_classification_au_roc": mean("au_roc")}
+    _write_text(metrics.sparkSession, path, json.dumps(out))
+    return out
+
+
+def write_run(aurocs: DataFrame, path: str, model: str, config: dict, timing: dict | None = None) -> dict:
+    """A run's AUROC of each category (category, auroc), their mean, its settings and timings as JSON."""
+    found = {str(r["category"]): r["auroc"] for r in aurocs.orderBy("category").collect()}
+    known = [v for v in found.values() if v is not None]
+    out = {"AUROCs": found, "mean_AUROC": sum(known) / len(known) if known else None, "model_name": model, "config": config, "timing": timing or {}}
+    _write_text(aurocs.sparkSession, path, json.dumps(out))
+    return out
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Scores (category, image_id, image_score), a folder for each category."""
+    scores.select("category", "image_id", "image_score").write.mode("overwrite").partitionBy("category").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.knn import nearest_scores
@@ -18,3 +18,12 @@ def score_stream(patches: DataFrame, bank: DataFrame, k: int, path: str, checkpo
         nearest_scores(batch, bank, k).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return patches.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def embeddings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of embeddings, a file or a folder of files, as a stream of new files."""
+    path = f"{sf_dir}/embeddings.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return reader.parquet(path) if whole else reader.option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)

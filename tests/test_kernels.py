@@ -40,8 +40,28 @@ def test_gaussian_keeps_constants_and_reflects():
 
 def test_otsu_and_quantised():
     g = np.concatenate([np.full((4, 8), 1.0), np.full((4, 8), 9.0)])
-    assert 0 <= K.otsu(K.quantised(g)) < 255
-    assert ((K.quantised(g) > K.otsu(K.quantised(g))) == (g > 5)).all()
+    _, unit = K.standardised(g)
+    levels = (unit * 255).astype(np.uint8)
+    assert 0 <= K.otsu(levels) < 255
+    assert ((levels > K.otsu(levels)) == (g > 5)).all()
+
+
+def test_a_slender_part_makes_everything_foreground():
+    g = np.random.default_rng(1).normal(0, 0.1, (20, 20))
+    g[9:11, 2:18] += 5  # wide enough in x, too thin in y
+    found = K.foreground_steps(g)
+    assert found["span_x"] >= 0.35 > found["span_y"] and found["whole"] and found["mask"].all()
+    g = np.random.default_rng(1).normal(0, 0.1, (20, 20))
+    g[5:15, 5:15] += 5
+    found = K.foreground_steps(g)
+    assert not found["whole"] and found["mask"][5:15, 5:15].all() and found["mask"].sum() == 100
+
+
+def test_quarter_turns():
+    g = np.arange(25.0).reshape(5, 5)
+    assert np.allclose(K.turn(g, 90), np.rot90(g)) and np.allclose(K.turn(g, 180), g[::-1, ::-1]) and (K.turn(g, 0) == g).all()
+    with pytest.raises(ValueError):
+        K.turn(g, 45, "wrap")
 
 
 def test_two_normals_and_plane():
@@ -108,8 +128,9 @@ def test_errors(spark):
 
 
 def test_nan_in_summary(spark):
-    rows = [("a", "m", 1.0, float("nan"), 1, 0, 0, 0), ("b", "m", 3.0, 2.0, 1, 0, 0, 0)]
-    t = spark.createDataFrame(rows, "object_name string, method_name string, auroc double, aupro double, tp bigint, fp bigint, fn bigint, tn bigint")
+    rows = [("a", "m", 1.0, float("nan"), 1.0, 1.0, 1.0, 1, 0, 0, 0), ("b", "m", 3.0, 2.0, 1.0, 1.0, float("nan"), 1, 0, 0, 0)]
+    t = spark.createDataFrame(rows, "object_name string, method_name string, auroc double, aupro double, pixel_auroc double, pixel_f1 double, mean_iou double, tp bigint, fp bigint, fn bigint, tn bigint")
+    assert results.summary(t).head()["mean_mean_iou"] == 1.0
     r = results.summary(t).head()
     assert (r["mean_auroc"], r["std_auroc"], r["mean_aupro"], r["total_tp"], r["n_objects"]) == (2.0, 1.0, 2.0, 2, 2)
 

@@ -41,7 +41,8 @@ def test_query(spark, duck, name):
     want = duck.execute(oracle.SQL[name])
     columns = [d[0] for d in want.description]
     assert sorted(t.columns) == sorted(columns)
-    assert rows(t.columns, got) == rows(columns, want.fetchall())
+    found, wanted = rows(t.columns, got), rows(columns, want.fetchall())
+    assert found == wanted, [x for x in zip(found, wanted, strict=False) if x[0] != x[1]][:3]
 
 
 def test_every_sql_has_a_query():
