@@ -136,19 +136,21 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(t: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds next_<column> of the next row by doc_id, the first row's after the last; t has doc_id and text."""
+    """Adds next_<column> of the next row by (doc_id, hash of the text), the first row's after the last; t has doc_id and text."""
     splits = range_splits(t, "doc_id", 4 * parts_for(t))
-    spot = range_bucket(F.col("doc_id"), splits)
-    firsts = t.select("doc_id", spot.alias("spot")).groupBy("spot").agg(F.min("doc_id").alias("first_id"))
+    t = t.withColumns({"_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_hash": F.xxhash64("text")})
+    # rows without an id stand first, in the order of their hashes, whose high bits give as many even ranges
+    spot = F.when(F.col("doc_id").isNull(), F.shiftright("_hash", 58).cast("int") - 64).otherwise(range_bucket(F.col("doc_id"), splits))
+    firsts = t.select("_id", "_hash", spot.alias("spot")).groupBy("spot").agg(F.min(F.struct("_id", "_hash")).alias("first"))
     before = F.coalesce(F.lag("spot").over(Window.orderBy("spot")), F.max("spot").over(Window.partitionBy()))
-    firsts = firsts.select("first_id", before.alias("before"))  # at most as many rows as there are ranges
-    t = t.withColumn("spot", spot).join(F.broadcast(firsts), F.col("doc_id") == F.col("first_id"), "left").drop("first_id")
+    firsts = firsts.select(F.col("first._id").alias("_id"), F.col("first._hash").alias("_hash"), before.alias("before"))  # at most as many rows as there are ranges
+    t = t.withColumn("spot", spot).join(F.broadcast(firsts), ["_id", "_hash"], "left")
     own, guest = F.struct("spot", F.lit(False).alias("guest")), F.struct(F.col("before").alias("spot"), F.lit(True).alias("guest"))
     t = t.withColumn("place", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guest)))).drop("spot", "before")
     t = t.withColumns({"spot": F.col("place.spot"), "guest": F.col("place.guest")}).drop("place")
-    order = Window.partitionBy("spot").orderBy("guest", "doc_id", F.xxhash64("text"))
+    order = Window.partitionBy("spot").orderBy("guest", "_id", "_hash")
     t = t.withColumns({f"next_{c}": F.coalesce(F.lead(c).over(order), F.col(c)) for c in columns})
-    return t.filter(~F.col("guest")).drop("spot", "guest")
+    return t.filter(~F.col("guest")).drop("spot", "guest", "_id", "_hash")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -144,12 +145,47 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def least_capacity(sizes, shards):
+    def needed(most):
+        n, used = 1, 0
+        for x in sizes:
+            n, used = (n + 1, x) if used + x > most else (n, used + x)
+        return n
+
+    lo, hi = max(sizes), sum(sizes)
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if needed(mid) <= shards else (mid + 1, hi)
+    return lo
+
+
+@pytest.mark.parametrize(("slot_bits", "step_bits"), [(16, 8), (2, 3), (4, 1)])
+def test_shards_are_minimax_over_whole_groups(spark, slot_bits, step_bits):
+    """The greatest shard against the least capacity over the ordered sizes of groups, and gapless slots."""
+    r = Random(slot_bits)
+    texts = [" ".join(f"w{r.randrange(99)}" for _ in range(r.choice((1, 3, 30, 400)))) for _ in range(150)]
+    rows = [(k, r.choice((r.choice(texts), texts[0], None, "")), *[None] * 8) for k in range(400)]
+    t = spark.createDataFrame(rows, SCHEMA)
+    places = {x["text"]: x["p"] for x in t.select("text", F.xxhash64("text").alias("p")).distinct().collect()}
+    places[None] = -(1 << 63)
+    sizes = Counter()
+    for _, text, *_ in rows:
+        sizes[places[text]] += len((text or "").encode()) + 1
+    got = sharding.shard_documents(t, slot_bits=slot_bits, step_bits=step_bits).collect()
+    bytes_of, of = Counter(), {}
+    for x in got:
+        bytes_of[x["shard"]] += x["size"]
+        of.setdefault(places[rows[x["doc_id"]][1]], set()).add(x["shard"])
+    assert all(len(v) == 1 for v in of.values()) and max(bytes_of) < 8
+    assert max(bytes_of.values()) == least_capacity([sizes[p] for p in sorted(sizes)], 8)
+
+
 def test_minimax_is_the_least_capacity(spark):
     r = Random(4)
     for _ in range(6):
         sizes = [r.choice((1, 2, 5, 40)) for _ in range(r.randrange(1, 30))]
         shards = r.randrange(1, 9)
-        t = spark.createDataFrame(list(enumerate(sizes)), "atom bigint, bytes bigint")
+        t = spark.createDataFrame([(k, x, True) for k, x in enumerate(sizes)], "atom bigint, bytes bigint, one boolean")
         got = sharding.minimax_cuts(t, shards).head()
 
         def needed(most, sizes=sizes):
@@ -412,6 +448,46 @@ def test_fingerprints(spark, rows, empty):
     assert fingerprints.compare_with_edits(empty).count() == 0
 
 
+def plain_fingerprint(text):
+    """Bin the hashes once, fill empty bins along their probe paths, keep four bits of each: digit by digit."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def hashed(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x, seed)
+        return seed
+
+    w = WORD.findall(text)
+    if not w:
+        return ""
+    hashes = [hashed(*w[k : k + 5]) for k in range(len(w) - 4)] or [hashed(" ".join(w))]
+    filled = {}
+    for h in map(signed, hashes):
+        b = (h >> 56) + 128
+        filled[b] = min(filled.get(b, h), h)
+    starts, steps, _ = fingerprints._probes()
+    digits = []
+    for b in range(256):
+        at = b if b in filled else next(f for j in range(256) if (f := (starts[b] + j * steps[b]) % 256) in filled)
+        digits.append(hashed((filled[at] % (1 << 64)).to_bytes(8, "little"), b.to_bytes(4, "little")) & 15)
+    return "".join("".join(f"{d:x}" for d in reversed(digits[k : k + 16])) for k in range(0, 256, 16))
+
+
+def test_fingerprints_digit_by_digit(spark, rows):
+    """With ids that are missing, and repeated: rows stand in the order of id, none first, then of their texts' hashes."""
+    rows = [*rows, *[(None, f"no id {k} " * (k + 1), *[None] * 8) for k in range(9)], (3, "again three", *[None] * 8)]
+    t = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = fingerprints.compare_with_edits(t).collect()
+    place = {r["text"]: r["h"] for r in t.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().collect()}
+    order = [(r[0], r[1] or "") for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place[r[1]]))]
+    want = []
+    for (k, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        want.append((k, hashlib.sha256(edited.encode()).hexdigest(), plain_fingerprint(text), plain_fingerprint(edited)))
+    check([(r["doc_id"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got], want)
+
+
 # 6
 
 
