@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,6 +203,21 @@ def range_bucket(value: Column, splits: list[int]) -> Column:
     return F.coalesce(F.aggregate(F.array(*steps), F.lit(0), lambda at, s: F.when((at + s <= len(splits)) & (F.get(table, at + s - 1) <= value), at + s).otherwise(at)), F.lit(0))
 
 
+def sums_before(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
+    """Adds, for each new name, the sum of a column over the rows before, in an order without ties; 0 in the first row.
+
+    Rows are range-partitioned by the order and written; sums run inside a range, and start from the totals of the ranges
+    before, of which there are as many as partitions.
+    """
+    t = written(df.repartitionByRange(parts_for(df), *order).withColumn("_range", F.spark_partition_id()), name)
+    totals = t.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    outer = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_{n}").over(outer), F.lit(0)).alias(f"_{n}") for n in sums])
+    inner = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.join(F.broadcast(totals), "_range")
+    return t.withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in sums.items()}).drop("_range", *[f"_{n}" for n in sums])
+
+
 def parts_for(df: DataFrame, least: int = 1) -> int:
     """As many partitions as the session deals shuffles into."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

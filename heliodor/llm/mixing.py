@@ -6,8 +6,8 @@ training is the weight itself, so the schedules fix each source's share, and the
 T is trained at the t where the demand reaches c / T. Documents are then range-sorted by that position.
 
 Targets share the whole corpus by weight; a target above `most` times its source's size stops there and the excess is
-shared again by weight (water filling over the sources in order of size / weight, one window over the small table of
-sources). Within a source, documents stand in the order of md5(doc_id); a target of T = p * size + r words takes every
+shared again by weight (water filling over the sources in order of size / weight, by prefix sums over ranges of that
+order). Within a source, documents stand in the order of md5(doc_id); a target of T = p * size + r words takes every
 document p times and the first r words of that order once more, so the words taken meet floor(T) exactly.
 
 Nothing here gathers a source in one task: prefix sums run over (source, hash bucket) cells of about CELL_ROWS
@@ -23,29 +23,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread_join, written
+from .common import spread_join, sums_before, written
 
 WEIGHTS, TILTS, MOST, CELL_ROWS = (5, 2, 1), (0.5, 0.0, -0.5), 3, 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, tilts: tuple[float, ...] = TILTS, most: int = MOST) -> DataFrame:
-    """Adds weight, tilt and target to a table (source, source_size, ...) with a row for each source."""
-    by_name, by_fill = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy(F.col("fill"), F.col("rank"))
+    """Adds weight, tilt and target to a table (source, source_size, ...) with a row for each source, however many there are."""
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("rank") % len(values) + 1).cast("int"))
-    below, all_rows = by_fill.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    t = sizes.withColumn("rank", F.row_number().over(by_name) - 1).withColumn("weight", pick(weights).cast("bigint")).withColumn("tilt", pick(tilts).cast("double"))
+    t = sums_before(sizes.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], {"rank": "one"}, "sources-by-name").drop("one")
+    t = t.withColumn("weight", pick(weights).cast("bigint")).withColumn("tilt", pick(tilts).cast("double"))
     t = t.withColumn("fill", F.col("source_size") / F.col("weight"))
-    t = t.withColumn("left", F.sum("source_size").over(all_rows) - F.coalesce(F.sum(F.col("source_size") * most).over(below), F.lit(0)))
-    t = t.withColumn("open_weight", F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(below), F.lit(0)))
+    t = sums_before(t, [F.col("fill").asc(), F.col("rank").asc()], {"size_before": "source_size", "weight_before": "weight"}, "sources-by-fill")
+    t = t.join(F.broadcast(t.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))))  # one row
+    t = t.withColumn("left", F.col("all_size") - F.col("size_before") * most).withColumn("open_weight", F.col("all_weight") - F.col("weight_before"))
     t = t.withColumn("open", F.col("source_size") * most * F.col("open_weight") >= F.col("left") * F.col("weight"))
     # the first open source in order of fill sets the level for itself and all after it
-    level = F.min(F.when(F.col("open"), F.struct("fill", "rank", "left", "open_weight"))).over(all_rows)
-    t = t.withColumn("level", level)
+    t = t.join(F.broadcast(t.agg(F.min(F.when(F.col("open"), F.struct("fill", "rank", "left", "open_weight"))).alias("level"))))  # one row
     shared = (F.col("level.left") * F.col("weight")).cast("double") / F.col("level.open_weight")
     is_open = (F.col("fill") > F.col("level.fill")) | ((F.col("fill") == F.col("level.fill")) & (F.col("rank") >= F.col("level.rank")))
     target = F.when(F.coalesce(is_open, F.lit(False)), shared).otherwise((F.col("source_size") * most).cast("double"))
-    return t.withColumn("target", target).drop("rank", "fill", "left", "open_weight", "open", "level")
+    return t.withColumn("target", target).select(*sizes.columns, "weight", "tilt", "target")
 
 
 def demand_time(share: Column, tilt: Column) -> Column:
@@ -71,9 +70,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, tilts: tupl
     slim = written(slim, "mix-sizes")
     sources = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), weights, tilts, most)
     cells = F.ceil(F.col("source_rows") / CELL_ROWS)
-    t = slim.alias("d").join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    sources = written(sources.withColumn("source_key", key).drop("source"), "source-targets")
+    t = spread_join(slim.withColumn("source_key", key), sources, ["source_key"], "source_rows")
     t = t.withColumn("cell", F.floor(F.conv(F.substring("order_key", 1, 7), 16, 10).cast("bigint") * cells / F.lit(1 << 28)))
-    t = t.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     sums = t.groupBy("source_key", "cell").agg(F.sum("size").alias("cell_size"))
     sums = sums.withColumn("before", F.coalesce(F.sum("cell_size").over(Window.partitionBy("source_key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("cell_size")
     t = t.join(sums, ["source_key", "cell"])
