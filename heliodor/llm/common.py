@@ -169,8 +169,11 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, how:
     Keys of more than one in HOT_SHARE of the rows are at most HOT_SHARE, whatever the data: they are broadcast, and
     their rows are dealt to SALTS places, each of which gets small's row. So no task gets more than a fixed share.
     """
-    total = small.agg(F.sum(n)).head()[0] or 0
-    hot = F.col(n) > max(LEAST_HOT, total // HOT_SHARE)
+    total, top = small.agg(F.sum(n), F.max(n)).head()
+    limit = max(LEAST_HOT, (total or 0) // HOT_SHARE)
+    if (top or 0) <= limit:  # no key is hot: there is nothing to deal out
+        return big.join(small.hint("shuffle_hash"), keys, how)
+    hot = F.col(n) > limit
     marked = big.join(F.broadcast(small.filter(hot).select(*keys, F.lit(True).alias("_hot"))), keys, "left")
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int")
     marked = marked.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")

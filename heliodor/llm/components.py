@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Every step is a partial minimum per node and a join back, so a node of any degree is spread over tasks; edge tables are
-written to the shared folder after each step, and nothing but two sums per step reaches the driver.
+Every step is a partial minimum per node and a join back, in which the edges of a hub are dealt to many tasks; edge tables
+are written to the shared folder after each step, and nothing but a few sums per step reaches the driver.
 """
 
 from __future__ import annotations
@@ -9,18 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, spread_join, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v) with u > v; all rows once."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        out = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        out = spread_join(both, least, ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        out = spread_join(edges, least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from heliodor.llm import bpe, fingerprints, jaccard, licenses, mixing, quality, secrets, sharding, simple8b, substrings, token_files
-from heliodor.llm.common import word_hashes
+from heliodor.llm.common import spread_join, word_hashes
 from heliodor.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -638,6 +638,22 @@ def test_components(spark):
     assert {k: v for k, v in got.items() if k != 5} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 20: 7}
 
 
+def test_a_hub_of_many_edges(spark):
+    hub = spark.range(1, 5000).select(F.lit(7000).cast("bigint").alias("a"), F.col("id").alias("b"))
+    more = spark.createDataFrame([(9000, 4000), (9001, 9000), (8000, 8001)], "a bigint, b bigint")
+    got = dict(map(tuple, components(hub.unionByName(more)).collect()))
+    assert got == {k: 1 for k in (*range(1, 5000), 7000, 9000, 9001)} | {8000: 8000, 8001: 8000}
+
+
+def test_hot_keys_join_as_others_do(spark):
+    big = spark.range(4000).select((F.when(F.col("id") < 3000, 1).otherwise(F.col("id") % 50)).cast("bigint").alias("k"), F.col("id").alias("v"))
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    for how, cut in (("inner", 45), ("left", 45)):
+        got = spread_join(big, small.filter(F.col("k") < cut), ["k"], "n", how)
+        want = big.join(small.filter(F.col("k") < cut), "k", how)
+        check(map(tuple, got.select("k", "v", "n", "s").collect()), map(tuple, want.select("k", "v", "n", "s").collect()))
+
+
 # 7
 
 
