@@ -310,7 +310,7 @@ def mixture(sigma: float) -> str:
         ", em(image_id, k, xs, m0, m1, v0, v1, s0, s1) AS (SELECT image_id, 0, xs, a, b, v, v, 0.5::DOUBLE, 0.5::DOUBLE FROM va UNION ALL SELECT image_id, k + 1, xs, c0, c1"
         f", {dot('p[i]', '(xs[i] - c0) * (xs[i] - c0)')} / n0 + 1e-6, {dot('(1 - p[i])', '(xs[i] - c1) * (xs[i] - c1)')} / n1 + 1e-6, n0 / len(xs), n1 / len(xs)"
         f" FROM (SELECT *, {dot('p[i]', 'xs[i]')} / n0 AS c0, {dot('(1 - p[i])', 'xs[i]')} / n1 AS c1 FROM (SELECT *, list_sum(p) + 1e-12 AS n0, len(xs) - list_sum(p) + 1e-12 AS n1 FROM (SELECT *, list_transform(xs, lambda x: {share}) AS p FROM em WHERE k < 100))))"
-        f", gmm AS (SELECT image_id, y, x, CASE WHEN score <> 0 THEN CASE WHEN m0 >= m1 THEN (p >= 0.5)::INT ELSE (p < 0.5)::INT END ELSE 0 END AS mask FROM (SELECT q.image_id, q.y, q.x, q.score, m0, m1, {share.replace('(x - m', '(value - m')} AS p FROM pixels q JOIN sm USING (image_id, y, x) JOIN em ON em.image_id = q.image_id AND k = 100))"
+        f", gmm AS (SELECT image_id, y, x, CASE WHEN score <> 0 THEN CASE WHEN first THEN (p >= 0.5)::INT ELSE (p < 0.5)::INT END ELSE 0 END AS mask FROM (SELECT q.image_id, q.y, q.x, q.score, first, {share.replace('(x - m', '(value - m')} AS p FROM pixels q JOIN sm USING (image_id, y, x) JOIN em ON em.image_id = q.image_id AND em.k = 99 JOIN (SELECT image_id, m0 >= m1 AS first FROM em WHERE k = 100) e ON e.image_id = q.image_id))"
     )
 
 
