@@ -13,6 +13,7 @@ from ..functions import kernels as K
 from ..functions import vectors as V
 from ..operators import curves, detect, evaluate, grid, knn, results, segment
 from ..sources import catalog, records, tables, toy
+from .session import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 METHODS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -448,7 +449,7 @@ def pro_curve_exact(s, d):
 
 def exact_au_pro(s, d):
     t = tables.pixels(s, d)
-    return curves.trapezoid(curves.pro_curve(t, segment.components(t)), "fpr", "pro", 0.3)
+    return curves.trapezoid(curves.pro_curve(t, kept(segment.components(t), "regions")), "fpr", "pro", 0.3)
 
 
 @query
@@ -459,7 +460,7 @@ def au_pro_exact(s, d):
 @query
 def au_pro_200(s, d):
     t = tables.pixels(s, d)
-    return r6(curves.au_pro_thresholds(t, segment.components(t)), "au_pro")
+    return r6(curves.au_pro_thresholds(t, kept(segment.components(t), "regions")), "au_pro")
 
 
 @query
