@@ -43,3 +43,26 @@ def test_empty_tables_pass_through(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, ""), f"test-empty-{name}")
         assert docs.count() == 0
+
+
+def test_odd_ids_pass_through_all_stages(spark, tmp_path):
+    """Many rows without ids, ids with several texts, clashing names, and labels beside the documents."""
+    rows = corpus()
+    texts = [r[1] for r in rows]
+    rows += [(None, t, *r[2:]) for t, r in zip(texts[:30], rows[:30], strict=True)] + [(k, texts[k + 1], *rows[k][2:]) for k in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame([(k, 1) for k in range(40)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    made = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, written(stage(spark, docs, str(tmp_path)), f"test-odd-{name}")
+        made[name] = docs.collect()
+        if name != "tokens":
+            assert docs.columns == before.columns
+    limits = quality.fit_limits(spark.createDataFrame(rows, SCHEMA), spark.read.parquet(str(tmp_path / "labels.parquet")))
+    packer = quality.new_packer()
+    assert len(made["quality"]) == sum(quality.measure((r[1] or "").encode(), packer, limits)[-1] for r in rows)
+    ids = [r["doc_id"] for r in made["near_copies"] if r["doc_id"] is not None]
+    assert len(ids) == len(set(ids)) and set(ids) <= {r["doc_id"] for r in made["quality"]}
+    assert sum(r["doc_id"] is None for r in made["near_copies"]) == sum(r["doc_id"] is None for r in made["quality"]) > 20
+    assert len(made["secrets"]) == len(made["near_copies"])
+    assert len(made["tokens"]) == len(made["mix"])
