@@ -26,6 +26,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from operator import ne
 from random import Random
 
 import numpy as np
@@ -71,6 +72,8 @@ def core(word: str) -> tuple[int, int]:
 
 def pieces(word: str) -> list[tuple[int, int, int, int]]:
     """(start, end, start of its run, end of its run) of every piece of a word; the separators between two runs are in both pieces."""
+    if word.isascii() and word.isalpha():
+        return [(0, len(word), 0, len(word))]
     runs = [m.span() for m in CORE.finditer(word)]
     if len(runs) < 2:
         return [(0, len(word), *(runs[0] if runs else (0, 0)))]
@@ -88,29 +91,31 @@ def context(word: str) -> int:
 
 
 _FEATURES = 34
+_SHORT = [(bisect_right(_LENGTHS, n), 33) for n in range(10)]
 _KINDS = bytes(ord("d") if chr(x).isdigit() else ord("u") if chr(x).isupper() else ord("l") if chr(x).islower() else ord("o") for x in range(128)) + b"o" * 128
 
 
 def shape(word: str) -> list[int]:
     """Indices of the binary features of a word by itself, below _FEATURES."""
     a, b = core(word)
-    c = word[a:b]
+    return list(run_shape(word, word[a:b]))
+
+
+def run_shape(word: str, c: str) -> tuple[int, ...]:
+    """The features of a word whose longest run is c."""
     n = len(c)
-    out = [sum(n >= x for x in _LENGTHS)]
     if n < 10:
-        return [*out, 33]
-    kinds = c.encode().translate(_KINDS)  # a core is ASCII
+        return _SHORT[n]
+    kinds = c.encode().translate(_KINDS)  # a run is ASCII
     digits, upper, other, lower = (kinds.count(k) for k in b"duol")
     if n < 100:
-        changes = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+        changes = sum(map(ne, kinds, kinds[1:]))
     else:
         k = np.frombuffer(kinds, np.uint8)
         changes = int((k[1:] != k[:-1]).sum())
-    out.append(9 + min(4, 10 * digits // n))  # 9..13
-    out.append(14 + min(4, 10 * changes // n))  # 14..18
-    out.append(19 + min(3, 8 * len(set(c)) // n // 2))  # 19..22
-    out += [k for k, x in ((23, digits == n), (24, lower == n), (25, upper == n), (26, bool(digits and upper and lower)), (27, not c.strip("0123456789abcdefABCDEF")), (28, "@" in word), (29, "://" in word or "www." in word), (30, n < len(word) - 6), (31, other > 2), (32, bool(digits) and bool(lower or upper))) if x]
-    return out
+    out = [bisect_right(_LENGTHS, n), 9 + min(4, 10 * digits // n), 14 + min(4, 10 * changes // n), 19 + min(3, 8 * len(set(c)) // n // 2)]  # up to 8, 13, 18 and 22
+    out += [k for k, x in ((23, digits == n), (24, lower == n), (25, upper == n), (26, digits and upper and lower), (27, not c.strip("0123456789abcdefABCDEF")), (28, "@" in word), (29, "://" in word or "www." in word), (30, n < len(word) - 6), (31, other > 2), (32, digits and (lower or upper))) if x]
+    return tuple(out)
 
 
 def file_features(raw: bytes, low: bytes) -> list[int]:
@@ -132,13 +137,13 @@ class Field:
 
     @classmethod
     def fit(cls, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = STEPS, decay: float = 1e-3) -> Field:
-        """Groups of windows of one length: x (windows, places, features), y (windows, places), edges (windows, 2).
+        """Groups of windows of one length: x (windows, places, numbers of features), y (windows, places), edges (windows, 2).
 
         Adam on the mean negative log-likelihood of the labels of each window, given the labels (edges) next to its ends,
         as decoding has outside on both sides of what it decodes. Windows are whole: no place is padding.
         """
-        n, width = sum(len(x) for x, _, _ in groups), groups[0][0].shape[2]
-        w = np.zeros((width, 3))
+        n = sum(len(x) for x, _, _ in groups)
+        w = np.zeros((sum(cls.SIZES) + 1, 3))  # the last row is of no feature and stays 0
         t = np.array([[0.0, 0.0, -3.0], [0.0, -1.0, 0.0], [0.0, -1.0, 0.0]])
         moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
         for step in range(1, steps + 1):
@@ -147,18 +152,19 @@ class Field:
                 dw, dt = cls.slopes(x, y, edges, w, t)
                 gw += dw / n
                 gt += dt / n
+            gw[-1] = 0
             for k, (value, g) in enumerate(((w, gw), (t, gt))):
                 m, q = moments[2 * k], moments[2 * k + 1]
                 m += 0.1 * (g - m)
                 q += 0.01 * (g * g - q)
                 value -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)
-        return cls(w, t)
+        return cls(w[:-1], t)
 
     @staticmethod
     def slopes(x: np.ndarray, y: np.ndarray, edges: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slope of the negative log-likelihood of windows of one length: expected less seen features and moves."""
         places = x.shape[1]
-        s, e, hot = x @ w, np.exp(t), np.eye(3)[y]
+        s, e, hot = w[x].sum(axis=2), np.exp(t), np.eye(3)[y]
         u = np.exp(s - s.max(axis=2, keepdims=True))
         ahead, back = np.empty_like(s), np.empty_like(s)
         v = e[edges[:, 0]] * u[:, 0]
@@ -178,7 +184,8 @@ class Field:
         moves = pair.sum(axis=(0, 1)) - np.einsum("nia,nib->ab", hot[:, :-1], hot[:, 1:])
         np.add.at(moves, edges[:, 0], off[:, 0])
         np.add.at(moves.T, edges[:, 1], off[:, -1])
-        return np.einsum("nif,nia->fa", x, off, optimize=True), moves
+        at = x.ravel()
+        return np.stack([np.bincount(at, np.repeat(off[:, :, k].ravel(), x.shape[2]), len(w)) for k in range(3)], axis=1), moves
 
     def viterbi(self, s: np.ndarray) -> list[int]:
         """The best tags between two outside words."""
@@ -198,7 +205,7 @@ class Field:
 class Scores(dict):
     """Own scores and context class of the pieces of words: the index of a word's first piece in growing tables, and their number."""
 
-    def __init__(self, field: Field, bound: int = 120_000):
+    def __init__(self, field: Field, bound: int = 400_000):
         super().__init__()
         self.field, self.bound = field, bound
         self.by_shape = Cached(lambda features: field.own[list(features)].sum(axis=0), 50_000)
@@ -212,8 +219,9 @@ class Scores(dict):
         while self.used > len(self.own):
             self.own, self.context, self.count = (np.concatenate([t, np.zeros_like(t)]) for t in (self.own, self.context, self.count))
         self.count[k] = len(found)
-        for j, (lo, hi, _, _) in enumerate(found, k):
-            self.own[j], self.context[j] = self.by_shape[tuple(shape(word[lo:hi]))], context(word[lo:hi])
+        for j, (lo, hi, a, b) in enumerate(found, k):
+            piece = word[lo:hi] if len(found) > 1 else word
+            self.own[j], self.context[j] = self.by_shape[run_shape(piece, word[a:b])], context(piece)
         return k
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
@@ -359,7 +367,7 @@ def made_up(random: Random) -> list[tuple[str, int]]:
 
 
 def training_arrays(found: list[Window], seed: int = 7) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(features, labels, edges) of the windows of each length, with made-up secrets put in places of quiet ones."""
+    """(numbers of features, labels, edges) of the windows of each length, with made-up secrets put in places of quiet ones."""
     random = Random(seed)
     quiet = [f for f in found if not any(f[2])] or [([shape("the")] * (2 * NEAR + 1), [PLAIN] * (2 * NEAR + 1), [0] * (2 * NEAR + 1), [0] * N_FILE, [0, 0])]
     rows = list(found)
@@ -368,18 +376,18 @@ def training_arrays(found: list[Window], seed: int = 7) -> list[tuple[np.ndarray
         k, new = random.randrange(len(labels) + 1), made_up(random)
         put = lambda old, of, k=k, new=new: [*old[:k], *map(of, new), *old[k:]]
         rows.append((put(shapes, lambda x: shape(x[0])), put(classes, lambda x: context(x[0])), put(labels, lambda x: x[1]), [int(random.random() < 0.8), *about[1:]], edges))
-    a, out = np.cumsum((0, *Field.SIZES)), []
+    a, out = np.cumsum((0, *Field.SIZES)).tolist(), []
     for places in sorted({len(r[2]) for r in rows}):
-        group = [r for r in rows if len(r[2]) == places]
-        x = np.zeros((len(group), places, sum(Field.SIZES)), np.float32)
-        for row, (shapes, classes, _, about, _) in zip(x, group, strict=True):
+        group, lists = [r for r in rows if len(r[2]) == places], []
+        for shapes, classes, _, about, _ in group:
             c = np.array(classes, np.int8)
-            before, before2, after = shifted(c, 1), shifted(c, 2) if len(c) > 2 else np.full(len(c), NONE), shifted(c, -1)
-            for k, own in enumerate(shapes):
-                row[k, own] = 1
-                row[k, [a[1] + before[k], a[2] + before2[k], a[3] + after[k]]] = 1
-            row[:, a[4] :] = about
-        out.append((x, np.array([r[2] for r in group]), np.array([r[4] for r in group])))
+            before, before2, after = (v.tolist() for v in (shifted(c, 1), shifted(c, 2) if len(c) > 2 else np.full(len(c), NONE), shifted(c, -1)))
+            file = [a[4] + k for k, x in enumerate(about) if x]
+            lists += [[*own, a[1] + before[k], a[2] + before2[k], a[3] + after[k], *file] for k, own in enumerate(shapes)]
+        x = np.full((len(lists), max(map(len, lists))), a[-1])
+        for row, numbers in zip(x, lists, strict=True):
+            row[: len(numbers)] = numbers
+        out.append((x.reshape(len(group), places, -1), np.array([r[2] for r in group]), np.array([r[4] for r in group])))
     return out
 
 
