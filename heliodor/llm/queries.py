@@ -17,6 +17,7 @@ from .mixing import mix_sources
 from .quality import fit_limits, quality_bands
 from .secrets import scan_secrets
 from .sharding import shard_documents
+from .spelling import spelling_groups
 from .substrings import remove_repeats
 from .token_files import token_file_index
 
@@ -71,6 +72,10 @@ def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands(docs, fit_limits(docs, table_if_any(spark, sf_dir, "labels")))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substrings": op9_substrings,
     "op10_quality_bands": op10_quality_bands,
+    "op12_spelling": op12_spelling,
 }
 
 OP8_SQL = r"""
