@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .common import documents, table_if_any
+from .erasure import erased_files
 from .fingerprints import compare_with_edits
 from .jaccard import shingle_components
 from .licenses import scan_licenses
+from .minhash import minhash_components
 from .mixing import mix_sources
 from .quality import fit_limits, quality_bands
 from .secrets import scan_secrets
@@ -72,10 +74,18 @@ def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands(docs, fit_limits(docs, table_if_any(spark, sf_dir, "labels")))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(documents(spark, sf_dir), n=2, num=80, den=100)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(documents(spark, sf_dir))
 
 
+def op13_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erased_files(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
@@ -87,7 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substrings": op9_substrings,
     "op10_quality_bands": op10_quality_bands,
+    "op11_minhash": op11_minhash,
     "op12_spelling": op12_spelling,
+    "op13_erasure": op13_erasure,
 }
 
 OP8_SQL = r"""
@@ -136,6 +148,24 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(near) AS
 FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g, count(*) AS docs FROM s GROUP BY g),
+p AS (SELECT s.doc_id, g, n FROM s JOIN f USING (g) JOIN n USING (doc_id) QUALIFY row_number() OVER (PARTITION BY s.doc_id ORDER BY docs, g) <= n - (80 * n + 99) // 100 + 1),
+t AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+c AS (SELECT a, b, na, nb, count(*) AS common FROM t JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY ALL),
+e AS (SELECT a, b FROM c WHERE 100 * common >= 80 * (na + nb - common) UNION ALL SELECT b, a FROM c WHERE 100 * common >= 80 * (na + nb - common)),
+r(doc_id, near) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.near)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(near) AS component_id, d.doc_id = min(near) AS kept
+FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 v AS (SELECT place, k, array_to_string(w[k:k + 34], ' ') AS g FROM (SELECT place, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)),
@@ -147,4 +177,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (place)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op8_mixing": OP8_SQL, "op9_substrings": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op11_minhash": OP11_SQL, "op8_mixing": OP8_SQL, "op9_substrings": OP9_SQL}
