@@ -4,12 +4,17 @@ Every piece of a whole text is tagged begin, inside or outside of a secret. A pi
 secret can have, with what stands next to it up to the neighbouring runs of its whitespace-separated word; a word
 without such a run is one piece. So minified JSON, query strings and header dumps can hold any number of secrets in one
 word. Words are also cut where a base span begins or ends, so what stands beside it is judged by itself. A piece's score comes
-from its own shape (lengths, character classes and their changes, alphabets, entropy), from the classes of the two
-pieces before it and the one after (keyword, assignment sign, quote, number, other) and from features of the file; label
-pairs add a transition score; Viterbi finds the best tags. The weights are fitted by maximum likelihood here, on windows
-around base matches and elsewhere in at most about SAMPLE documents (the bound on labelled rows) chosen by a hash of
-their id, and on made-up secrets put in their places, so that other alphabets and keywords are learnt too. Windows are
-turned into feature numbers on the executors, and each counts with its own length and the labels beside its ends.
+from its own shape (lengths, character classes and their changes, alphabets, entropy, the segments between its punctuation,
+and the looks of dates, hyphenated hex groups, dotted numbers, identifiers with a slash and well-known token beginnings), from the
+classes of the two pieces before it and the one after (keyword, assignment sign, quote, number, name of something else, other)
+and from features of the file; label pairs add a transition score; Viterbi finds the best tags. The weights are fitted by
+maximum likelihood here, on windows around base matches and elsewhere in at most about SAMPLE documents (the bound on
+labelled rows) chosen by a hash of their id, on made-up secrets put in their places, so that other alphabets and
+keywords are learnt too, and on as many made-up strings of PLAIN_KINDS, which look like secrets and are none: times,
+identifiers, versions, file names, numbers, encoded pictures. A long run is a secret by what stands before it or by how it
+begins; bare runs of hex digits, which are base spans anyway, are not learnt from.
+Windows are turned into feature numbers on the executors, and each counts with its own length and the labels beside its
+ends.
 
 Decoding is exact but mostly free: where a piece's score for outside leads by more than any transitions could make up,
 outside is on every best path, so Viterbi runs only over the pieces between such places.
@@ -49,8 +54,15 @@ HINT_BYTES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CORE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]*")
 KEYWORD = re.compile(r"passw|pwd|secret|token|api_?key|auth|bearer|credential|private|^\W*key\W*$", re.I | re.A)
-PLAIN, NONE, KEY, SIGN, QUOTE, NUMBER = range(6)
-N_CONTEXT, N_FILE = 6, 3
+JOINED = re.compile(r"(?:passw\w*|pwd|secret|token|api_?key|auth|bearer|credential|key|sig|signature|session)=+[^=]{12}", re.I | re.A)
+#: What is named here is followed by something that is no secret.
+NAMED = re.compile(r"base64|doi|isbn|issn|uu?id|guid|version|release|commit|digest|sha\d|md5|checksum|etag|date|time|stamp|file|image|phone|iban|order|serial|model|build|version|path|url", re.I | re.A)
+#: How well-known kinds of tokens begin.
+STARTS = re.compile(r"gh[pousr]_|github_pat_|glpat-|sk[-_]|pk_|rk_|xox[abprs]-|eyJ[A-Za-z0-9]|AIza|ya29\.|npm_|SG\.|shpat_|dop_v1_|hf_")
+SEGMENT, DATE, UUID, DOTTED, NAMESPACE = re.compile(r"[A-Za-z0-9]+"), re.compile(r"(?:19|20)\d\d[-_/.]?[01]\d[-_/.]?[0-3]\d"), re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"), re.compile(r"\d\.\d|\.[A-Za-z]{1,4}\d?(?:\.[a-z]{2})?$"), re.compile(r"10\.\d{4,}/|[A-Za-z]{2,}/[A-Za-z]")
+PLAIN, NONE, KEY, SIGN, QUOTE, NUMBER, NAME = range(7)
+N_CONTEXT, N_FILE = 7, 3
+_SEGMENTS = (5, 9, 13, 17, 21, 33)
 _LENGTHS = (6, 10, 14, 18, 24, 36, 48, 80)
 
 
@@ -83,6 +95,8 @@ def pieces(word: str) -> list[tuple[int, int, int, int]]:
 def context(word: str) -> int:
     if KEYWORD.search(word):
         return KEY
+    if NAMED.search(word):
+        return NAME
     if word in ("=", ":", ":=", "=>") or word.rstrip("\"'`")[-1:] in ("=", ":"):
         return SIGN
     if word[0] in "\"'`":
@@ -90,7 +104,7 @@ def context(word: str) -> int:
     return NUMBER if word[0].isdigit() else PLAIN
 
 
-_FEATURES = 34
+_FEATURES = 49
 _SHORT = [(bisect_right(_LENGTHS, n), 33) for n in range(10)]
 _KINDS = bytes(ord("d") if chr(x).isdigit() else ord("u") if chr(x).isupper() else ord("l") if chr(x).islower() else ord("o") for x in range(128)) + b"o" * 128
 
@@ -115,6 +129,9 @@ def run_shape(word: str, c: str) -> tuple[int, ...]:
         changes = int((k[1:] != k[:-1]).sum())
     out = [bisect_right(_LENGTHS, n), 9 + min(4, 10 * digits // n), 14 + min(4, 10 * changes // n), 19 + min(3, 8 * len(set(c)) // n // 2)]  # up to 8, 13, 18 and 22
     out += [k for k, x in ((23, digits == n), (24, lower == n), (25, upper == n), (26, digits and upper and lower), (27, not c.strip("0123456789abcdefABCDEF")), (28, "@" in word), (29, "://" in word or "www." in word), (30, n < len(word) - 6), (31, other > 2), (32, digits and (lower or upper))) if x]
+    parts = SEGMENT.findall(c)
+    out.append(34 + bisect_right(_SEGMENTS, max(map(len, parts), default=0)))  # up to 40
+    out += [k for k, x in ((41, all(p.isdigit() or p.isalpha() for p in parts)), (42, DATE.search(c)), (43, UUID.fullmatch(c)), (44, DOTTED.search(c)), (45, NAMESPACE.search(c)), (46, STARTS.match(c)), (47, len(parts) > 3), (48, JOINED.search(c))) if x]
     return tuple(out)
 
 
@@ -334,15 +351,20 @@ def windows(text: str, random: Random, quiet: int = 1) -> list[Window]:
     base = base_spans(text, raw.lower())
     label = [0] * len(places)
     starts = np.array([at + a for at, (_, _, a, _) in found])
-    for _, _, end, value in base:
+    bare = []
+    for _, kind, end, value in base:
         k = int(np.searchsorted(starts, value, side="right")) - 1
         first = True
         while k < len(places) and starts[k] < end:
+            if kind == 2:
+                bare.append(k)
             label[k], first, k = label[k] or (1 if first else 2), False, k + 1
+    away = {j for k in bare if not any(s <= places[k][0] < e for s, kind, e, _ in base if kind < 2) for j in range(k - NEAR, k + NEAR + 1)}
     spots = [k for k, y in enumerate(label) if y == 1][:20]
     spots += [random.randrange(len(places)) for _ in range(quiet)]
     odd = [k for k, (a, b) in enumerate(places) if b - a > 13 and not label[k]]
     spots += random.sample(odd, min(1, len(odd)))
+    spots = [k for k in spots if k not in away]
     about, out = file_features(raw, raw.lower()), []
     beside = [0, *label, 0]
     for k in spots:
@@ -356,24 +378,79 @@ ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 
 
 def made_up(random: Random) -> list[tuple[str, int]]:
-    """A few words with a random secret among them."""
+    """A few words with a random secret among them: behind a keyword, or with a well-known beginning."""
     alphabet = random.choice(ALPHABETS)
     secret = "".join(random.choice(alphabet) for _ in range(random.choice((20, 24, 32, 40, 44, 64))))
     key, sign, quote = random.choice(("token", "password", "secret", "api_key", "auth", "credential", "bearer", "private_key")), random.choice(("=", ":", "")), random.choice(('"', "'", ""))
-    if random.random() < 0.15:
+    kind = random.random()
+    if kind < 0.15:
         half = len(secret) // 2
         return [(key, 0), (sign or "=", 0), (quote + secret[:half], 1), (secret[half:] + quote, 2)]
-    return [(w, 0) for w in (key, sign) if w] * (random.random() < 0.8) + [(quote + secret + quote, 1)]
+    if kind < 0.3:
+        start = random.choice(("ghp_", "sk_live_", "xoxb-", "eyJhbGciOi", "glpat-", "AIzaSy", "npm_", "hf_"))
+        return [(w, 0) for w in (key, sign) if w] * (random.random() < 0.5) + [(quote + start + secret + quote, 1)]
+    if kind < 0.4:
+        return [(key + (sign or "="), 0), (quote + secret + quote, 1)] if random.random() < 0.5 else [(random.choice(("", "?", "&")) + key + "=" + secret, 1)]
+    return [(w, 0) for w in (key, sign) if w] + [(quote + secret + quote, 1)]
+
+
+def _drawn(random: Random, alphabet: str, least: int, most: int) -> str:
+    return "".join(random.choice(alphabet) for _ in range(random.randint(least, most)))
+
+
+_DIGITS, _HEX, _UPPER_LETTERS, _LETTERS, _ALNUM, _BASE64 = "0123456789", ALPHABETS[0], ALPHABETS[2][:26], ALPHABETS[2][26:52], ALPHABETS[2], ALPHABETS[3]
+
+
+def _named(random: Random) -> str:
+    return "".join(random.choice("bcdfghlmnprst") + random.choice("aeiou") for _ in range(random.randint(2, 4)))
+
+
+#: Strings that are no secrets, of each kind one for a random source.
+PLAIN_KINDS = {
+    "time": lambda r: f"{r.randint(1900, 2099)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}{r.choice('T_')}{r.randint(0, 23):02d}:{r.randint(0, 59):02d}:{r.randint(0, 59):02d}{r.choice(('Z', '', '.' + _drawn(r, _DIGITS, 3, 6), '+02:00'))}",
+    "stamp": lambda r: f"{_named(r)}{r.choice('-_')}{r.randint(1990, 2040)}{r.randint(1, 12):02d}{r.randint(1, 28):02d}{r.choice('-_T')}{_drawn(r, _DIGITS, 4, 6)}{r.choice(('', '.log', '.txt', '.tar.gz'))}",
+    "doi": lambda r: f"10.{_drawn(r, _DIGITS, 4, 5)}/{r.choice((_named(r), _named(r).upper(), 's' + _drawn(r, _DIGITS, 5, 5)))}{r.choice('.-')}{_drawn(r, _DIGITS, 4, 7)}{r.choice(('', '.' + _drawn(r, _DIGITS, 2, 4), '-' + _drawn(r, _DIGITS, 3, 4)))}",
+    "number": lambda r: _drawn(r, _DIGITS, 9, 24),
+    "groups": lambda r: "-".join(_drawn(r, _DIGITS, 2, 5) for _ in range(r.randint(3, 5))),
+    "camera": lambda r: f"{r.choice(('IMG', 'DSC', 'PXL', 'VID', 'DJI', 'MVI', _named(r)))}{r.choice('_-')}{_drawn(r, _DIGITS, 4, 8)}{r.choice('_-')}{_drawn(r, _DIGITS, 4, 9)}.{r.choice(('jpg', 'JPG', 'png', 'mp4', 'jpeg', 'MOV'))}",
+    "uuid": lambda r: (lambda x: r.choice((x, x.upper())))("-".join(_drawn(r, _HEX, n, n) for n in (8, 4, 4, 4, 12))),
+    "version": lambda r: f"{r.choice(('lib', '', 'py'))}{_named(r)}-{r.randint(0, 30)}.{r.randint(0, 40)}.{r.randint(0, 99)}{r.choice(('-x86_64', '_amd64.deb', '-py3-none-any.whl', '.tar.gz', '-1.el8', '-beta2', ''))}",
+    "picture": lambda r: f"data:image/{r.choice(('png', 'jpeg', 'gif'))};base64,{_drawn(r, _BASE64, 40, 200)}{r.choice(('', '=', '=='))}",
+    "path": lambda r: "/" + "/".join(_named(r) + r.choice(("", str(r.randint(1, 99)))) for _ in range(r.randint(2, 5))) + r.choice(("", ".html", ".py", ".h5")),
+    "link": lambda r: f"https://{_named(r)}.{_named(r)}.org/{_named(r)}/{r.choice((_named(r), _drawn(r, _DIGITS, 5, 10), _drawn(r, _ALNUM, 8, 12)))}{r.choice(('', '?id=' + _drawn(r, _DIGITS, 3, 9), '.html'))}",
+    "camel": lambda r: r.choice((str, str.capitalize))(_named(r)) + "".join(_named(r).capitalize() for _ in range(r.randint(2, 4))) + r.choice(("", str(r.randint(1, 99)))),
+    "snake": lambda r: r.choice("_-").join(_named(r) for _ in range(r.randint(3, 5))) + r.choice(("", "_" + str(r.randint(1, 99)))),
+    "order": lambda r: f"{_drawn(r, _UPPER_LETTERS, 2, 5)}{r.choice('-/_')}{r.randint(1990, 2040)}{r.choice('-/_')}{_drawn(r, _DIGITS, 4, 9)}",
+    "serial": lambda r: "-".join(_drawn(r, _UPPER_LETTERS + _DIGITS, 4, 6) for _ in range(r.randint(3, 5))),
+    "model": lambda r: f"{_drawn(r, _UPPER_LETTERS, 1, 4)}{r.choice(('', '-'))}{_drawn(r, _DIGITS, 3, 5)}{_drawn(r, _UPPER_LETTERS, 1, 3)}{r.choice('-/')}{_drawn(r, _DIGITS, 1, 4)}{_drawn(r, _UPPER_LETTERS, 0, 2)}",
+    "gene": lambda r: _drawn(r, r.choice(("ACGT", "acgt", "ACDEFGHIKLMNPQRSTVWY")), 12, 80),
+    "account": lambda r: _drawn(r, _UPPER_LETTERS, 2, 2) + _drawn(r, _DIGITS, 14, 24),
+    "address": lambda r: r.choice((":", "-")).join(_drawn(r, _HEX, 2, 2) for _ in range(6)),
+    "hash": lambda r: r.choice(("sha256:", "sha512-", "md5:", "W/", "")) + _drawn(r, r.choice((_BASE64, _HEX.upper(), _ALNUM)), 20, 88) + r.choice(("", "=", "==")),
+    "mail": lambda r: f"{_named(r)}.{_named(r)}{r.randint(1, 9999)}@{_named(r)}.{r.choice(('com', 'org', 'net'))}",
+}
+
+
+def made_up_plain(random: Random) -> list[tuple[str, int]]:
+    """A few words with something among them that looks like a secret and is none, sometimes named, quoted or behind a sign."""
+    text, kind = PLAIN_KINDS[random.choice(list(PLAIN_KINDS))](random), random.random()
+    text = random.choice(("", "", "", "(", '"', "'")) + text
+    text += {"(": ")", '"': '"', "'": "'"}.get(text[0], random.choice(("", "", ",", ".", ";")))
+    name = random.choice(("id", "file", "version", "doi", "at", "see", "on", "of", "ref", "no", "date", "uuid", "image", "sha256", "from", "model", "sequence", "time", "hash", "value", "name", "key"))
+    sign = random.choice(("=", ":"))
+    words = [name + sign, text] if kind < 0.2 else [name, sign, text] if kind < 0.3 else [name, text] if kind < 0.4 else [name + sign + text] if kind < 0.45 else [text]
+    return [(w[lo:hi], 0) for w in words for lo, hi, _, _ in pieces(w)]
 
 
 def training_arrays(found: list[Window], seed: int = 7) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(numbers of features, labels, edges) of the windows of each length, with made-up secrets put in places of quiet ones."""
+    """(numbers of features, labels, edges) of the windows of each length, and of quiet ones with made-up secrets, and twice as many other strings, put into them."""
     random = Random(seed)
     quiet = [f for f in found if not any(f[2])] or [([shape("the")] * (2 * NEAR + 1), [PLAIN] * (2 * NEAR + 1), [0] * (2 * NEAR + 1), [0] * N_FILE, [0, 0])]
     rows = list(found)
-    for _ in range(max(300, len(found) // 4)):
+    n = max(300, len(found) // 4)
+    for made in [made_up] * n + [made_up_plain] * 2 * n:
         shapes, classes, labels, about, edges = random.choice(quiet)
-        k, new = random.randrange(len(labels) + 1), made_up(random)
+        k, new = random.randrange(len(labels) + 1), made(random)
         put = lambda old, of, k=k, new=new: [*old[:k], *map(of, new), *old[k:]]
         rows.append((put(shapes, lambda x: shape(x[0])), put(classes, lambda x: context(x[0])), put(labels, lambda x: x[1]), [int(random.random() < 0.8), *about[1:]], edges))
     a, out = np.cumsum((0, *Field.SIZES)).tolist(), []
