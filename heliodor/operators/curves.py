@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.prefix import previous, running
+from ..plans.session import kept
 
 
 def by_score(t: DataFrame, label: str = "label", score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -47,40 +48,46 @@ def best_threshold(t: DataFrame, how: str = "f1", label: str = "label", score: s
     return top.select(*keys, F.coalesce(-F.col("top.score"), F.lit(0.0)).alias("score"), F.coalesce("top.value", F.lit(0.0)).alias("value"))
 
 
-def pro_points(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """(score, dfpr, dpro): what each score value adds to the false-positive rate and the per-region overlap.
+def pro_points(cells: DataFrame, regions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, score, dfpr, dpro): what each score value adds to the false-positive rate and the per-region overlap.
 
-    cells: (image_id, y, x, score, gt_mask); regions: (image_id, y, x, region) of defect cells.
+    cells: (keys, image_id, y, x, score, gt_mask); regions: (image_id, y, x, region) of defect cells. Image ids are unique over keys.
     """
+    by = list(keys)
+    one = lambda t, u: t.join(u, by) if by else t.join(F.broadcast(u))  # noqa: E731  # a row, or one for each key
     r = regions.withColumn("region_size", F.count("*").over(Window.partitionBy("image_id", "region")))
-    n_regions = regions.select("image_id", "region").distinct().agg(F.count("*").alias("n_regions"))
-    n_ok = cells.agg(F.sum((F.col("gt_mask") == 0).cast("bigint")).alias("n_ok"))
-    t = cells.join(r, ["image_id", "y", "x"], "left").groupBy("score").agg(F.sum((F.col("gt_mask") == 0).cast("bigint")).alias("ok"), F.sum(F.when(F.col("gt_mask") == 1, 1.0 / F.col("region_size")).otherwise(0.0)).alias("overlap"))
-    t = t.join(F.broadcast(n_ok)).join(F.broadcast(n_regions))
-    return t.select("score", F.try_divide(F.col("ok").cast("double"), F.col("n_ok")).alias("dfpr"), F.try_divide(F.col("overlap"), F.col("n_regions")).alias("dpro"))
+    found = regions.select("image_id", "region").distinct()
+    found = found.join(cells.select("image_id", *by).distinct(), "image_id") if by else found
+    n_regions = found.groupBy(*by).agg(F.count("*").alias("n_regions"))
+    n_ok = cells.groupBy(*by).agg(F.sum((F.col("gt_mask") == 0).cast("bigint")).alias("n_ok"))
+    t = cells.join(r, ["image_id", "y", "x"], "left").groupBy(*by, "score").agg(F.sum((F.col("gt_mask") == 0).cast("bigint")).alias("ok"), F.sum(F.when(F.col("gt_mask") == 1, 1.0 / F.col("region_size")).otherwise(0.0)).alias("overlap"))
+    t = one(one(t, n_ok), n_regions)
+    return t.select(*by, "score", F.try_divide(F.col("ok").cast("double"), F.col("n_ok")).alias("dfpr"), F.try_divide(F.col("overlap"), F.col("n_regions")).alias("dpro"))
 
 
-def pro_curve(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """(threshold, fpr, pro) by falling score, clipped to 1, from (0, 0)."""
-    c = running(pro_points(cells, regions), "score", {"fpr": "dfpr", "pro": "dpro"}, descending=True)
-    points = c.select(F.col("score").alias("threshold"), F.least(F.lit(1.0), "fpr").alias("fpr"), F.least(F.lit(1.0), "pro").alias("pro"))
-    start = cells.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("pro"))
-    return points.unionByName(start)
+def pro_curve(cells: DataFrame, regions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, threshold, fpr, pro) by falling score, clipped to 1, from (0, 0); none for a key without regions."""
+    points = kept(pro_points(cells, regions, keys), "curve-points")
+    c = running(points, "score", {"fpr": "dfpr", "pro": "dpro"}, descending=True, keys=keys)
+    c = c.select(*keys, F.col("score").alias("threshold"), F.least(F.lit(1.0), "fpr").alias("fpr"), F.least(F.lit(1.0), "pro").alias("pro"))
+    starts = points.select(*keys).distinct() if keys else cells.sparkSession.range(1)
+    return c.unionByName(starts.select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("pro")))
 
 
-def trapezoid(curve: DataFrame, x: str, y: str, limit: float, normalise: bool = True, order: str = "threshold") -> DataFrame:
-    """(area): the area under a curve, by falling `order`, up to x = limit, y interpolated at the limit; points that are not finite are left out.
+def trapezoid(curve: DataFrame, x: str, y: str, limit: float, normalise: bool = True, order: str = "threshold", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, area): the area under a curve, by falling `order`, up to x = limit, y interpolated at the limit; points that are not finite are left out.
 
     The limit must be above 0 and at most 1. Each point needs the one before, which ranges of the order pass on.
     """
     if not 0 < limit <= 1:
         raise ValueError("the integration limit must be above 0 and at most 1")
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
-    t = previous(curve.filter(finite(x) & finite(y)), order, {"x0": x, "y0": y}, descending=True).filter(F.col("x0").isNotNull() & (F.col("x0") < limit))
+    t = kept(curve.filter(finite(x) & finite(y)), "curve")
+    t = previous(t, order, {"x0": x, "y0": y}, descending=True, keys=keys).filter(F.col("x0").isNotNull() & (F.col("x0") < limit))
     end = F.least(F.col(x), F.lit(limit))
     y_end = F.when(F.col(x) > limit, F.col("y0") + (F.col(y) - F.col("y0")) * F.try_divide(F.lit(limit) - F.col("x0"), F.col(x) - F.col("x0"))).otherwise(F.col(y))
     area = F.sum((end - F.col("x0")) * (F.col("y0") + y_end) / 2)
-    return t.agg((area / limit if normalise else area).alias("area"))
+    return t.groupBy(*keys).agg((area / limit if normalise else area).alias("area"))
 
 
 def au_pro_thresholds(cells: DataFrame, regions: DataFrame, steps: int = 200, limit: float = 0.3, keys: tuple[str, ...] = ()) -> DataFrame:

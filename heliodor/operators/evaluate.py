@@ -21,20 +21,30 @@ def evaluate(cells: DataFrame, images: DataFrame, fg: DataFrame, keys: tuple[str
     Pixel metrics are of images with a defect (label 1) only, undefined (null) without one or with one class of cells; image
     metrics are undefined, with counts of 0, for one class of images.
     """
+    masks = segment.segment(cells, segmentation)
+    marked = cells.join(masks, ["image_id", "y", "x"]).join(fg, ["image_id", "y", "x"], "left")
+    return _metrics(marked.withColumn("fg", F.coalesce("fg", F.lit(1))), images, keys)
+
+
+def evaluate_maps(maps: DataFrame, truth: DataFrame, images: DataFrame, keys: tuple[str, ...], segmentation: str = "percentile") -> DataFrame:
+    """(keys, METRICS, COUNTS) where maps (image_id, y, x, score, fg) and truth (image_id, y, x, gt_mask) have grids of different sizes, each image its own; see `evaluate` and `segment.on_truth`."""
+    return _metrics(segment.on_truth(maps, truth, segmentation), images, keys)
+
+
+def _metrics(marked: DataFrame, images: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The metrics of cells (image_id, y, x, score, gt_mask, mask, fg)."""
     by = list(keys)
     images = kept(images, "runs")
-    masks = kept(segment.segment(cells, segmentation), "masks")
     owner = images.select("image_id", *by, "label")
-    odd = kept(cells.join(owner.filter("label = 1").select("image_id", *by), "image_id"), "cells-of-defects")
+    marked = kept(marked.join(owner, "image_id"), "marked-cells")
+    odd = marked.filter("label = 1")
     image_auroc = curves.auroc(images, score="image_score", keys=keys)
     pixel_auroc = curves.auroc(odd, "gt_mask", keys=keys).withColumnRenamed("auroc", "pixel_auroc")
     classes = odd.groupBy(*by).agg(F.max("gt_mask").alias("most"), F.min("gt_mask").alias("least"))
     pixel_f1 = curves.best_threshold(odd, "f1", "gt_mask", keys=keys).join(classes, by).select(*by, F.when(F.col("most") > F.col("least"), F.col("value")).alias("pixel_f1"))
     aupro = curves.au_pro_thresholds(odd, kept(segment.components(odd), "regions"), keys=keys).withColumnRenamed("au_pro", "aupro")
-    both = odd.select("image_id", *by, "y", "x", "gt_mask").join(masks, ["image_id", "y", "x"])
-    iou = both.groupBy(*by).agg(F.sum(F.col("mask") * F.col("gt_mask")).alias("i"), F.sum(F.greatest("mask", "gt_mask")).alias("u"))
+    iou = odd.groupBy(*by).agg(F.sum(F.col("mask") * F.col("gt_mask")).alias("i"), F.sum(F.greatest("mask", "gt_mask")).alias("u"))
     iou = iou.select(*by, F.coalesce(F.try_divide(F.col("i").cast("double"), F.col("u")), F.lit(1.0)).alias("mean_iou"))
-    marked = masks.join(fg, ["image_id", "y", "x"], "left").withColumn("fg", F.coalesce("fg", F.lit(1)))
     guess = segment.classify_images(marked).select("image_id", "predicted").join(owner, "image_id")
     hit = lambda a, b: F.sum(((F.col("label") == a) & (F.col("predicted") == b)).cast("bigint"))
     counts = guess.groupBy(*by).agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(0, 0).alias("tn"), (F.min("label") < F.max("label")).alias("two"))
@@ -79,7 +89,7 @@ def few_shot_grid(patches: DataFrame, images: DataFrame, shots: tuple[int, ...],
     maps = masked.join(test.join(have, "category", "left_semi").select("image_id", "category", "label"), "image_id").withColumn("k", F.explode(F.array(*[F.lit(k) for k in shots])))
     maps = maps.join(scores, ["vec_id", "k"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     truth = patches.select("vec_id", "gt_mask")
-    maps = maps.join(truth, "vec_id").withColumn("image_id", F.col("image_id") * 1000 + F.col("k"))
+    maps = maps.join(truth, "vec_id").withColumn("image_id", F.xxhash64("image_id", "k"))
     maps = kept(maps, "maps")
     scored = detect.image_scores(maps, share)
     runs = maps.select("image_id", "category", "label", F.concat(F.col("k").cast("string"), F.lit("_shot")).alias("method_name")).distinct()
@@ -121,9 +131,21 @@ def batched_zero_shot(patches: DataFrame, labels: DataFrame, masked: dict[int, b
     return curves.auroc(scored.join(labels, "image_id").join(owner, "image_id"), score="image_score", keys=("category",))
 
 
+def official(cells: DataFrame, keys: tuple[str, ...] = (), limit: float = 0.3) -> DataFrame:
+    """(keys, au_pro, auroc) of score maps by the official evaluation: the exact overlap curve, interpolated at the limit, and the AUROC of each image's greatest cell.
+
+    cells: (keys, image_id, y, x, score, gt_mask); an image is named by its id and keys together. All keys go through one
+    plan, whose running sums and previous rows are taken in ranges inside each key. au_pro is null without a defect.
+    """
+    by = list(keys)
+    t = kept(cells.withColumn("image_id", F.xxhash64(*by, "image_id")) if by else cells, "official-cells")
+    regions = kept(segment.components(t), "regions")
+    area = curves.trapezoid(curves.pro_curve(t, regions, keys), "fpr", "pro", limit, keys=keys).withColumnRenamed("area", "au_pro")
+    images = t.groupBy(*by, "image_id").agg(F.max("score").alias("image_score"), F.max("gt_mask").alias("label"))
+    found = curves.auroc(images, score="image_score", keys=keys)
+    return (found.join(area, by, "left") if by else found.join(F.broadcast(area))).select(*by, "au_pro", "auroc")
+
+
 def run_experiments(experiments: DataFrame, keys: tuple[str, ...] = ("experiment",)) -> DataFrame:
-    """(keys, au_pro, auroc) of the score maps of several experiments at once: cells (keys, image_id, y, x, score, gt_mask), image ids unique over all."""
-    experiments = kept(experiments, "experiments")
-    regions = kept(segment.components(experiments), "regions")
-    images = experiments.groupBy(*keys, "image_id").agg(F.max("score").alias("image_score"), F.max("gt_mask").alias("label"))
-    return curves.au_pro_thresholds(experiments, regions, keys=keys).join(curves.auroc(images, score="image_score", keys=keys), list(keys))
+    """The official evaluation of several experiments at once: (keys, au_pro, auroc)."""
+    return official(experiments, keys)

@@ -8,6 +8,10 @@ group whose distances are one matrix product, and gives the k smallest per query
 `streamed_scores` is for numbers of neighbours that grow with the bank (a share of it): a task holds a block of queries and
 their nearest distances so far, HELD numbers in all, and the bank streams past it in slices. No list of distances leaves
 the task, whatever the size of the bank; the more neighbours, the smaller the blocks.
+
+With keys (categories, say) every key is cut into blocks by its own counts: a row moves once for each block of the other
+side of its own key, and a large key does not multiply the rows of a small one. The counts of keys are one row a key, which
+Spark joins as it sees fit; rows of a key with a large share are dealt out by AQE's skew join.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import smallest_k
+from ..plans.session import kept
 
 BLOCK, HELD, SLICE = 2048, 1 << 22, 2048
 
@@ -38,6 +43,25 @@ def _pairs(k: int, leave_out: bool):
     return run
 
 
+def tiles(query: DataFrame, bank: DataFrame, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """(by, n_query, n_bank, q_blocks, b_blocks): how each key that both sides have is cut into blocks."""
+    count = lambda t, n: t.groupBy(*by).agg(F.count("*").alias(n))
+    q, b = count(query, "n_query"), count(bank, "n_bank")
+    t = q.join(b, list(by)) if by else q.join(F.broadcast(b))  # without keys one row each
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    return t.filter("n_query > 0 and n_bank > 0").withColumns({"q_blocks": blocks("n_query"), "b_blocks": blocks("n_bank")})
+
+
+def with_tiles(query: DataFrame, bank: DataFrame, plan: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the pair of blocks (qb, bb) that each copy of a row goes to: rows of keys that only one side has are left out."""
+    own = lambda t: t.join(plan.select(*by, "q_blocks", "b_blocks"), list(by)) if by else t.join(F.broadcast(plan.select("q_blocks", "b_blocks")))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one_of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    q = own(query).withColumn("qb", one_of("query_id", "q_blocks")).withColumn("bb", all_of("b_blocks")).drop("q_blocks", "b_blocks")
+    b = own(bank).withColumn("bb", one_of("bank_id", "b_blocks")).withColumn("qb", all_of("q_blocks")).drop("q_blocks", "b_blocks")
+    return q, b
+
+
 def nearest(query: DataFrame, bank: DataFrame, k: int, by: tuple[str, ...] = (), leave_out: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, near): the distances of the k nearest bank rows, rising.
 
@@ -46,9 +70,7 @@ def nearest(query: DataFrame, bank: DataFrame, k: int, by: tuple[str, ...] = (),
     """
     keys = list(by)
     bank = bank.select(*[F.col(c).alias(c) for c in bank.columns])  # both sides may come from one table
-    blocks = {name: -(-max(1, t.count()) // block) for name, t in (("q", query), ("b", bank))}
-    q = query.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks["q"]))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks["b"] - 1)).cast("array<bigint>")))
-    b = bank.withColumn("bb", F.pmod(F.xxhash64("bank_id"), F.lit(blocks["b"]))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks["q"] - 1)).cast("array<bigint>")))
+    q, b = with_tiles(query, bank, kept(tiles(query, bank, by, block), "tiles"), by)
     near = q.groupBy(*keys, "qb", "bb").cogroup(b.groupBy(*keys, "qb", "bb")).applyInPandas(_pairs(k, leave_out), "query_id bigint, near array<double>")
     merged = near.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return merged.filter(F.size("near") > 0)
@@ -116,14 +138,18 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield batch_of(held.rows())
 
 
+def streamed_blocks(query: DataFrame, by: str, block: int = BLOCK, held: int = HELD) -> DataFrame:
+    """(by, n_query, blocks): each key's queries in blocks whose nearest distances, at the key's largest k, are at most `held` numbers."""
+    size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(held) / F.greatest(F.lit(1), F.max("k")))))
+    return query.groupBy(by).agg(F.count("*").alias("n_query"), F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+
+
 def streamed_scores(query: DataFrame, bank: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
     """(query_id, score): the mean distance of the k nearest bank rows of other images with an equal `by`; k is a column of the queries."""
-    size = query.agg(F.count("*"), F.max("k")).head()
-    block = max(1, min(block, HELD // max(1, size[1] or 1)))
-    blocks = -(-max(1, size[0]) // block)
+    plan = kept(streamed_blocks(query, by, block), "blocks").select(by, "blocks")
     columns = ["place", "bank", "id", "image_id", "k", "v"]
-    q = query.withColumn("place", F.xxhash64(by, F.pmod(F.xxhash64("query_id"), F.lit(blocks)))).select("place", F.lit(False).alias("bank"), F.col("query_id").alias("id"), "image_id", F.col("k").cast("int").alias("k"), "v")
-    b = bank.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    q = query.join(plan, by).withColumn("place", F.xxhash64(by, F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))).select("place", F.lit(False).alias("bank"), F.col("query_id").alias("id"), "image_id", F.col("k").cast("int").alias("k"), "v")
+    b = bank.select(*[F.col(c).alias(c) for c in bank.columns]).join(plan, by).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     b = b.select(F.xxhash64(by, "b").alias("place"), F.lit(True).alias("bank"), F.col("bank_id").alias("id"), "image_id", F.lit(0).alias("k"), "v")
     parts = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = q.unionByName(b).select(*columns).repartition(parts, "place").sortWithinPartitions("place", "bank")

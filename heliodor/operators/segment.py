@@ -26,6 +26,24 @@ def component_stats(regions: DataFrame) -> DataFrame:
     return t.groupBy("image_id").agg(F.count("*").alias("n_regions"), F.max("area").alias("largest_area"), F.sum("area").alias("total_area"))
 
 
+def mask_of(grid: np.ndarray, method: str = "percentile", percentile: float = 95.0, sigma: float = 4.0, threshold: float | None = None, least_points: int = 100) -> np.ndarray:
+    """The 0/1 mask of one score map: cells of its region of interest above a threshold of the smoothed map; see `segment`."""
+    smooth, roi = K.gaussian(grid, sigma), grid != 0
+    mask = np.zeros(grid.shape, np.int32)
+    if roi.any():
+        values = smooth[roi]
+        if threshold is None and method == "gmm" and len(values) >= least_points:
+            mask[roi] = K.two_normals(values)
+        else:
+            mask[roi] = values > (np.percentile(values, percentile) if threshold is None else threshold)
+    return mask
+
+
+def known_method(method: str) -> None:
+    if method not in ("percentile", "gmm"):
+        raise ValueError(f"unknown method: {method}")
+
+
 def segment(maps: DataFrame, method: str = "percentile", percentile: float = 95.0, sigma: float = 4.0, threshold: float | None = None, least_points: int = 100, resize_to: tuple[int, int] | None = None) -> DataFrame:
     """(image_id, y, x, mask): a map's cells above a threshold within its region of interest (score <> 0).
 
@@ -33,19 +51,10 @@ def segment(maps: DataFrame, method: str = "percentile", percentile: float = 95.
     the percentile for fewer than least_points cells. With resize_to (rows, columns) the mask is brought to that size by
     nearest cells afterwards.
     """
-    if method not in ("percentile", "gmm"):
-        raise ValueError(f"unknown method: {method}")
+    known_method(method)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = to_grid(pdf, "score")
-        smooth, roi = K.gaussian(grid, sigma), grid != 0
-        mask = np.zeros(grid.shape, np.int32)
-        if roi.any():
-            values = smooth[roi]
-            if threshold is None and method == "gmm" and len(values) >= least_points:
-                mask[roi] = K.two_normals(values)
-            else:
-                mask[roi] = values > (np.percentile(values, percentile) if threshold is None else threshold)
+        mask = mask_of(to_grid(pdf, "score"), method, percentile, sigma, threshold, least_points)
         if resize_to:
             mask = K.nearest(mask, *resize_to)
         y, x = np.mgrid[: mask.shape[0], : mask.shape[1]]
@@ -54,6 +63,34 @@ def segment(maps: DataFrame, method: str = "percentile", percentile: float = 95.
     return maps.select("image_id", "y", "x", "score").groupBy("image_id").applyInPandas(run, "image_id bigint, y int, x int, mask int")
 
 
+def on_truth(maps: DataFrame, truth: DataFrame, method: str = "percentile") -> DataFrame:
+    """(image_id, y, x, score, gt_mask, mask, fg): each map brought to the size of its own image's truth.
+
+    maps: (image_id, y, x, score, fg); truth: (image_id, y, x, gt_mask), on a grid of any size that may differ from image to
+    image. Both grids of an image meet in one group: the map is resized bilinearly, its mask is taken on the map's own grid and
+    brought over by nearest cells, as is the foreground. An image without truth keeps the map's size, with a truth of 0;
+    one without a map has no rows.
+    """
+    known_method(method)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        there, known = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if there.empty:
+            return pdf.iloc[:0].drop(columns=["side"]).assign(mask=np.int32(0))
+        grid, fg = to_grid(there, "score"), to_grid(there, "fg")
+        gt = to_grid(known, "gt_mask") if len(known) else np.zeros(grid.shape, np.int32)
+        mask, (h, w) = mask_of(grid, method), gt.shape
+        if grid.shape != gt.shape:
+            grid, mask, fg = K.bilinear(grid, h, w), K.nearest(mask, h, w), K.nearest(fg, h, w)
+        y, x = np.mgrid[:h, :w]
+        flat = lambda a: a.ravel().astype("int32")
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": flat(y), "x": flat(x), "score": grid.ravel(), "gt_mask": flat(gt), "fg": flat(fg), "mask": flat(mask)})
+
+    some = maps.select("image_id", "y", "x", "score", F.lit(0).alias("gt_mask"), "fg", F.lit(0).alias("side"))
+    other = truth.select("image_id", "y", "x", F.lit(0.0).alias("score"), "gt_mask", F.lit(0).alias("fg"), F.lit(1).alias("side"))
+    return some.unionByName(other).groupBy("image_id").applyInPandas(run, "image_id bigint, y int, x int, score double, gt_mask int, fg int, mask int")
+
+
 def classify_images(masks: DataFrame, most_share: float = 0.7, least_share: float = 0.005, least_cells: int = 10) -> DataFrame:
     """(image_id, predicted) from (image_id, y, x, mask, fg): 1 if the anomaly within the foreground is there, not everywhere, and its largest region large enough."""
     t = masks.withColumn("hit", (F.col("mask") * F.col("fg")).cast("int"))

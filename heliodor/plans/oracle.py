@@ -50,6 +50,8 @@ SQL: dict[str, str] = {
     "rotation_fanout": patches(" SELECT vec_id, (45 * k)::INT AS angle, round(2.0 - (gx - 2.0) * sin(radians(45 * k)) + (gy - 2.0) * cos(radians(45 * k)), 6) + 0.0 AS ry, round(2.0 + (gx - 2.0) * cos(radians(45 * k)) + (gy - 2.0) * sin(radians(45 * k)), 6) + 0.0 AS rx FROM patches, range(0, 8) t(k)"),
     "knn_score_k1": knn(1, " SELECT vec_id, round(score, 6) AS score FROM knn"),
     "knn_score_k3": knn(3, " SELECT vec_id, round(score, 6) AS score FROM knn"),
+    "index_knn_scores": knn(3, " SELECT vec_id, round(score, 6) AS score, true AS bounded FROM knn"),
+    "tile_plan": patches(", t AS (SELECT CASE WHEN image_id % 3 > 0 THEN 0 ELSE category END AS category, label FROM patches), c AS (SELECT category, count(*) AS n_query, count(*) FILTER (label < 5) AS n_bank FROM t GROUP BY category HAVING n_bank > 0) SELECT *, ceil(n_query / 64)::INT AS q_blocks, ceil(n_bank / 64)::INT AS b_blocks, n_query * ceil(n_bank / 64)::BIGINT + n_bank * ceil(n_query / 64)::BIGINT AS moved FROM c"),
     "zero_shot_loo_scores": patches(_LOO + " SELECT vec_id, round(score, 6) AS score FROM loo"),
     "blocked_topk_merge": patches(_LOO + " SELECT vec_id, round(score, 6) AS score FROM loo"),
     "image_score_cvar": pixels(" SELECT image_id, round(image_score, 6) AS image_score FROM " + tail("pixels", 0.01)),
@@ -343,12 +345,19 @@ SQL |= {
 # the metrics of runs
 
 
-def assembly(h: int, w: int) -> str:
-    """CTEs ending in metrics(obj, ...), from cells(image_id, y, x, score, gt_mask), runs(image_id, obj, score, label) and fgs(image_id, y, x, fg)."""
-    flood = lambda name, cond: f", {name}_r(image_id, root, y, x) AS (SELECT image_id, y * {w} + x, y, x FROM {name}_c UNION SELECT r.image_id, r.root, q.y, q.x FROM {name}_r r JOIN {name}_c q ON q.image_id = r.image_id AND abs(q.y - r.y) <= 1 AND abs(q.x - r.x) <= 1), {name} AS (SELECT image_id, y, x, min(root) AS region FROM {name}_r GROUP BY ALL)"  # noqa: E731, ARG005
+def percentile_masks(h: int, w: int) -> str:
+    """CTE seg(image_id, y, x, gt_mask, mask) of cells(image_id, y, x, score, gt_mask)."""
     return (
         smoothed("cells", "sm", h, w) + ", rq AS (SELECT sm.image_id, quantile_cont(value, 0.95) AS cut FROM sm JOIN cells USING (image_id, y, x) WHERE score <> 0 GROUP BY ALL)"
-        ", seg AS (SELECT c.image_id, c.y, c.x, gt_mask, (score <> 0 AND value > cut)::INT AS mask FROM cells c JOIN sm USING (image_id, y, x) LEFT JOIN rq USING (image_id)), segs AS (SELECT s.* REPLACE (coalesce(mask, 0) AS mask), obj, label, coalesce(fg, 1) AS fg FROM seg s JOIN runs USING (image_id) LEFT JOIN fgs USING (image_id, y, x))"
+        ", seg AS (SELECT c.image_id, c.y, c.x, gt_mask, (score <> 0 AND value > cut)::INT AS mask FROM cells c JOIN sm USING (image_id, y, x) LEFT JOIN rq USING (image_id))"
+    )
+
+
+def assembly(h: int, w: int, masks: str | None = None) -> str:
+    """CTEs ending in metrics(obj, ...), from cells(image_id, y, x, score, gt_mask), runs(image_id, obj, score, label) and fgs(image_id, y, x, fg); masks: CTEs ending in seg."""
+    flood = lambda name, cond: f", {name}_r(image_id, root, y, x) AS (SELECT image_id, y * {w} + x, y, x FROM {name}_c UNION SELECT r.image_id, r.root, q.y, q.x FROM {name}_r r JOIN {name}_c q ON q.image_id = r.image_id AND abs(q.y - r.y) <= 1 AND abs(q.x - r.x) <= 1), {name} AS (SELECT image_id, y, x, min(root) AS region FROM {name}_r GROUP BY ALL)"  # noqa: E731, ARG005
+    return (
+        (masks or percentile_masks(h, w)) + ", segs AS (SELECT s.* REPLACE (coalesce(mask, 0) AS mask), obj, label, coalesce(fg, 1) AS fg FROM seg s JOIN runs USING (image_id) LEFT JOIN fgs USING (image_id, y, x))"
         ", iou AS (SELECT obj, coalesce(sum(mask * gt_mask) / nullif(sum(greatest(mask, gt_mask)), 0), 1)::DOUBLE AS mean_iou FROM segs WHERE label = 1 GROUP BY obj)"
         ", hit_c AS (SELECT image_id, y, x FROM segs WHERE mask = 1 AND fg = 1)" + flood("hit", "") +
         ", hs AS (SELECT image_id, max(n) AS largest FROM (SELECT image_id, region, count(*) AS n FROM hit GROUP BY ALL) GROUP BY image_id)"
@@ -404,10 +413,6 @@ SQL |= {
         ", cells AS (SELECT image_id, y, x, score, gt_mask FROM map), fgs AS (SELECT image_id, y, x, fg FROM map)"
         ", runs AS (SELECT image_id, category AS obj, image_score AS score, label FROM " + tail(_MASKED, 0.25) + " JOIN im USING (image_id))"
         + assembly(4, 5) + " SELECT obj AS category, 'zero_shot' AS method_name, metrics.* EXCLUDE (obj) FROM metrics"),
-    "multi_experiment": recursive(pixels(
-        ", cells AS (SELECT image_id, y, x, score, gt_mask FROM pixels UNION ALL SELECT image_id + 1000000, y, x, -score, gt_mask FROM pixels), fgs AS (SELECT image_id, y, x, 1 AS fg FROM cells)"
-        ", im AS (SELECT image_id, max(score) AS score, max(gt_mask) AS label, CASE WHEN image_id >= 1000000 THEN 'turned' ELSE 'plain' END AS obj FROM cells GROUP BY image_id), runs AS (SELECT image_id, obj, score, label FROM im)"
-        + assembly(20, 20) + " SELECT obj AS experiment, aupro AS au_pro, auroc FROM metrics")),
     "summary_table": results((_KNOWN := ", k AS (SELECT object_name, method_name, " + ", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in ("auroc", "aupro", "pixel_auroc", "pixel_f1", "mean_iou")) + ", coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0) AS cls_accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS cls_precision, coalesce(tp / nullif(tp + fn, 0), 0) AS cls_recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS cls_f1, tp, fp, fn, tn FROM results)") + " SELECT method_name, round(stddev_pop(auroc), 6) AS std_auroc, round(stddev_pop(aupro), 6) AS std_aupro, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in _NINE) + ", sum(tp)::BIGINT AS total_tp, sum(fp)::BIGINT AS total_fp, sum(fn)::BIGINT AS total_fn, sum(tn)::BIGINT AS total_tn, count(*) AS n_objects FROM k GROUP BY method_name"),
     "summary_with_undefined": results(" SELECT method_name, bool_or(object_name = 'obj03') AS undefined, round(avg(aupro) FILTER (NOT isnan(aupro)), 6) AS mean_aupro FROM results GROUP BY method_name"),
     "per_object_table": results(_KNOWN + " SELECT object_name, method_name, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NINE) + ", tp AS cls_tp, fp AS cls_fp, fn AS cls_fn, tn AS cls_tn FROM k"),
@@ -419,6 +424,43 @@ SQL |= {
     "few_shot_dataset": catalog(", f AS (SELECT * FROM catalog WHERE regexp_matches(name, '[.](png|jpg|jpeg)$')) SELECT category, 'reference' AS role, path, 0 AS label, 0 AS mask_area FROM (SELECT * FROM f WHERE split = 'train' QUALIFY row_number() OVER (PARTITION BY category ORDER BY name) <= 8) UNION ALL SELECT category, 'test', path, label, CASE WHEN label = 1 AND left(name, 8)::INT % 3 <> 0 THEN right(left(name, 8), 4)::INT + 1 ELSE 0 END FROM f WHERE split = 'test'"),
 }
 
+_SIZES = "(SELECT a::INT AS a, b::INT AS b, n FROM range(0, 20) s(a), range(0, 20) t(b), (SELECT unnest([10, 20]) AS n) WHERE a < n)"
+SQL["experiment_metrics_gmm"] = recursive(pixels(
+    ", cells AS (SELECT image_id, y, x, score, gt_mask FROM pixels), fgs AS (SELECT image_id, y, x, 1 AS fg FROM pixels)"
+    ", runs AS (SELECT image_id, (image_id // 3 % 2)::INT AS obj, image_score AS score, label FROM " + tail("pixels", 0.01) + " JOIN (SELECT image_id, max(gt_mask) AS label FROM pixels GROUP BY ALL) USING (image_id))"
+    + assembly(20, 20, mixture(4) + ", seg AS (SELECT image_id, y, x, gt_mask, mask FROM pixels JOIN gmm USING (image_id, y, x))") + " SELECT obj AS object, metrics.* EXCLUDE (obj) FROM metrics"))
+SQL["mixed_grid_run"] = recursive(with_tables(
+    _LOO + _FG + ", map AS (SELECT fgm.image_id, fgm.vec_id, y, x, fg, CASE WHEN fg = 1 THEN loo.score ELSE 0.0 END AS score FROM fgm JOIN loo USING (vec_id))"
+    ", tr AS (SELECT image_id, y, x, gt_mask, CASE WHEN image_id % 2 = 0 THEN 20 ELSE 10 END AS h FROM pixels WHERE image_id % 2 = 0 OR y < 10)"
+    + resized("map", "ua", 4, 5, 20, 20, "score") + resized("map", "ub", 4, 5, 10, 20, "score") +
+    ", cells AS (SELECT image_id, y, x, u.score, gt_mask FROM tr JOIN (SELECT * FROM ua WHERE image_id % 2 = 0 UNION ALL SELECT * FROM ub WHERE image_id % 2 = 1) u USING (image_id, y, x))"
+    f", fgs AS (SELECT image_id, a AS y, b AS x, fg FROM map JOIN {_SIZES} z ON map.y = a * 4 // n AND map.x = b * 5 // 20 AND n = CASE WHEN image_id % 2 = 0 THEN 20 ELSE 10 END)"
+    ", runs AS (SELECT image_id, (image_id // 2 % 2)::INT AS obj, image_score AS score, label FROM " + tail(_MASKED, 0.25) + " JOIN (SELECT image_id, max(gt_mask) AS label FROM tr GROUP BY ALL) USING (image_id))"
+    + assembly(20, 20, smoothed("map", "sm", 4, 5) + ", rq AS (SELECT sm.image_id, quantile_cont(value, 0.95) AS cut FROM sm JOIN map USING (image_id, y, x) WHERE score <> 0 GROUP BY ALL)"
+               ", ms AS (SELECT image_id, map.y, map.x, (score <> 0 AND value > cut)::INT AS mask FROM map JOIN sm USING (image_id, y, x) LEFT JOIN rq USING (image_id))"
+               ", seg AS (SELECT tr.image_id, tr.y, tr.x, gt_mask, mask FROM tr JOIN ms ON ms.image_id = tr.image_id AND ms.y = tr.y * 4 // h AND ms.x = tr.x * 5 // 20)")
+    + " SELECT obj AS object, metrics.* EXCLUDE (obj) FROM metrics", "patches", "pixels"))
+
+
+def official(of: str, columns: str) -> str:
+    """The exact curve's area and the images' AUROC for each value of the key `of`, from the pixels as they are and turned over."""
+    return recursive(pixels(
+        ", gr(image_id, root, y, x) AS (SELECT image_id, y * 20 + x, y, x FROM pixels WHERE gt_mask = 1 UNION SELECT r.image_id, r.root, q.y, q.x FROM gr r JOIN pixels q ON q.image_id = r.image_id AND q.gt_mask = 1 AND abs(q.y - r.y) <= 1 AND abs(q.x - r.x) <= 1)"
+        ", gg AS (SELECT image_id, y, x, min(root) AS region FROM gr GROUP BY ALL), gs AS (SELECT *, count(*) OVER (PARTITION BY image_id, region) AS n FROM gg)"
+        f", ex AS (SELECT {of} AS k, p.*, t.experiment, t.experiment_score AS s FROM pixels p, LATERAL (SELECT 'plain' AS experiment, p.score AS experiment_score UNION ALL SELECT 'turned', -p.score) t)"
+        ", v AS (SELECT k, s, sum((gt_mask = 0)::INT) AS ok, sum(CASE WHEN gt_mask = 1 THEN 1.0::DOUBLE / gs.n ELSE 0 END) AS hit FROM ex LEFT JOIN gs USING (image_id, y, x) GROUP BY k, s)"
+        ", nr AS (SELECT k, count(*) AS n_regions FROM (SELECT DISTINCT k, image_id, region FROM ex JOIN gs USING (image_id, y, x)) GROUP BY k)"
+        ", cu AS (SELECT k, s AS threshold, least(1.0, sum(ok) OVER w / sum(ok) OVER (PARTITION BY k))::DOUBLE AS x, least(1.0, sum(hit) OVER w / n_regions)::DOUBLE AS y FROM v JOIN nr USING (k) WINDOW w AS (PARTITION BY k ORDER BY s DESC) UNION ALL SELECT k, 'infinity'::DOUBLE, 0, 0 FROM nr)"
+        ", ar AS (SELECT k, sum(CASE WHEN x > 0.3 THEN (0.3 - x0) * (y0 + y0 + (y - y0) * (0.3 - x0) / (x - x0)) / 2 ELSE (x - x0) * (y + y0) / 2 END) / 0.3 AS au_pro FROM (SELECT k, x, y, lag(x) OVER o AS x0, lag(y) OVER o AS y0 FROM cu WINDOW o AS (PARTITION BY k ORDER BY threshold DESC)) WHERE x0 < 0.3 GROUP BY k)"
+        ", im AS (SELECT k, image_id, max(s) AS score, max(gt_mask) AS label FROM ex GROUP BY k, image_id), ks AS (SELECT DISTINCT k FROM im)"
+        f", au AS (SELECT a.k, {_PAIRS_AUROC} AS auroc FROM im a JOIN im b ON a.k = b.k AND a.label = 1 AND b.label = 0 GROUP BY a.k)"
+        f" SELECT {columns}, round(au_pro, 6) AS au_pro, round(auroc, 6) AS auroc FROM ks LEFT JOIN ar USING (k) LEFT JOIN au USING (k)"
+    ))
+
+
+SQL["multi_experiment"] = official("t.experiment", "k AS experiment")
+SQL["object_experiment"] = official("t.experiment || '/' || p.image_id % 7", "split_part(k, '/', 1) AS experiment, split_part(k, '/', 2)::INT AS object")
+
 _TOY = "WITH t AS (SELECT i // 100 AS image_id, (i % 100 // 10)::INT AS y, (i % 10)::INT AS x, ('0x' || left(md5('0/' || i), 8))::BIGINT / 4294967296.0::DOUBLE AS score FROM range(0, 2000) r(i)), toy AS (SELECT *, (y < 3 AND x < 3)::INT AS gt_mask FROM t)"
 SQL["toy_dataset"] = _TOY + " SELECT image_id, y, x, round(score, 6) AS score, gt_mask FROM toy"
 SQL["toy_curve_areas"] = (

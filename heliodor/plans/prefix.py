@@ -25,19 +25,21 @@ def _dealt(df: DataFrame, order: str, parts: int | None) -> DataFrame:
     return df.withColumn("_bucket", order_bucket(F.col(order).cast("double"), splits))
 
 
-def previous(df: DataFrame, order: str, columns: dict[str, str], descending: bool = False, parts: int | None = None) -> DataFrame:
-    """Adds, for each new name, a column's value in the row before in a numeric order without ties; null in the first row.
+def previous(df: DataFrame, order: str, columns: dict[str, str], descending: bool = False, keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """Adds, for each new name, a column's value in the row before in a numeric order without ties; null in the first row. With keys, in the row before of the same key.
 
-    Within a range of the order it is the row before; the first row of a range takes the last row of the range before.
+    Within a range of the order it is the row before; the first row of a range takes the last row of the nearest range before
+    that has rows, of the same key. So a key's rows are in as many tasks as ranges, and only one row a range and key is carried.
     """
     t = _dealt(df, order, parts)
+    by = [*keys, "_bucket"]
     last = (F.min_by if descending else F.max_by)(F.struct(*columns.values()), F.col(order))
     way = (lambda c: F.col(c).desc()) if descending else F.col
-    ends = t.groupBy("_bucket").agg(last.alias("_last"))
-    ends = ends.select("_bucket", F.lag("_last").over(Window.orderBy(way("_bucket"))).alias("_carried"))  # a row for each range
-    inner = Window.partitionBy("_bucket").orderBy(way(order))
+    ends = t.groupBy(*by).agg(last.alias("_last"))
+    ends = ends.select(*by, F.lag("_last").over(Window.partitionBy(*keys).orderBy(way("_bucket"))).alias("_carried"))  # a row for each range (and key)
+    inner = Window.partitionBy(*by).orderBy(way(order))
     first = F.row_number().over(inner) == 1
-    t = t.join(F.broadcast(ends), "_bucket")
+    t = t.join(ends if keys else F.broadcast(ends), by)
     return t.withColumns({n: F.when(first, F.col(f"_carried.{c}")).otherwise(F.lag(c).over(inner)) for n, c in columns.items()}).drop("_bucket", "_carried")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import vectors as V
-from ..operators import curves, detect, evaluate, grid, knn, results, segment
+from ..operators import curves, detect, evaluate, grid, index, knn, results, segment
 from ..sources import catalog, records, tables, toy
 from .session import kept
 
@@ -119,6 +119,35 @@ def knn_score_k3(s, d):
     return r6(knn_scores(s, d, 3), "score")
 
 
+@query
+def index_knn_scores(s, d):
+    """The exact scores by the neighbour index, with whether a query met no more rows than there are."""
+    of = bank(s, d)
+    found = index.mean_scores(index.search(index.build(of), probes(s, d), 3))
+    n = of.agg(F.count("*").alias("n"))
+    return r6(found.join(F.broadcast(n)).select(F.col("query_id").alias("vec_id"), "score", (F.col("n_visited") <= F.col("n")).alias("bounded")), "score")
+
+
+@query
+def index_visits(s, d):
+    """How many pairs the index compared, exactly and with as few cells as reach a recall of 0.9, and the recall of the latter over all queries."""
+    at = index.build(bank(s, d))
+    q = kept(probes(s, d), "probes")
+    exact = kept(index.search(at, q, 3), "exact")
+    few = kept(index.search(at, q, 3, index.probes_for(at, q, 3, 0.9)), "few")
+    total = exact.agg(F.sum("n_visited").alias("exact_pairs")).join(F.broadcast(few.agg(F.sum("n_visited").alias("approximate_pairs"))))
+    return index.recall(exact, few).join(F.broadcast(total)).withColumn("all_pairs", F.col("n_queries") * int(at.sizes.sum())).select("n_queries", F.round("recall", 6).alias("recall"), "approximate_pairs", "exact_pairs", "all_pairs")
+
+
+@query
+def tile_plan(s, d):
+    """How the leave-one-out search and the search of a few neighbours are cut into blocks by category, and what they move."""
+    t = tables.patches(s, d).withColumn("category", F.expr("if(image_id % 3 > 0, 0, category)"))
+    q, b = detect.queries(t), detect.memory_bank(t.filter("label < 5"))
+    plan = knn.tiles(q, b, ("category",), 64)
+    return plan.withColumn("moved", F.col("n_query") * F.col("b_blocks") + F.col("n_bank") * F.col("q_blocks"))
+
+
 @query
 def zero_shot_loo_scores(s, d):
     return r6(loo_scores(s, d), "score")
@@ -484,8 +513,7 @@ def iou_per_image(s, d):
 @query
 def official_eval(s, d):
     """Exact AU-PRO up to 0.3, and AUROC of the greatest cell as image score."""
-    images = tables.pixels(s, d).groupBy("image_id").agg(F.max("score").alias("score"), F.max("gt_mask").alias("label"))
-    return r6(exact_au_pro(s, d).withColumnRenamed("area", "au_pro").join(F.broadcast(curves.auroc(images))), "au_pro", "auroc")
+    return r6(evaluate.official(tables.pixels(s, d)), "au_pro", "auroc")
 
 
 ROUNDED = ("auroc", "aupro", "pixel_auroc", "pixel_f1", "mean_iou", "cls_accuracy", "cls_precision", "cls_recall", "cls_f1")
@@ -502,6 +530,25 @@ def experiment_metrics(s, d):
     return r6(evaluate.evaluate(t, images, fg, ("object",)), *ROUNDED)
 
 
+@query
+def experiment_metrics_gmm(s, d):
+    """The same with masks from two normal components, without foregrounds."""
+    t = tables.pixels(s, d)
+    images = knn.tail_mean(t, "image_id").join(t.groupBy("image_id").agg(F.max("gt_mask").alias("label")), "image_id")
+    images = images.withColumn("object", F.expr("cast(image_id div 3 % 2 as int)"))
+    return r6(evaluate.evaluate(t, images, t.select("image_id", "y", "x", F.lit(1).alias("fg")), ("object",), "gmm"), *ROUNDED)
+
+
+@query
+def mixed_grid_run(s, d):
+    """Thirteen metrics of patch maps against truths of other sizes: 20 x 20 of even images, 10 x 20 of odd ones."""
+    found = kept(detect.zero_shot(tables.patches(s, d), "pca", 0.02), "patch-maps")
+    truth = tables.pixels(s, d).filter("image_id % 2 = 0 or y < 10").select("image_id", "y", "x", "gt_mask")
+    images = detect.image_scores(found, 0.25).join(truth.groupBy("image_id").agg(F.max("gt_mask").alias("label")), "image_id")
+    maps = found.select("image_id", F.col("gy").alias("y"), F.col("gx").alias("x"), "score", "fg")
+    return r6(evaluate.evaluate_maps(maps, truth, images.withColumn("object", F.expr("cast(image_id div 2 % 2 as int)")), ("object",)), *ROUNDED)
+
+
 def labelled_patches(s, d):
     """Patches with the truth of their cells, and the images' labels."""
     t = tables.patches(s, d).withColumn("gt_mask", F.expr("cast(label >= 8 and image_id % 2 = 1 as int)"))
@@ -524,12 +571,23 @@ def zero_shot_run(s, d):
     return r6(evaluate.run_zero_shot(*labelled_patches(s, d), "pca", 0.02, 0.25), *ROUNDED)
 
 
+def two_experiments(s, d):
+    """The maps as they are, and turned over, of the same images."""
+    t = tables.pixels(s, d)
+    return t.withColumn("experiment", F.lit("plain")).unionByName(t.withColumns({"experiment": F.lit("turned"), "score": -F.col("score")}))
+
+
 @query
 def multi_experiment(s, d):
-    """Two experiments side by side: the maps as they are, and turned over."""
-    t = tables.pixels(s, d)
-    both = t.withColumn("experiment", F.lit("plain")).unionByName(t.withColumns({"experiment": F.lit("turned"), "score": -F.col("score"), "image_id": F.col("image_id") + 1_000_000}))
-    return r6(evaluate.run_experiments(both), "au_pro", "auroc")
+    """The official evaluation of two experiments side by side."""
+    return r6(evaluate.run_experiments(two_experiments(s, d)), "au_pro", "auroc")
+
+
+@query
+def object_experiment(s, d):
+    """The official evaluation of each object of each of two experiments; most objects have few images."""
+    t = two_experiments(s, d).withColumn("object", F.expr("cast(image_id % 7 as int)"))
+    return r6(evaluate.run_experiments(t, ("experiment", "object")), "au_pro", "auroc")
 
 
 def confusion(t):
