@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import bilinear, gaussian, turn
+from ..functions.kernels import bilinear, gaussian, prepared, turn
 
 
 def to_grid(pdf: pd.DataFrame, column: str) -> np.ndarray:
@@ -41,6 +41,29 @@ def turned(cells: DataFrame, angles: tuple[int, ...], column: str, border: str =
     return cells.select("image_id", "y", "x", column).groupBy("image_id").applyInPandas(run, "image_id bigint, angle int, y int, x int, value double")
 
 
+#: Means and deviations of the three channels of natural images, as vision models expect them.
+CHANNELS = {"red": (0.485, 0.229), "green": (0.456, 0.224), "blue": (0.406, 0.225)}
+
+
+def image_patches(cells: DataFrame, edge: int, patch: int, channels: dict[str, tuple[float, float]] = CHANNELS, top: float = 255.0) -> DataFrame:
+    """(image_id, grid_h, grid_w, patch_id, y, x, channels): pixels of images made ready, with their patch; y and x are places in the patch.
+
+    Each channel is a column of the cells, resampled by cubic convolution so that the shorter side has `edge` pixels, cropped to
+    whole patches and standardised by its mean and deviation. An image whose sides are below one patch after that has no rows.
+    """
+    names = list(channels)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [prepared(to_grid(pdf, c), edge, patch, *channels[c], top) for c in names]
+        h, w = out[0].shape
+        y, x = (v.ravel() for v in np.mgrid[:h, :w])
+        at = {"grid_h": h // patch, "grid_w": w // patch, "patch_id": y // patch * (w // patch) + x // patch, "y": y % patch, "x": x % patch}
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0]} | {k: np.broadcast_to(v, y.shape).astype("int32") for k, v in at.items()} | {c: o.ravel() for c, o in zip(names, out, strict=True)})
+
+    t = cells.select("image_id", "y", "x", *[F.col(c).cast("double").alias(c) for c in names])
+    return t.groupBy("image_id").applyInPandas(run, "image_id bigint, grid_h int, grid_w int, patch_id int, y int, x int, " + ", ".join(f"{c} double" for c in names))
+
+
 def upsampled_mask(saliency: np.ndarray, h: int, w: int, percentile: float = 70, sigma: float = 4.0) -> np.ndarray:
     """What lies above a percentile of a map that is brought to h x w and smoothed."""
     smooth = gaussian(bilinear(saliency, h, w), sigma)

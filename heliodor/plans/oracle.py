@@ -442,6 +442,22 @@ SQL["mixed_grid_run"] = recursive(with_tables(
     + " SELECT obj AS object, metrics.* EXCLUDE (obj) FROM metrics", "patches", "pixels"))
 
 
+def cubic_axis(n_out: int, n_in: int) -> str:
+    """(i, k, w): the weight of place k of an axis in place i of the axis resampled by cubic convolution."""
+    scale = f"{n_in / n_out!r}::DOUBLE"
+    return (
+        f"(SELECT i, k, v / sum(v) OVER (PARTITION BY i) AS w FROM (SELECT i, k, CASE WHEN d < 1 THEN 1.5 * d * d * d - 2.5 * d * d + 1 WHEN d < 2 THEN -0.5 * d * d * d + 2.5 * d * d - 4 * d + 2 ELSE 0 END::DOUBLE AS v"
+        f" FROM (SELECT i::INT AS i, k::INT AS k, abs((k + 0.5 - (i + 0.5) * {scale}) / greatest({scale}, 1))::DOUBLE AS d FROM range(0, {n_out}) a(i), range(0, {n_in}) b(k))))"
+    )
+
+
+SQL["image_prep"] = pixels(
+    ", p AS (SELECT image_id, y, x, score AS red, score / 2 + x AS green, gt_mask * 255.0::DOUBLE AS blue FROM pixels WHERE y < 14)"
+    f", v AS (SELECT image_id, a.i AS y, b.i AS x, sum(a.w * b.w * red) AS red, sum(a.w * b.w * green) AS green, sum(a.w * b.w * blue) AS blue FROM p JOIN {cubic_axis(9, 14)} a ON a.k = y JOIN {cubic_axis(12, 20)} b ON b.k = x WHERE a.i < 8 GROUP BY ALL)"
+    " SELECT image_id, 2 AS grid_h, 3 AS grid_w, (y // 4 * 3 + x // 4)::INT AS patch_id, (y % 4)::INT AS y, (x % 4)::INT AS x, round((red / 255 - 0.485) / 0.229, 6) AS red, round((green / 255 - 0.456) / 0.224, 6) AS green, round((blue / 255 - 0.406) / 0.225, 6) AS blue FROM v"
+)
+
+
 def official(of: str, columns: str) -> str:
     """The exact curve's area and the images' AUROC for each value of the key `of`, from the pixels as they are and turned over."""
     return recursive(pixels(

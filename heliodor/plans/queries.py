@@ -102,6 +102,13 @@ def patch_grid_geometry(s, d):
     return t.select("p_partkey", *[c.alias(n) for n, c in V.patch_geometry(F.col("h"), F.col("w"), 640, 16).items()])
 
 
+@query
+def image_prep(s, d):
+    """Images of 14 x 20 pixels in three channels, made ready: 9 x 12 by cubic resampling, cropped to 8 x 12, six patches of 4 x 4."""
+    t = tables.pixels(s, d).filter("y < 14").withColumns({"red": F.col("score"), "green": F.col("score") / 2 + F.col("x"), "blue": F.col("gt_mask") * 255})
+    return r6(grid.image_patches(t, 9, 4), "red", "green", "blue")
+
+
 @query
 def rotation_fanout(s, d):
     t = tables.patches(s, d).select("vec_id", "gy", "gx", F.explode(F.expr("sequence(0, 315, 45)")).alias("angle"))
