@@ -12,7 +12,7 @@ the character of its first byte to the character of its last byte, which it reac
 the tokens of a split character all span it.
 
 Defined results: a null or empty text has no ids; repeated rows give the same ids; other columns are not read; an id
-outside the vocabulary raises KeyError.
+outside the vocabulary raises IndexError.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ Texts of one shingle set are one point.
    window would be the whole space). The first cut is therefore by tokens that linked points must share: a set's hashes
    are cut into buckets of the hash range, and a bucket's whole content is one token. Linked sets differ in at most
    tau = |A| (1 - t) / t hashes, hence in at most tau tokens, so by the prefix argument the first tau + 1 tokens of each,
-   in a common order (fuller buckets first, as they are rarer), have one in common. The number of buckets depends on a
-   size class; a set gives tokens for its own class and for that of its largest possible partner. The argument fails
+   in a common order, have one in common. In this order tokens that very many points would offer stand last (HOT_KEY, at most
+   HOT_KEYS of them, found by counting what is offered, again with the hot ones last, until no new ones come up), and fuller
+   buckets first, as they are rarer. The number of buckets depends on a size class; a set gives tokens for its own class and for that of its largest possible partner. The argument fails
    only where both sets have fewer than tau + 1 filled buckets; such thin sets also give the first tau + 1 of their
    single hashes, of which two linked ones have one in common. Small sets give single hashes only. All points that share
    a token, named after their smallest id, are a top region, so each linked pair is inside one.
@@ -22,8 +23,9 @@ Texts of one shingle set are one point.
    one task by the same recursion in memory, down to leaves of LEAF points compared by their sets. Larger ones
    take a distributed round: slices of SLICE points, each with the region's pivots, give rows of smaller regions.
 5. Where pivots do not separate (cells keep most of their region, as among unlike texts that share one hot shingle),
-   the region is joined as it is: in pairs of slices, whose pairs of points are thinned by labels, sizes and
-   sketches, bits for 2,048 ranges of hashes of which one hash changes at most one; then by their sets.
+   the region is joined as it is: in pairs of slices. A first pass moves sketches only, bits for 2,048 ranges of hashes of
+   which one hash changes at most one, and thins by labels, sizes and sketches; texts move for points that are left with a
+   partner, and are compared by their sets.
 
 Every linked pair is compared or has one label already, so the components are exact. Distances are computed from whole
 texts as sets of 64-bit shingle hashes. Skew: copies are one point; rows of a hot token or class are dealt to many tasks
@@ -53,7 +55,9 @@ from .components import components
 LEAST_CLASS, SLICE, BROADCAST_IDS, SKETCH = 16, 2_000, 1_000_000, 2048
 #: A task finishes regions of up to so many points and shingles; a region takes about PIVOTS pivots.
 FIT_POINTS, FIT_SHINGLES, FEW, LEAF, PIVOTS = 2_000, 2_000_000, 16, 24, 24
-SIGNED = "doc_id bigint, n_shingles bigint, set_hash binary, keys array<bigint>"
+#: A token that more points offer is hot; so many of the hottest stand last in the order; after so many rounds of counting the order stays.
+HOT_KEY, HOT_KEYS, HOT_ROUNDS = 2_000, 50_000, 6
+SIGNED = "doc_id bigint, n_shingles bigint, set_hash binary, keys array<bigint>, cuts array<int>"
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -78,8 +82,8 @@ def size_class(size: int) -> int:
     return -1 if size < LEAST_CLASS else (size // LEAST_CLASS).bit_length() - 1
 
 
-def signature_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Tokens of a sorted hash set, of which two linked sets have one in common."""
+def token_lists(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:
+    """Lists of tokens of a sorted hash set, in order, each with the number of its first ones that go into the signature."""
     n, out = len(s), []
     tau = most_different(n, num, den)
     single = False
@@ -94,30 +98,88 @@ def signature_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         fill = np.diff(np.append(starts, n))
         with np.errstate(over="ignore"):
             tokens = mix(np.add.reduceat(mix(s), starts) + bucket[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c + 1))
-        out.append(tokens[np.lexsort((tokens, -fill))][: tau + 1])
+        out.append((tokens[np.lexsort((tokens, -fill))], tau + 1))
         single |= len(tokens) <= tau
     if single:
-        out.append(np.sort(mix(s ^ np.uint64(0x5EED)))[: tau + 1])
-    return np.concatenate(out)
+        out.append((np.sort(mix(s ^ np.uint64(0x5EED))), tau + 1))
+    return out
+
+
+def first_tokens(lists: list[tuple[np.ndarray, int]], hot: np.ndarray) -> np.ndarray:
+    """The signature's tokens: the first of each list, hot ones last."""
+    if len(hot):
+        last = [np.isin(t, hot) for t, _ in lists]
+        lists = [(np.concatenate([t[~h], t[h]]), k) for (t, k), h in zip(lists, last, strict=True)]
+    return np.concatenate([t[:k] for t, k in lists])
+
+
+def signature_keys(s: np.ndarray, num: int, den: int, hot: np.ndarray = np.empty(0, np.uint64)) -> np.ndarray:
+    """Tokens of a sorted hash set, of which two linked sets have one in common."""
+    return first_tokens(token_lists(s, num, den), hot)
+
+
+def _lists(values: list[np.ndarray], kind: type) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0, kind)))
 
 
 def _sign(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """Sizes, set hashes and token lists; cuts has the length of each list and how many of it are used."""
         cache = word_hashes()
         for batch in batches:
-            sizes, hashes, keys = [], [], []
+            sizes, hashes, keys, cuts = [], [], [], []
             for text in text_bytes(batch.column(1)):
                 s = shingle_set(text, n, cache)
                 sizes.append(len(s))
                 hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append(signature_keys(s, num, den).view(np.int64) if len(s) else np.empty(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "n_shingles", "set_hash", "keys"])
+                lists = token_lists(s, num, den) if len(s) else []
+                keys.append(np.concatenate([t for t, _ in lists]).view(np.int64) if lists else np.empty(0, np.int64))
+                cuts.append(np.array([x for t, k in lists for x in (len(t), k)], np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), _lists(keys, np.int64), _lists(cuts, np.int32)], names=["doc_id", "n_shingles", "set_hash", "keys", "cuts"])
 
     return run
 
 
+def _offered(hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """Rows (id, size, keys, cuts) to their signatures' tokens."""
+        for batch in batches:
+            keys, cuts = batch.column(2), batch.column(3)
+            flat, at = keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64), 0
+            out = []
+            for lengths in cuts.to_pylist():
+                lists = []
+                for size, used in zip(lengths[::2], lengths[1::2], strict=True):
+                    lists.append((flat[at : at + size], used))
+                    at += size
+                out.append(first_tokens(lists, hot).view(np.int64) if lists else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(out, np.int64)], names=["id", "size", "keys"])
+
+    return run
+
+
+def offered_tokens(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows (id, size, key), shared keys (key, rows, region)) of points (id, size, keys, cuts); hot tokens stand last in all lists.
+
+    What reaches the driver are at most HOT_KEYS tokens in all, whatever the rows; any order that is the same for all points is right.
+    """
+    hot = np.empty(0, np.uint64)
+    for left in reversed(range(HOT_ROUNDS)):
+        tokens = map_arrow(single, _offered(hot), "id bigint, size bigint, keys array<bigint>").select("id", "size", F.explode("keys").alias("key"))
+        shared = written(tokens.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("region")).filter("rows > 1"), "shared-tokens")
+        room = HOT_KEYS - len(hot)
+        if not left or room <= 0:
+            break
+        new = [r["key"] for r in shared.filter(F.col("rows") > HOT_KEY).orderBy(F.desc("rows"), "key").limit(room + len(hot)).collect()]
+        grown = np.union1d(hot, np.array(new, np.int64).view(np.uint64))
+        if len(grown) == len(hot):
+            break
+        hot = grown[:HOT_KEYS] if len(grown) > HOT_KEYS else grown
+        discard(shared)
+    return tokens, shared
+
+
 # the metric
 
 
@@ -353,6 +415,44 @@ def _meet(n: int, num: int, den: int):
     return run
 
 
+SLICED = "region bigint, sa int, sb int, slice int, id bigint, label bigint, own boolean"
+
+
+def _sketch(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """(id, text) to (id, size, sketch)."""
+        cache = word_hashes()
+        for batch in batches:
+            sets = [shingle_set(t, n, cache) for t in text_bytes(batch.column(1))]
+            bits = np.packbits(sketches(sets), axis=1) if sets else np.empty((0, SKETCH // 8), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([b.tobytes() for b in bits], pa.binary())], names=["id", "size", "sketch"])
+
+    return run
+
+
+def _hopeful(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """Rows (SLICED, size, sketch), each pair of slices together, to the rows that have a partner they may link with."""
+        fields = [c.split() for c in SLICED.split(", ")]
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        rows_of = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (_, sa, sb), group in groupby(rows_of, key=lambda r: r[:3]):
+            rows = [r for r in group if r[7]]
+            left, right = ([r for r in rows if r[3] == s] for s in (sa, sb))
+            if not left or not right:
+                continue
+            bits = lambda side: np.unpackbits(np.frombuffer(b"".join(r[8] for r in side), np.uint8).reshape(len(side), -1), axis=1).astype(np.float32)
+            of = lambda side: (np.array([r[5] for r in side], np.int64), np.array([r[7] for r in side]), bits(side))
+            kept = set()
+            for x, y in close_pairs(of(left), of(right), num, den):
+                if left[x][4] != right[y][4] and (left[x][6] or right[y][6]):
+                    kept |= {left[x][:7], right[y][:7]}
+            out = sorted(kept)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+    return run
+
+
 # the join of regions
 
 
@@ -408,7 +508,12 @@ def region_links(rows: DataFrame, texts: DataFrame, n: int, num: int, den: int)
         was_own = points.select("region", "id", F.col("own").alias("was_own")).groupBy("region", "id").agg(F.max("was_own").alias("was_own"))
         whole = spread_join(found.filter("own").select("region", "id", "label"), bad, ["region"], "n").join(was_own, ["region", "id"])
         whole = whole.select("region", "id", "label", F.col("was_own").alias("own"))
-        pairs = _slice_pairs(written(whole, "unsplit-points"))
+        whole = written(whole, "unsplit-points")
+        wanted = texts.join(whole.select("id").distinct(), "id", "left_semi").select("id", "text")
+        sketched = written(map_arrow(wanted, _sketch(n), "id bigint, size bigint, sketch binary"), "sketches")
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = _slice_pairs(whole).join(sketched, "id").repartition(parts, "region", "sa", "sb").sortWithinPartitions("region", "sa", "sb", "slice", "id")
+        pairs = written(map_arrow(pairs.select(*[c.split()[0] for c in SLICED.split(", ")], "size", "sketch"), _hopeful(num, den), SLICED), "hopeful-points")
         pairs = _with_texts(pairs, texts, ["region", "sa", "sb"], ["region", "sa", "sb", "slice", "id"], ["region", "sa", "sb", "slice", "id", "label", "own"])
         out.append(written(map_arrow(pairs, _meet(n, num, den), "a bigint, b bigint"), "links"))
         going = written(cell.join(bad.select("region"), "region", "left_anti"), "next-cells")
@@ -427,7 +532,7 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         raise ValueError("the least similarity must be above one half")
     t = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = written(map_arrow(t, _sign(n, num, den), SIGNED), "signatures")
-    slim = written(signed.drop("keys"), "set-hashes")
+    slim = written(signed.drop("keys", "cuts"), "set-hashes")
     known = "doc_id is not null and n_shingles > 0"
     points = written(slim.filter(known).groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")), "points")
     # rows of one doc_id with different sets: their points are linked, and texts that are repeated are met once
@@ -442,9 +547,9 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     copies = spread_join(slim.filter(known), points.filter("rows > 1"), ["set_hash"], "rows").filter("doc_id <> id").select("doc_id", "set_hash").distinct()
     copies = written(copies, "copies")
-    tokens = signed.filter(known).join(_light(copies), ["doc_id", "set_hash"], "left_anti").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
-    shared = tokens.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("region")).filter("rows > 1")
-    rows = spread_join(tokens, written(shared, "shared-tokens"), ["key"], "rows")
+    single = signed.filter(known).join(_light(copies), ["doc_id", "set_hash"], "left_anti")
+    tokens, shared = offered_tokens(single.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "keys", "cuts"))
+    rows = spread_join(tokens, shared, ["key"], "rows")
     rows = rows.groupBy("region", "id").agg(F.max("size").alias("size"))
     rows = written(rows.select("region", "id", F.col("id").alias("label"), F.lit(True).alias("own"), "size"), "regions")
     discard(signed)
