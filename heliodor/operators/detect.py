@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import vectors as V
-from . import knn
+from . import guard, knn
 from .grid import to_grid
 
 
@@ -57,15 +57,38 @@ def foreground(patches: DataFrame, method: str | None = "pca", parts: int = 1, a
         raise ValueError(f"unknown aggregation: {aggregation}")
     if method is None:
         return patches.select("vec_id", "image_id", "gy", "gx", F.lit(1).alias("fg"))
+    t = patches.select("vec_id", "image_id", "gy", "gx", "embedding")
+    return t.groupBy("image_id").applyInPandas(mask_patches(method, parts, aggregation, percentile, sigma), FOREGROUND)
+
+
+FOREGROUND = "vec_id bigint, image_id bigint, gy int, gx int, fg int"
+
+
+def mask_patches(method: str | None, parts: int = 1, aggregation: str = "first", percentile: float = 70, sigma: float = 4.0, strict: bool = False) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The function of one image's patches that gives its foreground; strict: vectors that are missing, of several lengths or not finite are an error."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if strict:
+            sizes = {-1 if v is None else len(v) for v in pdf["embedding"]}
+            if len(sizes) > 1 or -1 in sizes:
+                raise ValueError("patches without vectors" if -1 in sizes else f"vectors of {' and '.join(map(str, sorted(sizes)))} components in one image")
+            if not np.isfinite(np.stack(pdf["embedding"].to_numpy())).all():
+                raise ValueError("vectors with components that are not finite")
+        out = pdf[["vec_id", "image_id", "gy", "gx"]]
+        if method is None:
+            return out.assign(fg=np.int32(1))
         p = K.principal_axis(np.stack(pdf["embedding"].to_numpy()).astype(np.float64), parts)
         grid = to_grid(pd.DataFrame({"y": pdf["gy"], "x": pdf["gx"], "c": AGGREGATES[aggregation](p)}), "c")
         mask = K.foreground(grid) if method == "pca" else K.background_mask(grid, percentile, sigma)
-        return pdf[["vec_id", "image_id", "gy", "gx"]].assign(fg=mask[pdf["gy"], pdf["gx"]].astype("int32"))
+        return out.assign(fg=mask[pdf["gy"], pdf["gx"]].astype("int32"))
+
+    return run
+
 
+def guarded_foreground(patches: DataFrame, method: str | None = "pca", **options) -> DataFrame:
+    """The foreground with columns error and seconds (`guard.guarded`): an image that fails is a row with its error."""
     t = patches.select("vec_id", "image_id", "gy", "gx", "embedding")
-    return t.groupBy("image_id").applyInPandas(run, "vec_id bigint, image_id bigint, gy int, gx int, fg int")
+    return guard.guarded(t, "image_id", mask_patches(method, strict=True, **options), FOREGROUND)
 
 
 def foreground_details(patches: DataFrame) -> DataFrame:

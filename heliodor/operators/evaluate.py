@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..plans.session import kept
-from . import curves, detect, knn, results, segment
+from . import curves, detect, guard, knn, results, segment
 
 METRICS = ("auroc", "aupro", "pixel_auroc", "pixel_f1", "mean_iou", "cls_accuracy", "cls_precision", "cls_recall", "cls_f1")
 COUNTS = ("cls_tp", "cls_fp", "cls_fn", "cls_tn")
@@ -63,16 +65,18 @@ def split_images(images: DataFrame, shots: int) -> tuple[DataFrame, DataFrame]:
     return refs, images.join(refs, "image_id", "left_anti")
 
 
-def few_shot_grid(patches: DataFrame, images: DataFrame, shots: tuple[int, ...], neighbours: int = 3, method: str | None = "pca", share: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def few_shot_grid(patches: DataFrame, images: DataFrame, shots: tuple[int, ...], neighbours: int = 3, method: str | None = "pca", share: float = 0.01, masked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(maps, images) of all categories and shot counts at once: k is a column, and one search serves every k.
 
     The search is made once against the references of the largest k; each reference image gives a query its nearest few,
     and a run of k shots takes them from references of a rank of at most k. A category without references has no rows, as
     a cell of the grid that fails. maps: (image_id, y, x, score, gt_mask, fg), images: (image_id, category, method_name,
-    label, image_score); image ids are made unique for each run.
+    label, image_score); image ids are made unique for each run. masked: the foregrounds, if they are known.
     """
     refs, test = split_images(images, max(shots))
-    masked = kept(detect.foreground(patches.join(test, "image_id", "left_semi"), method), "foregrounds")
+    if masked is None:
+        masked = kept(detect.foreground(patches.join(test, "image_id", "left_semi"), method), "foregrounds")
+    masked = masked.join(test, "image_id", "left_semi")
     wanted = masked.filter("fg = 1").select(F.col("vec_id").alias("query_id"))
     q = detect.queries(patches).join(wanted, "query_id", "left_semi")
     bank = detect.memory_bank(patches.join(refs, "image_id", "left_semi")).join(refs, "image_id")
@@ -102,6 +106,75 @@ def run_few_shot(patches: DataFrame, images: DataFrame, shots: tuple[int, ...],
     return evaluate(maps.drop("fg"), runs, maps.select("image_id", "y", "x", "fg"), keys, segmentation)
 
 
+def run_grid(patches: DataFrame, images: DataFrame, shots: tuple[int, ...], method: str | None = "pca", segmentation: str = "percentile", **options) -> tuple[DataFrame, DataFrame]:
+    """(metrics, errors) of every category and shot count, where cells of the grid that fail are told instead of stopping the run.
+
+    errors: (category, method_name, stage, error, n_images), a row for each cell that failed: `patches` (the first error of an
+    image of the category by id, with the number of images that fail; a category whose images' vectors have several lengths
+    fails too) or `references` (none without a defect). metrics: all other cells, as `run_few_shot` gives them.
+    """
+    masked, wrong = guard.split(detect.guarded_foreground(patches.join(images, "image_id", "left_semi"), method), "guarded-foregrounds", "fg")
+    sizes = patches.select("image_id", "embedding").join(wrong.select("image_id"), "image_id", "left_anti").join(images.select("image_id", "category"), "image_id")
+    sizes = sizes.groupBy("category").agg(F.array_sort(F.collect_set(F.size("embedding"))).alias("sizes"), F.countDistinct("image_id").alias("n_images")).filter(F.size("sizes") > 1)
+    of_images = wrong.join(images.select("image_id", "category"), "image_id").groupBy("category").agg(F.min_by("error", "image_id").alias("error"), F.count("*").alias("n_images"))
+    of_sizes = sizes.select("category", F.concat(F.lit("ValueError: images with vectors of "), F.array_join(F.transform("sizes", lambda x: x.cast("string")), " and "), F.lit(" components")).alias("error"), "n_images")
+    of_sizes = of_sizes.join(of_images, "category", "left_anti")
+    refs, _ = split_images(images, max(shots))
+    lacking = images.groupBy("category").agg(F.count("*").alias("n_images")).join(refs.join(images.select("image_id", "category"), "image_id").select("category").distinct(), "category", "left_anti")
+    lacking = lacking.join(of_images.unionByName(of_sizes), "category", "left_anti").select("category", F.lit("references").alias("stage"), F.lit("no image without a defect").alias("error"), "n_images")
+    failed = of_images.unionByName(of_sizes).select("category", F.lit("patches").alias("stage"), "error", "n_images").unionByName(lacking)
+    failed = kept(failed, "failed-categories")
+    good = kept(images.join(failed, "category", "left_anti"), "good-images")
+    runs = F.explode(F.array(*[F.lit(f"{k}_shot") for k in shots]))
+    errors = failed.select("category", runs.alias("method_name"), "stage", "error", "n_images")
+    return run_few_shot(patches.join(good, "image_id", "left_semi"), good, shots, segmentation=segmentation, method=method, masked=masked, **options), errors
+
+
+def run_timed(patches: DataFrame, images: DataFrame, shots: int, neighbours: int = 3, method: str | None = "pca", share: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(AUROC of each category, timings) of a few-shot run whose stages are carried out one after the other.
+
+    timings: (category, stage, clock, n_images, n_items, seconds). Rows of a category have the seconds that the groups of `masks`
+    and the blocks of `distances` took in their workers, added up from what each gave with its rows, so a repeated attempt
+    counts once. Rows without a category have the driver's clock for each stage: masks, distances, maps, auroc, total.
+    """
+    clock, began = {}, time.perf_counter()
+
+    def stage(name: str, t: DataFrame) -> DataFrame:
+        at = time.perf_counter()
+        out = kept(t, f"timed-{name}")
+        clock[name] = time.perf_counter() - at
+        return out
+
+    refs, test = split_images(images, shots)
+    owner = images.select("image_id", "category")
+    masked = stage("masks", detect.guarded_foreground(patches.join(test, "image_id", "left_semi"), method))
+    wanted = masked.filter("fg = 1").select(F.col("vec_id").alias("query_id"))
+    bank = detect.memory_bank(patches.join(refs, "image_id", "left_semi"))
+    near = stage("distances", knn.nearest(detect.queries(patches).join(wanted, "query_id", "left_semi"), bank, neighbours, ("category",), clock=True))
+    found = near.select("query_id", (F.aggregate("near", F.lit(0.0), lambda s, x: s + x) / F.size("near")).alias("score"))
+    maps = stage("maps", detect.image_scores(detect.patch_map(masked.filter("fg is not null").drop("error", "seconds"), found), share))
+    scored = maps.join(images.select("image_id", "category", "label"), "image_id")
+    aurocs = stage("auroc", curves.auroc(scored, score="image_score", keys=("category",)))
+    clock["total"] = time.perf_counter() - began
+
+    sums = (F.countDistinct("image_id").alias("n_images"), F.count("*").alias("n_items"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))
+    of_masks = masked.join(owner, "image_id").groupBy("category").agg(*sums).withColumn("stage", F.lit("masks"))
+    place = patches.select(F.col("vec_id").alias("query_id"), "image_id", "category")
+    of_distances = near.join(place, "query_id").groupBy("category").agg(*sums).withColumn("stage", F.lit("distances"))
+    workers = of_masks.unionByName(of_distances).withColumn("clock", F.lit("workers"))
+    spark, n = patches.sparkSession, test.count()
+    driver = spark.createDataFrame([(name, n, s) for name, s in clock.items()], "stage string, n_images bigint, seconds double")
+    driver = driver.select(F.lit(None).cast(patches.schema["category"].dataType).alias("category"), "stage", F.lit("driver").alias("clock"), "n_images", F.lit(None).cast("bigint").alias("n_items"), "seconds")
+    return aurocs, workers.select(*driver.columns).unionByName(driver)
+
+
+def timing_table(timings: DataFrame) -> DataFrame:
+    """(category, stage, clock, n_images, n_items, seconds, percent, per_image): each row's share of the worker time of its category or of the driver's total."""
+    own = Window.partitionBy("category", "clock")
+    whole = F.coalesce(F.max(F.when(F.col("stage") == "total", F.col("seconds"))).over(own), F.sum("seconds").over(own))
+    return timings.withColumns({"percent": F.coalesce(F.try_divide(F.col("seconds") * 100, whole), F.lit(0.0)), "per_image": F.try_divide(F.col("seconds"), F.col("n_images"))})
+
+
 def run_zero_shot(patches: DataFrame, images: DataFrame, method: str | None = "pca", bank_share: float = 0.001, share: float = 0.01, segmentation: str = "percentile") -> DataFrame:
     """The metrics of every category, each image against the others."""
     found = kept(detect.zero_shot(patches, method, bank_share).join(patches.select("vec_id", "gt_mask"), "vec_id"), "maps")

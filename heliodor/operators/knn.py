@@ -16,6 +16,7 @@ Spark joins as it sees fit; rows of a key with a large share are dealt out by AQ
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,15 +31,17 @@ from ..plans.session import kept
 BLOCK, HELD, SLICE = 2048, 1 << 22, 2048
 
 
-def _pairs(k: int, leave_out: bool):
+def _pairs(k: int, leave_out: bool, clock: bool = False):
     def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if q.empty or b.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="object")})
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="object")} | ({"seconds": pd.Series(dtype="float64")} if clock else {}))
+        began = time.perf_counter()
         d = 1.0 - np.stack(q["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
         if leave_out:
             d[q["image_id"].to_numpy()[:, None] == b["image_id"].to_numpy()] = np.inf
         near = smallest_k(d, k)
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy(), "near": [x[np.isfinite(x)].tolist() for x in near]})
+        out = pd.DataFrame({"query_id": q["query_id"].to_numpy(), "near": [x[np.isfinite(x)].tolist() for x in near]})
+        return out.assign(seconds=[time.perf_counter() - began] + [0.0] * (len(out) - 1)) if clock else out
 
     return run
 
@@ -62,17 +65,18 @@ def with_tiles(query: DataFrame, bank: DataFrame, plan: DataFrame, by: tuple[str
     return q, b
 
 
-def nearest(query: DataFrame, bank: DataFrame, k: int, by: tuple[str, ...] = (), leave_out: bool = False, block: int = BLOCK) -> DataFrame:
+def nearest(query: DataFrame, bank: DataFrame, k: int, by: tuple[str, ...] = (), leave_out: bool = False, block: int = BLOCK, clock: bool = False) -> DataFrame:
     """(query_id, near): the distances of the k nearest bank rows, rising.
 
     query and bank have image_id, a normalised double array v and the columns `by`, which must be equal; leave_out
-    excludes bank rows of the query's own image.
+    excludes bank rows of the query's own image. With `clock` a column seconds is added, whose sum over all queries is the time
+    that the blocks took in their workers.
     """
     keys = list(by)
     bank = bank.select(*[F.col(c).alias(c) for c in bank.columns])  # both sides may come from one table
     q, b = with_tiles(query, bank, kept(tiles(query, bank, by, block), "tiles"), by)
-    near = q.groupBy(*keys, "qb", "bb").cogroup(b.groupBy(*keys, "qb", "bb")).applyInPandas(_pairs(k, leave_out), "query_id bigint, near array<double>")
-    merged = near.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    near = q.groupBy(*keys, "qb", "bb").cogroup(b.groupBy(*keys, "qb", "bb")).applyInPandas(_pairs(k, leave_out, clock), "query_id bigint, near array<double>" + ", seconds double" * clock)
+    merged = near.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"), *[F.sum("seconds").alias("seconds")] * clock)
     return merged.filter(F.size("near") > 0)
 
 

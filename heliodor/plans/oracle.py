@@ -407,6 +407,12 @@ SQL |= {
         ", runs AS (SELECT image_id, CASE WHEN image_id % 12 = 0 THEN 2 ELSE (image_id // 3 % 2)::INT END AS obj, image_score AS score, label FROM " + tail("pixels", 0.01) + " JOIN (SELECT image_id, max(gt_mask) AS label FROM pixels GROUP BY ALL) USING (image_id))"
         + assembly(20, 20) + " SELECT obj AS object, metrics.* EXCLUDE (obj) FROM metrics", "patches", "pixels")),
     "grid_run": grid_sql((1, 2)),
+    "grid_run_errors": patches(", i AS (SELECT DISTINCT category, image_id FROM patches), f AS (SELECT category, 'patches' AS stage, CASE category WHEN 1 THEN 'ValueError: vectors with components that are not finite' ELSE 'ValueError: images with vectors of 63 and 64 components' END AS error, CASE category WHEN 1 THEN 1 ELSE (SELECT count(*) FROM i n WHERE n.category = 3) END AS n_images FROM i WHERE image_id IN (6, 13) UNION ALL SELECT category, 'references', 'no image without a defect', count(*) FROM i WHERE category = 4 GROUP BY category) SELECT category, method_name, stage, error, n_images FROM f, (SELECT unnest(['1_shot', '2_shot']) AS method_name)"),
+    "run_timings": detector(
+        _FG + _TRUE_PATCHES + ", rf AS (SELECT image_id, category FROM im WHERE label = 0 QUALIFY row_number() OVER (PARTITION BY category ORDER BY image_id) <= 2), te AS (SELECT * FROM im WHERE image_id NOT IN (SELECT image_id FROM rf))"
+        ", w AS (SELECT te.category, 'masks' AS stage, count(DISTINCT image_id) AS n_images, count(*) AS n_items FROM tp JOIN te USING (image_id) GROUP BY te.category UNION ALL SELECT te.category, 'distances', count(DISTINCT image_id), count(*) FROM fgm JOIN te USING (image_id) WHERE fg = 1 AND te.category IN (SELECT category FROM rf) GROUP BY te.category)"
+        " SELECT category, stage, 'workers' AS clock, n_images, n_items, true AS measured, true AS adds_up FROM w UNION ALL SELECT NULL, s, 'driver', (SELECT count(*) FROM te), NULL, true, true FROM (SELECT unnest(['masks', 'distances', 'maps', 'auroc', 'total']) AS s)"),
+    "grid_run_survivors": grid_sql((1, 2), "category IN (0, 2)"),
     "single_object_run": grid_sql((2,), "category = 0"),
     "zero_shot_run": detector(
         _LOO + _FG + _TRUE_PATCHES + ", map AS (SELECT tp.image_id, tp.category, im.label, tp.y, tp.x, fg, gt_mask, CASE WHEN fg = 1 THEN loo.score ELSE 0.0 END AS score FROM tp JOIN im USING (image_id) JOIN loo ON loo.vec_id = tp.vec_id JOIN fgm ON fgm.vec_id = tp.vec_id)"

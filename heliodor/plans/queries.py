@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import vectors as V
 from ..operators import curves, detect, evaluate, grid, index, knn, results, segment
-from ..sources import catalog, records, tables, toy
+from ..sources import arrays, catalog, records, tables, toy
 from .session import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -573,6 +573,40 @@ def single_object_run(s, d):
     return r6(evaluate.run_single(*labelled_patches(s, d), 0, 2, share=0.25), *ROUNDED)
 
 
+def broken_run(s, d):
+    """A grid run where category 1 has an image with a component that is not a number, category 3 one with shorter vectors, and category 4 nothing but defects."""
+    t, images = labelled_patches(s, d)
+    whole, short = F.col("embedding"), F.slice("embedding", 1, 63)
+    bad = F.when(F.col("image_id") == 6, F.transform(whole, lambda x, k: F.when(k == 2, F.lit(float("nan"))).otherwise(x))).when(F.col("image_id") == 13, short)
+    t = t.withColumn("embedding", F.coalesce(bad, whole))
+    images = images.withColumn("label", F.when(F.col("category") == 4, 1).otherwise(F.col("label")))
+    return evaluate.run_grid(t, images, (1, 2), share=0.25)
+
+
+@query
+def grid_run_errors(s, d):
+    """The cells of the grid that fail, and why."""
+    return broken_run(s, d)[1]
+
+
+@query
+def grid_run_survivors(s, d):
+    """The metrics of all other cells."""
+    return r6(broken_run(s, d)[0], *ROUNDED)
+
+
+@query
+def run_timings(s, d):
+    """The stages of a few-shot run: what was counted, that time was measured, and that shares add up."""
+    _, t = evaluate.run_timed(*labelled_patches(s, d), 2, share=0.25)
+    t = kept(evaluate.timing_table(t), "timings")
+    parts = t.filter("stage <> 'total'").groupBy("category", "clock").agg(F.sum("percent").alias("all"))
+    parts = parts.select(F.col("category").alias("of"), F.col("clock").alias("by"), "all")
+    t = t.join(parts, F.col("category").eqNullSafe(F.col("of")) & (F.col("clock") == F.col("by")))
+    adds = F.when(F.col("clock") == "driver", F.col("all") <= 100.001).otherwise(F.abs(F.col("all") - 100) < 0.001)
+    return t.select("category", "stage", "clock", "n_images", "n_items", (F.col("seconds") > 0).alias("measured"), adds.alias("adds_up"))
+
+
 @query
 def zero_shot_run(s, d):
     return r6(evaluate.run_zero_shot(*labelled_patches(s, d), "pca", 0.02, 0.25), *ROUNDED)
@@ -737,6 +771,18 @@ def results_scan(s, d):
     return t.select("object_name", "method_name", F.round("metrics.auroc", 6).alias("auroc"), F.round("metrics.aupro", 6).alias("aupro"), "metrics.cls_tp", "config.k_neighbors", "num_features", F.array_join(F.transform("maps", lambda m: m["name"]), ",").alias("map_names"), total.alias("total"))
 
 
+@query
+def array_files(s, d):
+    """Score maps written as .npy and .tif files, a file for each image, read again and segmented: what the files keep."""
+    at = records.folder(s)
+    maps = kept(arrays.grids(tables.pixels(s, d), "score"), "grids")
+    arrays.write_arrays(maps, f"{at}/npy")
+    arrays.write_arrays(maps, f"{at}/tif", "tiff")
+    cells = [arrays.cells_of(arrays.read_arrays(s, f"{at}/{kind}"), "score") for kind in ("npy", "tif")]
+    both = cells[0].join(cells[1].withColumnRenamed("score", "other"), ["image_id", "y", "x"])
+    return both.groupBy("image_id").agg(F.count("*").alias("n_cells"), F.round(F.sum("score"), 4).alias("total"), F.sum((F.col("score") != F.col("other")).cast("bigint")).alias("n_unlike"))
+
+
 @query
 def export_format_4dp(s, d):
     t = tables.results(s, d)
