@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..plans.session import kept
+from ..plans.union import union_labels
 from .grid import per_image, to_grid
 
 
@@ -16,6 +18,37 @@ def components(cells: DataFrame, column: str = "gt_mask") -> DataFrame:
     return per_image(cells, K.label_components, column, "region", "bigint").filter("region >= 0")
 
 
+def tiled_components(cells: DataFrame, column: str = "gt_mask", tile: int = 1024) -> DataFrame:
+    """`components` of images that are too large for a task: the same regions for any size of tiles.
+
+    Each tile labels its own cells in one group; pairs of cells that touch across the edges of tiles join labels, and the union of
+    labels is distributed (`union_labels`). So a task holds tile x tile cells, and only cells at edges are joined. Regions
+    are named by their least flat index in the whole image, as before; a null image id is an image of its own.
+    """
+    stride = 1 << 32  # names order cells by rows, whatever the image's width
+    t = cells.filter(F.col(column) != 0).select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    t = t.withColumns({"ty": F.expr(f"y div {tile}").cast("int"), "tx": F.expr(f"x div {tile}").cast("int")})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(pdf["y"].min()), int(pdf["x"].min())
+        part = pd.DataFrame({"y": pdf["y"] - top, "x": pdf["x"] - left, "v": 1})
+        grid = K.label_components(to_grid(part, "v"))
+        found = grid[part["y"], part["x"]].astype(np.int64)
+        width = grid.shape[1]
+        return pdf.assign(name=(found // width + top) * stride + found % width + left)
+
+    named = kept(t.groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id bigint, y int, x int, ty int, tx int, name bigint"), "tile-labels")
+    at_edge = named.filter((F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1))
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((-1, -1), (-1, 0), (-1, 1), (0, -1))])
+    ask = at_edge.withColumn("step", F.explode(steps)).select("image_id", (F.col("y") + F.col("step.dy")).alias("y"), (F.col("x") + F.col("step.dx")).alias("x"), F.col("name").alias("a"))
+    edges = ask.join(at_edge.select("image_id", "y", "x", F.col("name").alias("b")), ["image_id", "y", "x"]).select("image_id", "a", "b")
+    labels = union_labels(edges, ("image_id",))
+    out = named.join(labels, ["image_id", "name"], "left").withColumn("name", F.coalesce("label", "name"))
+    width = cells.groupBy("image_id").agg((F.max("x") + 1).cast("bigint").alias("w"))
+    out = out.join(width, "image_id")
+    return out.select("image_id", "y", "x", (F.expr(f"name div {stride}") * F.col("w") + F.col("name") % stride).cast("bigint").alias("region"))
+
+
 def largest_components(cells: DataFrame, column: str = "gt_mask") -> DataFrame:
     """(image_id, y, x) of each image's largest region, the first of equals."""
     return per_image(cells, lambda g: K.largest_component(g).astype(np.int32), column, "kept", "int").filter("kept = 1").drop("kept")

@@ -117,6 +117,7 @@ _HIT = "score > 60 AND x >= 2 AND y >= 2"
 
 SQL |= {
     "connected_components": regions(" SELECT image_id, y, x, region FROM regions"),
+    "tiled_components": regions(" SELECT image_id, y, x, region FROM regions", "score > 40"),
     "largest_component": regions(", c AS (SELECT image_id, region, count(*) AS n FROM regions GROUP BY image_id, region QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, region) = 1) SELECT image_id, y, x FROM regions JOIN c USING (image_id, region)"),
     "component_stats": regions(", c AS (SELECT image_id, region, count(*) AS area FROM regions GROUP BY ALL) SELECT image_id, count(*) AS n_regions, max(area) AS largest_area, sum(area)::BIGINT AS total_area FROM c GROUP BY image_id"),
     "classify_images": regions(_CLASSIFY + " SELECT * FROM classified", _HIT),

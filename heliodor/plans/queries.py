@@ -371,6 +371,24 @@ def connected_components(s, d):
     return segment.components(tables.pixels(s, d))
 
 
+@query
+def tiled_components(s, d):
+    """The regions of all cells above a threshold, which wind through many tiles of 6 x 6 cells, joined across their edges."""
+    t = tables.pixels(s, d).withColumn("mask", (F.col("score") > 40).cast("int"))
+    return segment.tiled_components(t, "mask", 6)
+
+
+@query
+def record_store(s, d):
+    """Records put in three batches, the second of which comes after the third and one of which is put twice: what a reader finds."""
+    at, (left, right) = records.folder(s), two_runs(s, d)
+    records.put(left, at, 1)
+    records.put(right.filter("object_name < 'obj10'"), at, 3)
+    records.put(right, at, 2)
+    records.put(right, at, 2)
+    return r6(records.stored(s, at), "auroc")
+
+
 @query
 def largest_component(s, d):
     return segment.largest_components(tables.pixels(s, d))
@@ -766,9 +784,12 @@ def results_scan(s, d):
     """Records and their maps written as files and read again: maps are ordered by number, combinations without maps have none."""
     t = tables.pixels(s, d).groupBy("image_id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "score"))), lambda c: c["score"]).alias("values"))
     maps = t.select(F.concat(F.lit("obj"), F.lpad((F.col("image_id") % 25).cast("string"), 2, "0")).alias("object_name"), F.lit("BUILDING").alias("method_name"), (F.expr("image_id div 25") * 20 + F.col("y")).cast("int").alias("nth"), "values")
-    t = records.round_trip(results.per_object(tables.results(s, d)), maps, {"use_masking": True, "k_neighbors": 3, "masking_method": "pca"}, 1600)
-    total = F.round(F.aggregate(F.flatten(F.transform("maps", lambda m: m["values"])), F.lit(0.0), lambda a, x: a + x), 4)
-    return t.select("object_name", "method_name", F.round("metrics.auroc", 6).alias("auroc"), F.round("metrics.aupro", 6).alias("aupro"), "metrics.cls_tp", "config.k_neighbors", "num_features", F.array_join(F.transform("maps", lambda m: m["name"]), ",").alias("map_names"), total.alias("total"))
+    at = records.folder(s)
+    records.write_records(results.per_object(tables.results(s, d)), at, {"use_masking": True, "k_neighbors": 3, "masking_method": "pca"}, 1600, maps)
+    sums = records.read_maps(s, at).select("object_name", "method_name", F.struct("n", "name").alias("map"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("sum"))
+    sums = sums.groupBy("object_name", "method_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("map")), lambda m: m["name"]), ",").alias("map_names"), F.sum("sum").alias("total"))
+    t = records.read_records(s, at).join(sums, ["object_name", "method_name"], "left")
+    return t.select("object_name", "method_name", F.round("metrics.auroc", 6).alias("auroc"), F.round("metrics.aupro", 6).alias("aupro"), "metrics.cls_tp", "config.k_neighbors", "num_features", F.coalesce("map_names", F.lit("")).alias("map_names"), F.round(F.coalesce("total", F.lit(0.0)), 4).alias("total"))
 
 
 @query

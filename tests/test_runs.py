@@ -1,6 +1,6 @@
 """Array files, cells that fail, timings of runs and image preparation, against plain versions."""
 
-import io
+import json
 import struct
 import uuid
 from pathlib import Path
@@ -12,8 +12,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from heliodor.functions import kernels as K
-from heliodor.operators import evaluate, grid, guard
-from heliodor.sources import arrays
+from heliodor.operators import evaluate, grid, guard, segment
+from heliodor.plans.union import union_labels
+from heliodor.sources import arrays, records
 
 
 def folder(tmp_path):
@@ -148,3 +149,60 @@ def test_images_are_cut_into_patches(spark):
         columns = want.shape[1] // 4
         out[own["patch_id"] // columns * 4 + own["y"], own["patch_id"] % columns * 4 + own["x"]] = own["grey"]
         assert len(own) == want.size and np.allclose(out, want) and set(own["grid_w"]) == {columns}
+
+
+@pytest.mark.parametrize("tile", [1, 2, 3, 7, 100])
+def test_tiles_give_the_regions_of_whole_images(spark, tile):
+    rng = np.random.default_rng(6)
+    made = {k: (rng.random(size) < share).astype(int) for k, (size, share) in enumerate([((17, 23), 0.4), ((9, 9), 0.6), ((20, 5), 0.3), ((6, 6), 0.0), ((11, 31), 1.0)])}
+    snake = np.zeros((15, 15), int)
+    snake[::2] = 1
+    snake[1::4, -1] = snake[3::4, 0] = 1
+    made[9] = snake
+    rows = [(k, y, x, int(g[y, x])) for k, g in made.items() for y in range(g.shape[0]) for x in range(g.shape[1])]
+    t = spark.createDataFrame(rows, "image_id bigint, y int, x int, gt_mask int").repartition(4)
+    want = {tuple(r) for r in segment.components(t).collect()}
+    assert {tuple(r) for r in segment.tiled_components(t, "gt_mask", tile).collect()} == want
+
+
+def test_union_of_labels(spark):
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(k, k + 1) for k in range(200, 260)] + [(300, 301 + k) for k in range(40)] + [(5, 5)]
+    name = {x: x for e in edges for x in e}
+    for _ in name:
+        for a, b in edges:
+            name[a] = name[b] = min(name[a], name[b])
+    got = {r["name"]: r["label"] for r in union_labels(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert all(got.get(k, k) == v for k, v in name.items())
+    assert union_labels(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_record_store(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame([(*r, r[2] * 2) for r in rows], "object_name string, method_name string, auroc double, aupro double")
+    first, second, third = make(("a", "m", 0.1), ("b", "m", 0.2)), make(("a", "m", 0.3), ("a", "n", 0.4)), make(("c", "m", 0.5))
+    want = {("a", "m"): 0.3, ("a", "n"): 0.4, ("b", "m"): 0.2, ("c", "m"): 0.5}
+    read = lambda at: {(r["object_name"], r["method_name"]): r["auroc"] for r in records.stored(spark, at).collect()}
+    for k, order in enumerate([((first, 1), (second, 2), (third, 3)), ((third, 3), (second, 2), (first, 1), (second, 2))]):
+        at = str(tmp_path / f"store{k}")
+        with pytest.raises(FileNotFoundError):
+            records.stored(spark, at)
+        for t, version in order:
+            records.put(t, at, version)
+        assert read(at) == want
+        lost = tmp_path / f"store{k}" / "batch-000000000009"  # what a lost attempt left
+        records.put(make(("a", "m", 9.0)), at, 9)
+        (lost / "_SUCCESS").unlink()
+        assert read(at) == want
+        with pytest.raises(ValueError):
+            records.compact(spark, at, 3)
+        records.compact(spark, at, 10)
+        assert read(at) == want and {p.name for p in (tmp_path / f"store{k}").iterdir()} == {"batch-000000000009", "batch-000000000010"}
+
+
+def test_official_metrics_are_streamed(spark, tmp_path):
+    rows = [("b", 0.5, 1.0), ('a "quoted"', 0.25, None), ("c", None, 0.5)]
+    metrics = spark.createDataFrame(rows, "object_name string, au_pro double, au_roc double")
+    curves_ = spark.createDataFrame([(r[0], [0.0, 1.0], [0.5, 1.0]) for r in rows], "object_name string, fpr array<double>, tpr array<double>")
+    records.stream_official(metrics, curves_, str(tmp_path / "m"))
+    got = json.loads("".join(r[0] for r in spark.read.text(str(tmp_path / "m")).collect()))
+    assert got == {name: {"au_pro": a, "classification_au_roc": b, "classification_roc_curve_fpr": [0.0, 1.0], "classification_roc_curve_tpr": [0.5, 1.0]} for name, a, b in rows} | {"mean_au_pro": 0.375, "mean_classification_au_roc": 0.75}
