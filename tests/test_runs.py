@@ -2,6 +2,7 @@
 
 import json
 import struct
+import tarfile
 import uuid
 from pathlib import Path
 
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from heliodor.functions import kernels as K
 from heliodor.operators import evaluate, grid, guard, segment
+from heliodor.plans.config import read_settings
 from heliodor.plans.union import union_labels
-from heliodor.sources import arrays, records
+from heliodor.sources import arrays, catalog, records
 
 
 def folder(tmp_path):
@@ -206,3 +208,27 @@ def test_official_metrics_are_streamed(spark, tmp_path):
     records.stream_official(metrics, curves_, str(tmp_path / "m"))
     got = json.loads("".join(r[0] for r in spark.read.text(str(tmp_path / "m")).collect()))
     assert got == {name: {"au_pro": a, "classification_au_roc": b, "classification_roc_curve_fpr": [0.0, 1.0], "classification_roc_curve_tpr": [0.5, 1.0]} for name, a, b in rows} | {"mean_au_pro": 0.375, "mean_classification_au_roc": 0.75}
+
+
+def test_settings_are_read_or_refused():
+    text = "a: 'x # y'  # a comment\nb: \"it's: [1, 2]\"\nlist: ['p, q', 2, \"#3\"]\nurl: http://host/x#part\nmap:\n  k: v#w\n  'q: r': don't\nitems:\n  - one # first\n  - '- two'\n"
+    assert read_settings(text) == {"a": "x # y", "b": "it's: [1, 2]", "list": ["p, q", 2, "#3"], "url": "http://host/x#part", "map": {"k": "v#w", "q: r": "don't"}, "items": ["one", "- two"]}
+    for bad in ("a: {b: 1}", "a: &x 1", "a: *x", "a: |\n  text", "a:\n\tb: 1", "a: [1, [2]]", "a: [1,\n  2]", "a:\n  - b: 1", "a:\n  - - 1", "- 1", "a: 'x", "a: 1\na: 2", "a: !!int 3"):
+        with pytest.raises(ValueError):
+            read_settings(bad)
+
+
+def test_a_broken_archive_leaves_the_tree(tmp_path):
+    root = tmp_path / "set"
+    (root / "cup").mkdir(parents=True)
+    broken = tmp_path / "broken.tar"
+    broken.write_bytes(b"no archive")
+    for archive in (str(broken), str(tmp_path / "none.tar")):
+        with pytest.raises((OSError, tarfile.TarError)):
+            catalog.ensure_tree(str(root), archive, force=True)
+    assert (root / "cup").is_dir() and [p.name for p in tmp_path.iterdir() if p.name.startswith(".")] == []
+    whole = tmp_path / "whole.tar"
+    with tarfile.open(whole, "w") as tar:
+        tar.add(root / "cup", "plate")
+    assert catalog.ensure_tree(str(root), str(whole), force=True) == str(root)
+    assert [p.name for p in root.iterdir()] == ["plate"]
