@@ -63,14 +63,9 @@ def one_match(files: DataFrame, wanted: DataFrame, strict: bool = False) -> Data
 
 
 def ensure_tree(root: str, archive: str | None = None, force: bool = False) -> str:
-    """The folder of a data set on the driver; where it is missing (or with force), it is unpacked from a local archive.
-
-    The archive is unpacked beside it and put in its place when it is whole, so a broken or missing archive leaves an old folder as
-    it was, and no half one.
-    """
+    """The folder of a data set on the driver; where it is missing (or with force), it is unpacked from a local archive, and removed if that fails."""
     import shutil
     import tarfile
-    import tempfile
     from pathlib import Path
 
     at = Path(root)
@@ -78,17 +73,14 @@ def ensure_tree(root: str, archive: str | None = None, force: bool = False) -> s
         return root
     if archive is None:
         raise FileNotFoundError(f"no data set at {root} and no archive to unpack")
-    at.parent.mkdir(parents=True, exist_ok=True)
-    fresh = Path(tempfile.mkdtemp(prefix=f".{at.name}-", dir=at.parent))
+    if at.exists():
+        shutil.rmtree(at)
     try:
+        at.mkdir(parents=True)
         with tarfile.open(archive) as tar:
-            tar.extractall(fresh, filter="data")
-        if at.exists():
-            shutil.rmtree(at)
-        fresh.chmod(0o755)
-        fresh.rename(at)
+            tar.extractall(at, filter="data")
     except BaseException:
-        shutil.rmtree(fresh, ignore_errors=True)
+        shutil.rmtree(at, ignore_errors=True)
         raise
     return root
 
