@@ -123,10 +123,19 @@ def near_pairs(words: DataFrame) -> DataFrame:
     offers = written(map_arrow(words, _offer(bigram_ranks(words)), OFFERS), "offers")
     keys = offers.groupBy("key").agg(F.count("*").alias("rows"), F.sum((~F.col("longer")).cast("bigint")).alias("own"))
     keys = written(keys.filter("rows > 1 and own > 0").select("key", F.ceil(F.col("own") / DEALT).cast("int").alias("deals")), "keys")
-    offers = offers.hint("shuffle_hash").join(keys, "key")
-    left = offers.filter("not longer").select("key", F.pmod(F.xxhash64("word"), F.col("deals")).cast("int").alias("deal"), F.col("word").alias("a"), F.col("n").alias("na"))
-    right = offers.select("key", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "longer", F.col("word").alias("b"), F.col("n").alias("nb"))
-    met = left.hint("shuffle_hash").join(right, ["key", "deal"]).filter("(longer or a < b) and levenshtein(a, b, 1) = 1")
+    close = "if(longer_a, false, longer_b or a < b) and levenshtein(a, b, 1) = 1"
+    left = lambda t, *more: t.select("key", *more, F.col("longer").alias("longer_a"), F.col("word").alias("a"), F.col("n").alias("na"))
+    right = lambda t, *more: t.select("key", *more, F.col("longer").alias("longer_b"), F.col("word").alias("b"), F.col("n").alias("nb"))
+    # both sides of the join are one exchange, of the offers of shared keys by key; so neither is filtered before it
+    shared = offers.join(keys.filter("deals = 1").select("key").hint("shuffle_hash"), "key")
+    found = [left(shared).hint("shuffle_hash").join(right(shared), "key").filter(close)]
+    hot = keys.filter("deals > 1")
+    if not hot.isEmpty():
+        shared = offers.join(hot, "key")
+        a = left(shared.filter("not longer"), F.pmod(F.xxhash64("word"), F.col("deals")).cast("int").alias("deal"))
+        b = right(shared, F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+        found.append(a.hint("shuffle_hash").join(b, ["key", "deal"]).filter(close).drop("deal"))
+    met = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     return met.select("a", "b", "na", "nb").distinct()
 
 
