@@ -65,9 +65,10 @@ def image_patches(cells: DataFrame, edge: int, patch: int, channels: dict[str, t
 
 
 def upsampled_mask(saliency: np.ndarray, h: int, w: int, percentile: float = 70, sigma: float = 4.0) -> np.ndarray:
-    """What lies above a percentile of a map that is brought to h x w and smoothed."""
+    """What lies above a percentile of a map that is brought to h x w and smoothed; NaN (in floats) where nothing is known."""
     smooth = gaussian(bilinear(saliency, h, w), sigma)
-    return (smooth > np.percentile(smooth, percentile)).astype(np.int32)
+    mask = smooth > np.nanpercentile(smooth, percentile)
+    return np.where(np.isnan(smooth), np.nan, mask) if np.isnan(smooth).any() else mask.astype(np.int32)
 
 
 def per_image_value(cells: DataFrame, kernel: Callable[[np.ndarray], float], column: str, out: str, kind: str) -> DataFrame:
