@@ -26,8 +26,8 @@ def few_shot_references(files: DataFrame, shots: int) -> DataFrame:
     return files.filter("split = 'train'").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= shots)
 
 
-def sample_per_category(files: DataFrame, categories: list[str] | None, split: str, per_category: int, label_filter: str = "all", seed: int = 42) -> DataFrame:
-    """A seeded sample of at most per_category files of each category, in order of (defect, hash of seed and name)."""
+def sample_per_category(files: DataFrame, categories: list[str] | None, split: str, per_category: int | None, label_filter: str = "all", seed: int = 42) -> DataFrame:
+    """A seeded sample of at most per_category files of each category, in order of (defect, hash of seed and name); None: all files that the filters leave, without ranks."""
     t = files.filter(F.col("split") == split)
     if categories:
         t = t.filter(F.col("category").isin(*categories))
@@ -35,6 +35,8 @@ def sample_per_category(files: DataFrame, categories: list[str] | None, split: s
         t = t.filter(F.col("label") == (1 if label_filter == "anomalous" else 0))
     if split == "train" and label_filter == "anomalous":
         t = t.filter("false")
+    if per_category is None:
+        return t
     order = Window.partitionBy("category").orderBy("defect", F.md5(F.concat(F.lit(f"{seed}/"), "name")), "name")
     return t.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_category)
 
