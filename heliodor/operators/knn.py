@@ -5,9 +5,9 @@ Exact search compares every query with every bank row that may serve it; what is
 `nearest` is for a few neighbours: queries and bank are hashed into blocks of bounded size; each pair of blocks is one
 group whose distances are one matrix product, and gives the k smallest per query. These lists of k are merged per query.
 
-`streamed_scores` is for numbers of neighbours that grow with the bank (a share of it): a task holds a block of queries and
-their nearest distances so far, HELD numbers in all, and the bank streams past it in slices. No list of distances leaves
-the task, whatever the size of the bank; the more neighbours, the smaller the blocks.
+`streamed_scores` is for numbers of neighbours that grow with the bank (a share of it): the bank is written once, in order of its key
+(`shelf`); a task holds blocks of queries and their nearest distances so far, HELD numbers in all, and reads the bank of their key
+past them. Neither a bank row nor a list of distances is moved, whatever the size of the bank.
 
 With keys (categories, say) every key is cut into blocks by its own counts: a row moves once for each block of the other
 side of its own key, and a large key does not multiply the rows of a small one. The counts of keys are one row a key, which
@@ -17,7 +17,7 @@ Spark joins as it sees fit; rows of a key with a large share are dealt out by AQ
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import smallest_k
 from ..plans.session import kept
+from .shelf import Shelf, runs, shelved
 
-BLOCK, HELD, SLICE = 2048, 1 << 22, 2048
+#: Rows of a block; numbers and queries that a task holds; bank rows met at once; numbers of one step.
+BLOCK, HELD, TOGETHER, SLICE, MET = 2048, 1 << 22, 8192, 2048, 1 << 19
 
 
 def _pairs(k: int, leave_out: bool, clock: bool = False):
@@ -87,59 +89,69 @@ def nearest_scores(query: DataFrame, bank: DataFrame, k: int, by: tuple[str, ...
 
 
 class _Held:
-    """Queries of one block and their least distances so far."""
+    """Queries of one key and their least distances so far."""
 
     def __init__(self, ids: list, images: np.ndarray, ks: np.ndarray, v: np.ndarray):
         self.ids, self.images, self.ks, self.v = ids, images, ks, v
         self.near = np.full((len(ids), int(ks.max())), np.inf)
 
     def meet(self, images: np.ndarray, v: np.ndarray) -> None:
-        d = 1.0 - self.v @ v.T
-        d[self.images[:, None] == images] = np.inf
         k = self.near.shape[1]
-        self.near = np.partition(np.concatenate([self.near, d], axis=1), k - 1, axis=1)[:, :k]
-
-    def rows(self) -> list[tuple]:
-        out = []
-        for key, k, near in zip(self.ids, self.ks.tolist(), np.sort(self.near, axis=1), strict=True):
-            near = near[:k][np.isfinite(near[:k])]
-            if len(near):
-                out.append((key, float(near.sum() / len(near))))
-        return out
-
-
-def _stream(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Rows (place, bank, id, image_id, k, v): the queries of each place, then the bank that serves it."""
-    place, held, queries = None, None, []
-    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["query_id", "score"])
-
-    def gather() -> _Held | None:
-        return _Held([i for q in queries for i in q[0]], *(np.concatenate([q[c] for q in queries]) for c in (1, 2, 3))) if queries else None
-
-    for batch in batches:
-        places, sides = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero((places[1:] != places[:-1]) | (sides[1:] != sides[:-1])) + 1).tolist(), len(places)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if places[a] != place:
-                held = held or gather()
-                if held:
-                    yield batch_of(held.rows())
-                place, held, queries = places[a], None, []
-            for lo in range(a, b, SLICE):
-                part = batch.slice(lo, min(SLICE, b - lo))
-                v = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                images = part.column(3).to_numpy(zero_copy_only=False)
-                if not sides[a]:
-                    queries.append((part.column(2).to_pylist(), images, part.column(4).to_numpy(zero_copy_only=False), v))
-                    continue
-                held = held or gather()
-                if held:
-                    held.meet(images, v)
-    held = held or gather()
-    if held:
-        yield batch_of(held.rows())
+        for b in range(0, len(v), max(SLICE, 2 * k)):  # not much less than what is kept, as that is gone through each time
+            some, of = v[b : b + max(SLICE, 2 * k)], images[b : b + max(SLICE, 2 * k)]
+            rows = max(1, MET // (k + len(some)))
+            for a in range(0, len(self.v), rows):
+                both = np.empty((len(self.v[a : a + rows]), k + len(some)))
+                both[:, :k] = self.near[a : a + rows]
+                d = np.matmul(self.v[a : a + rows], some.T, out=both[:, k:])
+                np.subtract(1.0, d, out=d)
+                d[self.images[a : a + rows, None] == of] = np.inf
+                both.partition(k - 1, axis=1)
+                self.near[a : a + rows] = both[:, :k]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.ids), 512):
+            near = np.sort(self.near[a : a + 512], axis=1)
+            near[np.arange(near.shape[1]) >= self.ks[a : a + 512, None]] = np.inf
+            known = np.isfinite(near)
+            n = known.sum(axis=1)
+            score = np.where(known, near, 0.0).sum(axis=1) / np.maximum(n, 1)
+            ids = pa.array(self.ids[a : a + 512], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(score)], names=["query_id", "score"]).filter(pa.array(n > 0))
+
+
+def _stream(path: str, held: int) -> Callable:
+    """Rows (of, place, id, image_id, k, v) in order of (of, place) to scores: as many blocks of a key as there is room for meet its bank together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        shelf, queries, of, count, most = None, [], None, 0, 1
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            nonlocal shelf
+            shelf = shelf or Shelf(path)
+            block = _Held([i for q in queries for i in q[0]], *(np.concatenate([q[c] for q in queries]) for c in (1, 2, 3)))
+            for keys, images, v in shelf.read(lambda least, greatest: least <= of <= greatest):
+                a, b = np.searchsorted(keys, of, "left"), np.searchsorted(keys, of, "right")
+                if a < b:
+                    block.meet(images[a:b], v[a:b])
+            yield from block.rows()
+
+        for batch in batches:
+            places = batch.column(1).to_numpy()
+            for _, lo, hi in runs(places):
+                for a in range(lo, hi, 256):
+                    part = batch.slice(a, min(256, hi - a))
+                    key, ks = part.column(0)[0].as_py(), part.column(4).to_numpy()
+                    if queries and (key != of or count + len(ks) > TOGETHER or (count + len(ks)) * max(most, int(ks.max())) > held):
+                        yield from answer()
+                        queries, count, most = [], 0, 1
+                    of, count, most = key, count + len(ks), max(most, int(ks.max()))
+                    v = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(len(ks), -1).copy()
+                    queries.append((part.column(2).to_pylist(), part.column(3).to_numpy(zero_copy_only=False), ks, v))
+        if queries:
+            yield from answer()
+
+    return run
 
 
 def streamed_blocks(query: DataFrame, by: str, block: int = BLOCK, held: int = HELD) -> DataFrame:
@@ -151,13 +163,10 @@ def streamed_blocks(query: DataFrame, by: str, block: int = BLOCK, held: int = H
 def streamed_scores(query: DataFrame, bank: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
     """(query_id, score): the mean distance of the k nearest bank rows of other images with an equal `by`; k is a column of the queries."""
     plan = kept(streamed_blocks(query, by, block), "blocks").select(by, "blocks")
-    columns = ["place", "bank", "id", "image_id", "k", "v"]
-    q = query.join(plan, by).withColumn("place", F.xxhash64(by, F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))).select("place", F.lit(False).alias("bank"), F.col("query_id").alias("id"), "image_id", F.col("k").cast("int").alias("k"), "v")
-    b = bank.select(*[F.col(c).alias(c) for c in bank.columns]).join(plan, by).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    b = b.select(F.xxhash64(by, "b").alias("place"), F.lit(True).alias("bank"), F.col("bank_id").alias("id"), "image_id", F.lit(0).alias("k"), "v")
+    path = shelved(bank, F.xxhash64(by), "bank")
+    q = query.join(plan, by).select(F.xxhash64(by).alias("of"), F.xxhash64(by, F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).alias("place"), F.col("query_id").cast("bigint").alias("id"), "image_id", F.col("k").cast("int").alias("k"), "v")
     parts = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = q.unionByName(b).select(*columns).repartition(parts, "place").sortWithinPartitions("place", "bank")
-    return t.mapInArrow(_stream, "query_id bigint, score double")
+    return q.repartition(parts, "place").sortWithinPartitions("of", "place").mapInArrow(_stream(path, HELD), "query_id bigint, score double")
 
 
 def loo_queries(patches: DataFrame, share: float = 0.001) -> DataFrame:
