@@ -6,9 +6,9 @@ v) with each cell's size and radius, the greatest distance of a row from its cen
 
 Search. No row b of a cell with centroid c and radius r is nearer to q, by cosine distance, than
 max(1 - q.c - |q| r, (max(0, |q - c| - r))^2 / 2). A query visits cells by this bound, then by distance of the centroid: one cell,
-then 2, 4, 8, ... in rounds; it stops as soon as no cell that is left can beat its k-th distance, so the result is exact. A round
-is one block-wise search keyed by cell (`knn.nearest`), so a large cell is cut into blocks and its rows move once for each
-block of queries that come to it. With `probes` a query stops after so many cells (in one round): approximate, and
+then 2, 4, 8, ... in rounds; it stops as soon as no cell that is left can beat its k-th distance, so the result is exact. A
+task takes a block of queries through all its rounds and reads the cells they visit from the shared folder (`shelf`); neither a
+query nor a bank row is moved for a visit, of which there may be as many as queries times cells. With `probes` a query stops after so many cells (in one round): approximate, and
 `recall` measures it against the exact search, and `probes_for` finds the least number of cells that reaches a recall on a
 bounded sample of the queries (SAMPLE).
 """
@@ -25,15 +25,17 @@ from pyspark.sql import functions as F
 
 from ..plans.session import kept
 from . import knn
+from .shelf import Shelf, runs, shelved
 
-CELLS, PER_CELL, STEPS, SAMPLE = 1024, 32, 8, 256
+CELLS, PER_CELL, STEPS, SAMPLE, QUERIES = 1024, 32, 8, 256, 2048
 
 
 @dataclass
 class Index:
-    """rows: (cell, bank_id, image_id, v); for each cell its centroid, radius and size."""
+    """rows: (cell, bank_id, image_id, v), and the folder where they lie in order of their cell; for each cell its centroid, radius and size."""
 
     rows: DataFrame
+    path: str
     centroids: np.ndarray
     radii: np.ndarray
     sizes: np.ndarray
@@ -92,70 +94,95 @@ def build(bank: DataFrame, cells: int | None = None) -> Index | None:
     drawn = bank.filter(F.pmod(F.xxhash64("bank_id", F.lit(17)), F.lit(n)) < wanted).select("v").limit(2 * wanted).toArrow() if n > wanted else bank.select("v").toArrow()
     sample = _vectors(drawn.column("v").combine_chunks())
     centroids = fit(sample, cells)
-    rows = kept(bank.mapInArrow(_assign(centroids), "cell int, distance double, bank_id bigint, image_id bigint, v array<double>"), "index")
+    assigned = bank.mapInArrow(_assign(centroids), "cell int, distance double, bank_id bigint, image_id bigint, v array<double>")
+    path = shelved(assigned, F.col("cell"), "index", "bank_id", "distance")
+    rows = bank.sparkSession.read.parquet(path).withColumn("cell", F.col("key").cast("int"))
     stats = {r["cell"]: r for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()}  # at most CELLS
     radii, sizes = (np.array([stats[c][name] if c in stats else 0 for c in range(len(centroids))], float) for name in ("radius", "n"))
-    return Index(rows.drop("distance"), centroids, radii, sizes.astype(np.int64))
-
-
-def _visits(index_parts: tuple[np.ndarray, np.ndarray, np.ndarray], step: int, last: bool) -> Callable:
-    """Rows (query_id, image_id, v, at, bound) to a row for each cell that is visited next, and one with a null cell for the state: where the query is then, and how many rows it has met on the way."""
-    centroids, radii, sizes = index_parts
+    return Index(rows.select("cell", "bank_id", "image_id", "v"), path, centroids, radii, sizes.astype(np.int64))
+
+
+class _Block:
+    """Queries of a task on their way through the cells."""
+
+    def __init__(self, index_parts: tuple[np.ndarray, np.ndarray, np.ndarray], v: np.ndarray, k: int):
+        centroids, radii, self.sizes = index_parts
+        least, d = lower_bounds(v, centroids, radii)
+        least[:, self.sizes == 0] = np.inf  # nobody is there
+        self.order = np.lexsort((d, least), axis=1)
+        self.bounds = np.take_along_axis(least, self.order, axis=1)
+        self.v, self.near = v, np.full((len(v), k), np.inf)
+        self.at, self.met, self.open = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64), np.ones(len(v), bool)
+
+    def go(self, step: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, queries) of the next visits, by cell: at most `step` cells of each open query, whose least distance is below its bound (a cell whose least is the bound can't beat it)."""
+        places = np.arange(self.bounds.shape[1])
+        end = ((self.bounds < self.near[:, -1:]) & np.isfinite(self.bounds)).sum(axis=1)
+        stop = np.where(self.open, np.minimum(end, self.at + step), 0)
+        query, place = np.nonzero((places >= self.at[:, None]) & (places < stop[:, None]))
+        cell = self.order[query, place]
+        self.at = np.maximum(self.at, stop)
+        self.met += np.bincount(query, weights=self.sizes[cell], minlength=len(self.v)).astype(np.int64)
+        self.open &= ~(last | (self.at >= end))
+        by = np.argsort(cell, kind="stable")
+        return cell[by], query[by]
+
+    def meet(self, query: np.ndarray, v: np.ndarray) -> None:
+        k = self.near.shape[1]
+        for b in range(0, len(v), knn.SLICE):
+            some = v[b : b + knn.SLICE]
+            for a in range(0, len(query), 256):
+                q = query[a : a + 256]
+                d = np.concatenate([self.near[q], 1.0 - self.v[q] @ some.T], axis=1)
+                d.partition(k - 1, axis=1)
+                self.near[q] = d[:, :k]
+
+
+def _search(path: str, index_parts: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, probes: int | None) -> Callable:
+    """Rows (query_id, v) to rows of FOUND: blocks of QUERIES that go through the cells in rounds; a round reads the cells that it visits in order."""
+
+    def answer(shelf: Shelf, ids: pa.Array, v: np.ndarray) -> pa.RecordBatch:
+        block, step = _Block(index_parts, v, k), probes or 1
+        while block.open.any():
+            cell, query = block.go(step, probes is not None)
+            for keys, _, rows in shelf.read(lambda least, most: np.searchsorted(cell, least, "left") < np.searchsorted(cell, most, "right")) if len(cell) else ():
+                for key, a, b in runs(keys):
+                    lo, hi = np.searchsorted(cell, key, "left"), np.searchsorted(cell, key, "right")
+                    if lo < hi:
+                        block.meet(query[lo:hi], rows[a:b])
+            step *= 2
+        near = np.sort(block.near, axis=1)
+        lists = pa.array([x[np.isfinite(x)].tolist() for x in near], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([ids, lists, pa.array(block.met), pa.array(block.at)], names=["query_id", "near", "n_visited", "n_cells"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        shelf, ids, vectors, n = None, [], [], 0
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                least, d = lower_bounds(_vectors(batch.column(2)), centroids, radii)
-                least[:, sizes == 0] = np.inf  # nobody is there
-                order = np.lexsort((d, least), axis=1)
-                rows, cell, at, met, done = [], [], [], [], []
-                for i, (start, bound) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                    bounds = least[i, order[i]]
-                    end = int(np.searchsorted(bounds, np.inf if bound is None else bound, "left"))  # a cell whose least is the bound can't beat it
-                    end = min(end, int(np.searchsorted(bounds, np.inf, "left")))
-                    go = order[i, start : min(end, start + step)]
-                    rows += [i] * (len(go) + 1)
-                    cell += [*go.tolist(), None]
-                    at += [start + len(go)] * (len(go) + 1)
-                    met += [int(sizes[go].sum())] * (len(go) + 1)
-                    done += [last or start + len(go) >= end] * (len(go) + 1)
-                taken = batch.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array(at, pa.int32()), pa.array(met, pa.int64()), pa.array(done, pa.bool_())], names=["query_id", "image_id", "v", "cell", "at", "met", "out_of_cells"])
+            for a in range(0, whole.num_rows, 256):
+                part = whole.slice(a, 256)
+                ids.append(part.column(0))
+                vectors.append(_vectors(part.column(1)).copy())
+                n += part.num_rows
+                if n >= QUERIES:
+                    shelf = shelf or Shelf(path)
+                    yield answer(shelf, pa.concat_arrays(ids), np.concatenate(vectors))
+                    ids, vectors, n = [], [], 0
+        if n:
+            yield answer(shelf or Shelf(path), pa.concat_arrays(ids), np.concatenate(vectors))
 
     return run
 
 
-VISITS = "query_id bigint, image_id bigint, v array<double>, cell int, at int, met bigint, out_of_cells boolean"
+FOUND = "query_id bigint, near array<double>, n_visited bigint, n_cells bigint"
 
 
 def search(index: Index, query: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """(query_id, near, n_visited, n_cells): the k nearest distances, rising, and how many bank rows and cells the query met.
 
-    query: (query_id, image_id, v). Exact, unless `probes` bounds the cells of a query.
+    query: (query_id, v). Exact, unless `probes` bounds the cells of a query.
     """
-    parts = (index.centroids, index.radii, index.sizes)
-    none = F.array().cast("array<double>")
-    state = query.select("query_id", F.col("image_id").cast("bigint").alias("image_id"), "v", F.lit(0).alias("at"), none.alias("near"), F.lit(0).cast("bigint").alias("n_visited"))
-    finished, step = [], probes or 1
-    while True:
-        bound = F.when(F.size("near") >= k, F.get("near", F.lit(k - 1)))
-        visits = kept(state.select("query_id", "image_id", "v", "at", bound.alias("bound")).mapInArrow(_visits(parts, step, probes is not None), VISITS), "visits")
-        found = knn.nearest(visits.filter("cell is not null").select("query_id", "image_id", "v", "cell"), index.rows, k, ("cell",)).withColumnRenamed("near", "more")
-        moved = visits.filter("cell is null").select("query_id", F.col("at").alias("now"), "met", "out_of_cells")
-        t = state.join(moved, "query_id").join(found, "query_id", "left")
-        near = F.slice(F.sort_array(F.concat("near", F.coalesce("more", none))), 1, k)
-        t = kept(t.select("query_id", "image_id", "v", F.col("now").alias("at"), near.alias("near"), (F.col("n_visited") + F.col("met")).alias("n_visited"), "out_of_cells"), "search")
-        stop = F.col("out_of_cells")
-        finished.append(t.filter(stop))
-        state = t.filter(~stop).select("query_id", "image_id", "v", "at", "near", "n_visited")
-        if probes is not None or state.isEmpty():
-            break
-        step *= 2
-    out = finished[0]
-    for more in finished[1:]:
-        out = out.unionByName(more)
-    return out.select("query_id", "near", "n_visited", F.col("at").cast("bigint").alias("n_cells"))
+    t = query.select(F.col("query_id").cast("bigint").alias("query_id"), "v").repartition("query_id")
+    return t.mapInArrow(_search(index.path, (index.centroids, index.radii, index.sizes), k, probes), FOUND)
 
 
 def mean_scores(found: DataFrame) -> DataFrame:

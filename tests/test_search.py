@@ -141,3 +141,28 @@ def test_maps_are_brought_to_their_truths(spark):
             out = np.zeros(grid.shape)
             out[t["y"], t["x"]] = t[name]
             assert len(t) == grid.size and np.allclose(out, grid)
+
+
+def moved(spark, run) -> int:
+    """MB that stages of run() shuffled, spilled and wrote."""
+    def total() -> int:
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).iterator()
+        out = 0
+        while found.hasNext():
+            s = found.next()
+            out += s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes()
+        return out
+
+    before = total()
+    run()
+    return (total() - before) / 1e6
+
+
+def test_searches_do_not_move_rows_for_each_block_or_cell(spark):
+    """2,000 vectors of 64 numbers, 1 MB: small blocks and visits of all cells."""
+    v = np.random.default_rng(5).normal(size=(2000, 64))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    t = spark.createDataFrame([(i, i % 100, 0, 3, x.tolist()) for i, x in enumerate(v)], "query_id long, image_id long, category int, k int, v array<double>").repartition(4)
+    b = t.withColumnRenamed("query_id", "bank_id")
+    assert moved(spark, lambda: knn.streamed_scores(t, b, "category", 64).collect()) < 6
+    assert moved(spark, lambda: index.search(index.build(b), t, 3).collect()) < 6
