@@ -12,6 +12,9 @@ from ..plans.session import kept
 from ..plans.union import union_labels
 from .grid import per_image, to_grid
 
+#: Cells a side of what is labelled in one group.
+GROUP = 256
+
 
 def components(cells: DataFrame, column: str = "gt_mask") -> DataFrame:
     """(image_id, y, x, region) of the cells that are set: 8-connected, named by a region's least flat index."""
@@ -21,21 +24,23 @@ def components(cells: DataFrame, column: str = "gt_mask") -> DataFrame:
 def tiled_components(cells: DataFrame, column: str = "gt_mask", tile: int = 1024) -> DataFrame:
     """`components` of images that are too large for a task: the same regions for any size of tiles.
 
-    Each tile labels its own cells in one group; pairs of cells that touch across the edges of tiles join labels, and the union of
-    labels is distributed (`union_labels`). So a task holds tile x tile cells, and only cells at edges are joined. Regions
+    Each tile labels its own cells, up to GROUP x GROUP cells of small tiles in one group; pairs of cells that touch across the edges of tiles join labels, and the union of
+    labels is distributed (`union_labels`). So a task holds tile x tile cells (or GROUP x GROUP), and only cells at edges are joined. Regions
     are named by their least flat index in the whole image, as before; a null image id is an image of its own.
     """
     stride = 1 << 32  # names order cells by rows, whatever the image's width
     t = cells.filter(F.col(column) != 0).select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
-    t = t.withColumns({"ty": F.expr(f"y div {tile}").cast("int"), "tx": F.expr(f"x div {tile}").cast("int")})
+    side = tile * max(1, GROUP // tile)  # small tiles are labelled together, with an empty line between them
+    t = t.withColumns({"ty": F.expr(f"y div {side}").cast("int"), "tx": F.expr(f"x div {side}").cast("int")})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(pdf["y"].min()), int(pdf["x"].min())
-        part = pd.DataFrame({"y": pdf["y"] - top, "x": pdf["x"] - left, "v": 1})
+        top, left = int(pdf["y"].min()) // tile * tile, int(pdf["x"].min()) // tile * tile
+        y, x = pdf["y"] - top, pdf["x"] - left
+        part = pd.DataFrame({"y": y + y // tile, "x": x + x // tile, "v": 1})
         grid = K.label_components(to_grid(part, "v"))
         found = grid[part["y"], part["x"]].astype(np.int64)
-        width = grid.shape[1]
-        return pdf.assign(name=(found // width + top) * stride + found % width + left)
+        at = lambda i: i - i // (tile + 1)
+        return pdf.assign(name=(at(found // grid.shape[1]) + top) * stride + at(found % grid.shape[1]) + left)
 
     named = kept(t.groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id bigint, y int, x int, ty int, tx int, name bigint"), "tile-labels")
     at_edge = named.filter((F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1))

@@ -215,3 +215,20 @@ def test_settings_are_read_or_refused():
     for bad in ("a: {b: 1}", "a: &x 1", "a: *x", "a: |\n  text", "a:\n\tb: 1", "a: [1, [2]]", "a: [1,\n  2]", "a:\n  - b: 1", "a:\n  - - 1", "- 1", "a: 'x", "a: 1\na: 2", "a: !!int 3"):
         with pytest.raises(ValueError):
             read_settings(bad)
+
+
+def test_many_array_files_are_few_partitions(tmp_path):
+    for k in range(700):
+        np.save(tmp_path / f"map_{k}.npy", np.full((2, 3), k))
+    found = arrays.ArrayReader({"path": str(tmp_path)}).partitions()
+    paths = [p for part in found for p in part.paths]
+    assert len(found) < 100 and len(set(paths)) == len(paths) == 700
+    rows = [r for part in found for b in arrays.ArrayReader({"path": str(tmp_path)}).read(part) for r in b.to_pylist()]
+    assert len(rows) == 700 and all(r["shape"] == [2, 3] and r["values"] == [float(r["name"][4:])] * 6 for r in rows)
+
+
+def test_small_tiles_share_groups(spark, monkeypatch):
+    monkeypatch.setattr(segment, "GROUP", 12)  # groups of 2 x 2 tiles, of which some are at the far ends
+    cells = [(i, y, x, int((y * 7 + x * 5 + i * y * x) % 3 > 0)) for i in range(3) for y in range(29) for x in range(31)]
+    t = spark.createDataFrame(cells, "image_id long, y int, x int, gt_mask int")
+    assert sorted(segment.tiled_components(t, tile=6).collect()) == sorted(segment.components(t).collect())
