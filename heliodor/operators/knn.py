@@ -110,13 +110,14 @@ class _Held:
                 self.near[a : a + rows] = both[:, :k]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(self.ids), 512):
-            near = np.sort(self.near[a : a + 512], axis=1)
-            near[np.arange(near.shape[1]) >= self.ks[a : a + 512, None]] = np.inf
+        step = max(1, min(512, MET // self.near.shape[1]))
+        for a in range(0, len(self.ids), step):
+            near = np.sort(self.near[a : a + step], axis=1)
+            near[np.arange(near.shape[1]) >= self.ks[a : a + step, None]] = np.inf
             known = np.isfinite(near)
             n = known.sum(axis=1)
             score = np.where(known, near, 0.0).sum(axis=1) / np.maximum(n, 1)
-            ids = pa.array(self.ids[a : a + 512], pa.int64())
+            ids = pa.array(self.ids[a : a + step], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(score)], names=["query_id", "score"]).filter(pa.array(n > 0))
 
 

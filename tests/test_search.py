@@ -1,5 +1,7 @@
 """The neighbour index, blocks by key, keyed curves, and grids of different sizes, against plain versions."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +168,19 @@ def test_searches_do_not_move_rows_for_each_block_or_cell(spark):
     b = t.withColumnRenamed("query_id", "bank_id")
     assert moved(spark, lambda: knn.streamed_scores(t, b, "category", 64).collect()) < 6
     assert moved(spark, lambda: index.search(index.build(b), t, 3).collect()) < 6
+
+
+def test_memory_of_a_worker_that_holds_long_lists():
+    """40 queries and their 100,000 nearest, 32 MB that are held: what meeting a bank and answering add is a few steps, not the lists once more."""
+    rng = np.random.default_rng(6)
+    k = np.full(40, 100_000)
+    block = knn._Held(list(range(40)), np.arange(40), k, rng.normal(size=(40, 8)))
+    bank = rng.normal(size=(4000, 8))
+    tracemalloc.start()
+    block.meet(np.full(4000, 99), bank)
+    got = [r for batch in block.rows() for r in batch.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["query_id"] for r in got] == list(range(40))
+    assert np.allclose([r["score"] for r in got], (1 - block.v @ bank.T).mean(axis=1))
+    assert most < 20e6
