@@ -18,6 +18,22 @@ def to_grid(pdf: pd.DataFrame, column: str) -> np.ndarray:
     return out
 
 
+SIZE = ("grid_h", "grid_w")
+
+
+def sized(t: DataFrame) -> list[str]:
+    """The columns that tell the size of an image's grid, where it is known."""
+    return [c for c in SIZE if c in t.columns]
+
+
+def known_grid(pdf: pd.DataFrame, column: str) -> np.ndarray:
+    """An image's cells on its grid, of the size that its rows tell or else as far as they reach; NaN where it has none."""
+    shape = [pdf[c].iloc[0] for c in SIZE] if SIZE[0] in pdf else (pdf["y"].max() + 1, pdf["x"].max() + 1)
+    out = np.full([int(n) for n in shape], np.nan)
+    out[pdf["y"], pdf["x"]] = pdf[column]
+    return out
+
+
 def per_image(cells: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], column: str, out: str, kind: str) -> DataFrame:
     """(image_id, y, x, out): kernel applied to each image's grid of a column; its result may have another size."""
 

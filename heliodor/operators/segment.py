@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..plans.session import kept
 from ..plans.union import union_labels
-from .grid import per_image, to_grid
+from .grid import known_grid, per_image, sized, to_grid
 
 #: Cells a side of what is labelled in one group.
 GROUP = 256
@@ -65,8 +65,8 @@ def component_stats(regions: DataFrame) -> DataFrame:
 
 
 def mask_of(grid: np.ndarray, method: str = "percentile", percentile: float = 95.0, sigma: float = 4.0, threshold: float | None = None, least_points: int = 100) -> np.ndarray:
-    """The 0/1 mask of one score map: cells of its region of interest above a threshold of the smoothed map; see `segment`."""
-    smooth, roi = K.gaussian(grid, sigma), grid != 0
+    """The 0/1 mask of one score map: cells of its region of interest above a threshold of the smoothed map, unknown ones (NaN) being none; see `segment`."""
+    smooth, roi = K.gaussian(grid, sigma, absent=True), (grid != 0) & ~np.isnan(grid)
     mask = np.zeros(grid.shape, np.int32)
     if roi.any():
         values = smooth[roi]
@@ -104,8 +104,9 @@ def segment(maps: DataFrame, method: str = "percentile", percentile: float = 95.
 def on_truth(maps: DataFrame, truth: DataFrame, method: str = "percentile") -> DataFrame:
     """(image_id, y, x, score, gt_mask, mask, fg): each map brought to the size of its own image's truth.
 
-    maps: (image_id, y, x, score, fg); truth: (image_id, y, x, gt_mask), on a grid of any size that may differ from image to
-    image. Both grids of an image meet in one group: the map is resized bilinearly, its mask is taken on the map's own grid and
+    maps: (image_id, y, x, score, fg) and grid_h, grid_w where grids have a known size; truth: (image_id, y, x, gt_mask), on a grid of any size that may differ from image to
+    image. Cells that a map lacks are unknown: a cell of the truth has a null score where one of the cells that it lies between is,
+    a null mask where the nearest is, and no row without both. Both grids of an image meet in one group: the map is resized bilinearly, its mask is taken on the map's own grid and
     brought over by nearest cells, as is the foreground. An image without truth keeps the map's size, with a truth of 0;
     one without a map has no rows.
     """
@@ -114,18 +115,20 @@ def on_truth(maps: DataFrame, truth: DataFrame, method: str = "percentile") -> D
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         there, known = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if there.empty:
-            return pdf.iloc[:0].drop(columns=["side"]).assign(mask=np.int32(0))
-        grid, fg = to_grid(there, "score"), to_grid(there, "fg")
+            return pdf.iloc[:0].drop(columns=["side", *size]).assign(mask=np.int32(0))
+        grid, fg = known_grid(there, "score"), known_grid(there, "fg")
         gt = to_grid(known, "gt_mask") if len(known) else np.zeros(grid.shape, np.int32)
-        mask, (h, w) = mask_of(grid, method), gt.shape
+        mask, (h, w) = np.where(np.isnan(fg), np.nan, mask_of(grid, method)), gt.shape
         if grid.shape != gt.shape:
             grid, mask, fg = K.bilinear(grid, h, w), K.nearest(mask, h, w), K.nearest(fg, h, w)
         y, x = np.mgrid[:h, :w]
         flat = lambda a: a.ravel().astype("int32")
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": flat(y), "x": flat(x), "score": grid.ravel(), "gt_mask": flat(gt), "fg": flat(fg), "mask": flat(mask)})
+        out = pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": flat(y), "x": flat(x), "score": grid.ravel(), "gt_mask": flat(gt), "fg": flat(np.nan_to_num(fg)), "mask": pd.Series(mask.ravel()).astype("Int32")})
+        return out[out["score"].notna() | out["mask"].notna()]
 
-    some = maps.select("image_id", "y", "x", "score", F.lit(0).alias("gt_mask"), "fg", F.lit(0).alias("side"))
-    other = truth.select("image_id", "y", "x", F.lit(0.0).alias("score"), "gt_mask", F.lit(0).alias("fg"), F.lit(1).alias("side"))
+    size = sized(maps)
+    some = maps.select("image_id", "y", "x", "score", F.lit(0).alias("gt_mask"), "fg", F.lit(0).alias("side"), *size)
+    other = truth.select("image_id", "y", "x", F.lit(0.0).alias("score"), "gt_mask", F.lit(0).alias("fg"), F.lit(1).alias("side"), *[F.lit(None).cast("int").alias(c) for c in size])
     return some.unionByName(other).groupBy("image_id").applyInPandas(run, "image_id bigint, y int, x int, score double, gt_mask int, fg int, mask int")
 
 
