@@ -85,6 +85,7 @@ def known_method(method: str) -> None:
 def segment(maps: DataFrame, method: str = "percentile", percentile: float = 95.0, sigma: float = 4.0, threshold: float | None = None, least_points: int = 100, resize_to: tuple[int, int] | None = None) -> DataFrame:
     """(image_id, y, x, mask): a map's cells above a threshold within its region of interest (score <> 0).
 
+    maps: (image_id, y, x, score) and grid_h, grid_w where grids have a known size; cells that a map lacks are unknown and not in a mask.
     The map is smoothed before the region is taken; `gmm` takes the higher of two normal components and falls back to
     the percentile for fewer than least_points cells. With resize_to (rows, columns) the mask is brought to that size by
     nearest cells afterwards.
@@ -92,13 +93,13 @@ def segment(maps: DataFrame, method: str = "percentile", percentile: float = 95.
     known_method(method)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = mask_of(to_grid(pdf, "score"), method, percentile, sigma, threshold, least_points)
+        mask = mask_of(known_grid(pdf, "score"), method, percentile, sigma, threshold, least_points)
         if resize_to:
             mask = K.nearest(mask, *resize_to)
         y, x = np.mgrid[: mask.shape[0], : mask.shape[1]]
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": y.ravel().astype("int32"), "x": x.ravel().astype("int32"), "mask": mask.ravel()})
 
-    return maps.select("image_id", "y", "x", "score").groupBy("image_id").applyInPandas(run, "image_id bigint, y int, x int, mask int")
+    return maps.select("image_id", "y", "x", "score", *sized(maps)).groupBy("image_id").applyInPandas(run, "image_id bigint, y int, x int, mask int")
 
 
 def on_truth(maps: DataFrame, truth: DataFrame, method: str = "percentile") -> DataFrame:
